@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, mixing, near_dedup, secrets, url_filter
+from tidewater.llm import chat, decontaminate, mixing, near_dedup, secrets, topk, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_exact_topk": topk.op4_exact_topk,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_url_filters": url_filter.op10_url_filters,
@@ -14,6 +16,7 @@ QUERIES = {
 SQL = {
     "op1_minhash_near_dedup": near_dedup.OP1_SQL,
     "op3_chat_formatting": chat.OP3_SQL,
+    "op4_exact_topk": topk.OP4_SQL,
     "op6_secret_scans": secrets.OP6_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
     "op10_url_filters": url_filter.OP10_SQL,
