@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, decontaminate, mixing, near_dedup, secrets, topk, url_filter
+from tidewater.llm import chat, classify, decontaminate, mixing, near_dedup, secrets, topk, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_exact_topk": topk.op4_exact_topk,
+    "op5_quality_classifier": classify.op5_quality_classifier,
     "op6_secret_scans": secrets.op6_secret_scans,
+    "op7_toxicity": classify.op7_toxicity,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_url_filters": url_filter.op10_url_filters,
 }
