@@ -1,7 +1,7 @@
 """Quality and toxicity of documents by gradient-boosted trees over dense features.
 
-Whole texts are read once: their features go to a narrow table, from which a bounded sample of labelled rows trains the
-trees on the driver and on which all rows are scored by numpy traversal of the flattened trees.
+A bounded sample of labelled rows is featurised by Spark and trains the trees on the driver. All rows are then
+featurised and scored in one pass over whole texts, by numpy traversal of the flattened trees.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ MAX_LABELLED = 20_000  # labelled rows that the trees are fitted on, those with
 FOLDS = 3
 EVIDENCE, PURITY, LEXICON = 10.0, 0.7, 5000  # of words that toxic texts give
 GOOD, TOXIC = 0.7, 0.3
-KEEP_BELOW = 0.3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -29,18 +28,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def feature_rows(docs: DataFrame, make: Callable[[pa.Array], Iterator[np.ndarray]], columns: list[str]) -> DataFrame:
-    """The named columns of docs and x, the features of text."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", x array<float>"
+Make = Callable[[pa.Array], Iterator[np.ndarray]]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.concatenate(list(make(batch.column("text")))).astype(np.float32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), lists], [*columns, "x"])
 
-    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(task, schema)
+def features_of(make: Make, column: pa.Array) -> np.ndarray:
+    return np.concatenate(list(make(column)))
 
 
 def known_labels(labels: DataFrame, label: str) -> DataFrame:
@@ -51,16 +43,26 @@ def known_labels(labels: DataFrame, label: str) -> DataFrame:
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    return materialize(known.withColumn("o", order).orderBy("o", "doc_id").limit(MAX_LABELLED).select("doc_id", "y", F.pmod("o", F.lit(FOLDS)).cast("int").alias("fold")), "known")
+    return materialize(known.withColumn("o", order).orderBy("o", "doc_id").limit(MAX_LABELLED).select("doc_id", "o", "y", F.pmod("o", F.lit(FOLDS)).cast("int").alias("fold")), "known")
 
 
-def training_rows(features: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def training_rows(docs: DataFrame, known: DataFrame, make: Make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """x, y and fold of the known rows; at most MAX_LABELLED narrow rows come to the driver."""
-    met = features.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("fold").alias("fold"), F.min("x").alias("x"))
-    rows = met.toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1))
-    return x[order].astype(float), rows["y"].to_numpy()[order], rows["fold"].to_numpy()[order]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = features_of(make, batch.column("text"))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("o", "y", "fold")), lists], ["o", "y", "fold", "x"])
+
+    read = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("o", "y", "fold", "text")
+    rows = read.mapInArrow(task, "o long, y int, fold int, x array<double>").groupBy("o").agg(F.max("y").alias("y"), F.max("fold").alias("fold"), F.min("x").alias("x")).toArrow()
+    if not rows.num_rows:
+        return np.zeros((0, 1)), np.zeros(0), np.zeros(0, np.int64)
+    order = np.argsort(rows["o"].to_numpy(), kind="stable")
+    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    return x[order], rows["y"].to_numpy()[order], rows["fold"].to_numpy()[order]
 
 
 def induced_insults(docs: DataFrame, known: DataFrame) -> list[np.ndarray]:
@@ -100,18 +102,20 @@ def induced_insults(docs: DataFrame, known: DataFrame) -> list[np.ndarray]:
     return found
 
 
-def scored(features: DataFrame, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """The columns of features with score in place of x."""
-    kept = [c for c in features.columns if c != "x"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.select(*kept).schema) + ", score double"
+def scored(docs: DataFrame, make: Make, score: Callable[[np.ndarray], np.ndarray], columns: list[str], below: float | None = None) -> DataFrame:
+    """The named columns of docs and score; with below, only rows that score less, and no score."""
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + (", `score` double" if below is None else "")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.clip(score(x), 0, 1))], [*kept, "score"])
+                found = np.clip(score(features_of(make, batch.column("text"))), 0, 1)
+                if below is None:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found)], [*columns, "score"])
+                else:
+                    yield batch.select(columns).filter(pa.array(found < below))
 
-    return features.mapInArrow(task, schema)
+    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(task, fields)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,34 +124,45 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Defined cases: a null text is an empty one and gets a score too; repeated rows get equal scores; without labels
     that can be learned from, every score is one half; no rows give no rows; other columns are ignored.
     """
-    features = materialize(feature_rows(docs, quality_features, ["doc_id"]), "quality_features")
-    x, y, _ = training_rows(features, known_labels(labels, "quality"))
-    return scored(features, fit(x, y).probability)
+    x, y, _ = training_rows(docs, known_labels(labels, "quality"), quality_features)
+    return scored(docs, quality_features, fit(x, y).probability, ["doc_id"])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The named columns of docs and score: how likely labels.toxic is 1, calibrated by an isotonic fit out of fold.
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[Make, Callable[[np.ndarray], np.ndarray]]:
+    """Features and calibrated score, learned from the labelled rows among docs.
 
     Insults are those of a fixed list and those that the labelled texts themselves give, in whatever language.
-
-    The cases are those of score_quality.
     """
     known = known_labels(labels, "toxic")
-    found = lexicon(induced_insults(docs, known))
-    features = materialize(feature_rows(docs, lambda column: toxicity_features(column, found, FOLDS + 1), list(columns)), "toxicity_features")
-    x, y, fold = training_rows(features, known)
+    found = induced_insults(docs, known)
+    folded, whole = lexicon(found), lexicon(found[:1])
+    x, y, fold = training_rows(docs, known, lambda column: toxicity_features(column, folded, FOLDS + 1))
+    make = lambda column: toxicity_features(column, whole, 1)
     if not len(y) or y.min() == y.max():
-        return scored(features, lambda rows: fit(np.zeros((0, 1)), np.zeros(0)).probability(rows[:, :1]))
+        return make, lambda rows: np.full(len(rows), y.mean() if len(y) else 0.5)
     # a known row is seen through the insults that the other folds gave, as a new row would be
     block = len(COMMON) + (fold[:, None] + 1) * len(BLOCK) + np.arange(len(BLOCK))
     x = np.concatenate([x[:, : len(COMMON)], np.take_along_axis(x, block, axis=1)], axis=1)
     trees, knots = fit(x, y), isotonic(out_of_fold(x, y, fold), y)
-    return scored(features, lambda rows: np.interp(trees.probability(rows[:, : len(COMMON) + len(BLOCK)]), *knots))
+    return make, lambda rows: np.interp(trees.probability(rows), *knots)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, score) for every row of docs: how likely labels.toxic is 1, by trees and an isotonic fit out of fold.
+
+    The cases are those of score_quality, but that labels of one kind only give their share as every score.
+    """
+    return scored(docs, *toxicity_model(docs, labels), ["doc_id"])
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, most: float = KEEP_BELOW) -> DataFrame:
-    """The rows of docs, with all their columns, whose toxicity is below most."""
-    return score_toxicity(docs, labels, tuple(docs.columns)).where(F.col("score") < most).drop("score")
+def without_toxic(docs: DataFrame, labels: DataFrame, most: float = TOXIC) -> DataFrame:
+    """The rows of docs, with all their columns, whose toxicity is below most.
+
+    Without labels that can be learned from there is no score, and all rows stay.
+    """
+    if known_labels(labels, "toxic").select("y").distinct().count() < 2:
+        return docs
+    return scored(docs, *toxicity_model(docs, labels), docs.columns, most)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,6 +184,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "copies")
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are kept; of rows that agree in doc_id and shingles, one stays.
+
+    The cases are those of near_duplicates: rows without a doc_id or without words all stay.
+    """
+    found = materialize(near_duplicates(docs), "judged")
+    gone = found.where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    again = materialize(found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "n_shingles").count().where("count > 1").select("doc_id").distinct(), "repeated")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 

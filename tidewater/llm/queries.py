@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, classify, decontaminate, mixing, near_dedup, secrets, topk, url_filter
+from tidewater.llm import chat, classify, decontaminate, mixing, near_dedup, pii, secrets, topk, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_toxicity": classify.op7_toxicity,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_pii": pii.op9_pii,
     "op10_url_filters": url_filter.op10_url_filters,
 }
 SQL = {

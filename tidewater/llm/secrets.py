@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, read_table
+from tidewater.llm.common import materialize, read_table, small
 
 NAME = r"(?i:password|passwd|secret|token|api_?key)"
 ASSIGN = NAME + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -63,8 +63,13 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(order, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"]), s["start"], s["end"])), ",")
 
 
+def row_key(text: Column) -> Column:
+    """Names a row by its doc_id and text; rows that agree in both have equal spans."""
+    return F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))), 256)
+
+
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, owner, key, base, bare): candidate spans (start, kind, end, hash, random) of every row; key is null without any."""
+    """(doc_id, owner, key, base, bare): candidate spans (start, kind, end, hash, random, size of the value) of every row; key is null without any."""
     df = docs.select("doc_id", F.col("source").alias("owner"), F.coalesce("text", F.lit("")).alias("_text"))
     for name, pattern, group in (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0), ("bare", BARE, 0)):
         df = with_matches(df, name, pattern, group)
@@ -74,13 +79,13 @@ def find_candidates(docs: DataFrame) -> DataFrame:
         # random: long enough, with letters and digits, and no character that fills half of it
         value = lambda s: s["value"]
         random = lambda s: (F.length(value(s)) >= 16) & value(s).rlike("[0-9]") & value(s).rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value(s), ""))) >= 8)
-        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name) + 1).alias("kind"), s["end"].alias("end"), F.sha2(value(s), 256).alias("hash"), random(s).alias("random")))
+        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name) + 1).alias("kind"), s["end"].alias("end"), F.sha2(value(s), 256).alias("hash"), random(s).alias("random"), F.length(value(s)).alias("size")))
 
     base = F.concat(spans("assign"), spans("access"), spans("hex"))
     df = df.withColumn("base", base).withColumn("bare", spans("bare"))
     apart = F.filter("bare", lambda b: ~F.exists("base", lambda s: (s["start"] < b["end"]) & (b["start"] < s["end"])))
     df = df.withColumn("bare", apart)
-    key = F.when((F.size("base") > 0) | (F.size("bare") > 0), F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_text")), 256))
+    key = F.when((F.size("base") > 0) | (F.size("bare") > 0), row_key(F.col("_text")))
     return df.select("doc_id", "owner", key.alias("key"), "base", "bare")
 
 
@@ -93,35 +98,64 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return each.select("hash", "owners", "repositories", verdict.alias("verdict"))
 
 
+def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates of all rows, and (key, verdict, s, bare): the judged spans of every key, bare ones of live values too."""
+    found = materialize(find_candidates(docs), "candidates")
+    values = found.where("key is not null").select("owner", "key", F.explode(F.concat("base", "bare")).alias("s")).select("owner", "key", "s.*")
+    values = materialize(values.distinct(), "values")
+    # written before it is joined: both sides are then shuffled, and a value that many documents hold is split
+    verdicts = materialize(ownership(values.where(f"kind < {len(KINDS)}")), "verdicts")
+    sought = values.where(f"kind = {len(KINDS)}").join(values.where("kind = 1").select("hash").distinct(), "hash", "left_semi")
+    held = values.where(f"kind < {len(KINDS)}").unionByName(sought).join(verdicts, "hash")
+    at = F.struct("start", "kind", "end", "hash", "random", "size")
+    return found, held.select("key", "verdict", at.alias("s"), (F.col("kind") == len(KINDS)).alias("bare")).distinct()
+
+
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added, n_live, n_copied) for every row of docs(doc_id, text, source, ...).
 
-    base holds spans (start, kind, end, hash, random) of kinds assign, access and hex, added the places where live
+    base holds spans (start, kind, end, hash, random, size) of kinds assign, access and hex, added the places where live
     values stand bare; n_live and n_copied count the base spans whose values are live or copied. Defined cases: a null
     text is an empty one; a null source is an owner of its own; repeated rows get equal results and count as one
     repository; equal spans of two kinds are both kept; no rows give no rows; other columns are ignored.
     """
-    found = materialize(find_candidates(docs), "candidates")
-    with_some = found.where("key is not null")
-    values = with_some.select("owner", "key", F.explode(F.concat("base", "bare")).alias("s")).select("owner", "key", "s.*")
-    values = materialize(values.distinct(), "values")
-    # written before it is joined: both sides are then shuffled, and a value that many documents hold is split
-    verdicts = materialize(ownership(values.where(f"kind < {len(KINDS)}")), "verdicts")
-    sought = values.where(f"kind = {len(KINDS)}").join(values.where("kind = 1").select("hash").distinct(), "hash", "left_semi")
-    held = values.where(f"kind < {len(KINDS)}").unionByName(sought).join(verdicts, "hash")
-    at = F.struct("start", "kind", "end", "hash", "random")
-    bare = F.col("kind") == len(KINDS)
-    per = held.select("key", "verdict", at.alias("s"), bare.alias("bare")).distinct().groupBy("key").agg(
-        F.array_sort(F.collect_list(F.when(F.col("bare") & (F.col("verdict") == "live"), F.col("s")))).alias("added"),
-        F.count_if(~F.col("bare") & (F.col("verdict") == "live")).alias("n_live"),
-        F.count_if(~F.col("bare") & (F.col("verdict") == "copied")).alias("n_copied"),
+    found, spans = judged(docs)
+    bare = F.col("bare")
+    per = spans.groupBy("key").agg(
+        F.array_sort(F.collect_list(F.when(bare & (F.col("verdict") == "live"), F.col("s")))).alias("added"),
+        F.count_if(~bare & (F.col("verdict") == "live")).alias("n_live"),
+        F.count_if(~bare & (F.col("verdict") == "copied")).alias("n_copied"),
     )
-    out = ["doc_id", "base"]
-    some = with_some.join(per, "key", "left").select(*out, F.coalesce("added", F.expr("filter(base, s -> false)")).alias("added"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied")))
-    none = found.where("key is null").select(*out, F.col("base").alias("added"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied")]
+    nothing = F.expr("filter(base, s -> false)")
+    some = found.where("key is not null").join(per, "key", "left").select("doc_id", "base", F.coalesce("added", nothing).alias("added"), *counts)
+    none = found.where("key is null").select("doc_id", "base", F.col("base").alias("added"), *(F.lit(0).cast("long").alias(c) for c in ("n_live", "n_copied")))
     return some.union(none)
 
 
+def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """All rows and columns of docs; in text, every live value is replaced by the mark, and n_chars follows if it is there.
+
+    Copied examples and placeholders stay as they are. The cases are those of scan_secrets.
+    """
+    _, spans = judged(docs)
+    live = spans.where("verdict = 'live'").select("key", F.struct((F.col("s.end") - F.col("s.size")).alias("a"), F.col("s.end").alias("b")).alias("s"))
+    live = materialize(live.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("live_spans")), "live")
+    met = docs.withColumn("live_key", row_key(F.col("text"))).join(small(live).withColumnRenamed("key", "live_key"), "live_key", "left").drop("live_key")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("text")
+
+    def step(done: Column, s: Column) -> Column:
+        longer = F.struct(s["b"].alias("at"), F.concat(done["out"], F.substr(text, done["at"] + 1, s["a"] - done["at"]), F.lit(mark)).alias("out"))
+        return F.when(s["a"] >= done["at"], longer).otherwise(F.struct(F.greatest(done["at"], s["b"]).alias("at"), done["out"].alias("out")))
+
+    whole = F.aggregate("live_spans", start, step, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1)))
+    out = met.withColumn("text", F.when(F.col("live_spans").isNotNull(), whole).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("live_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, s -> s.kind = {k + 1}))").cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
