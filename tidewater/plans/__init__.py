@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("series",)
+MODULES = ("series", "relational")
 
 
 def load() -> None:
