@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("series", "relational")
+MODULES = ("series", "relational", "texts", "links")
 
 
 def load() -> None:
