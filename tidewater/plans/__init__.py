@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("series", "relational", "texts", "links")
+MODULES = ("series", "relational", "texts", "links", "flows")
 
 
 def load() -> None:
