@@ -162,7 +162,7 @@ def spam_score(title: Column, text: Column, url: Column) -> Column:
     hits = one((F.length(title) > 10) & (F.regexp_count(title, F.lit("[A-Z]")) / F.length(title) > 0.7)) + one(any_of(title, SPAM_TITLE))
     hits = hits + one((F.regexp_count(title, F.lit("!")) > 2) | (F.regexp_count(title, F.lit("\\?")) > 2))
     hits = hits + one((n > 100) & (top_term(text, 3) > n * 0.1)) + one(any_of(text, SPAM_TEXT))
-    hits = hits + one(any_of(url, SPAM_HOSTS)) + one(F.length(F.element_at(F.split(url, "\\?", -1), 2)) > 100 if url is not None else F.lit(False))
+    hits = hits + one(any_of(url, SPAM_HOSTS)) + one(F.length(F.get(F.split(url, "\\?", -1), 1)) > 100 if url is not None else F.lit(False))
     checks = has(title).cast("int") + has(text).cast("int") + has(url).cast("int")
     return F.when(checks > 0, 1.0 - hits / checks).otherwise(0.0)
 
