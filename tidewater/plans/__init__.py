@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("series", "relational", "texts", "links", "flows")
+MODULES = ("series", "relational", "texts", "links", "flows", "content")
 
 
 def load() -> None:
