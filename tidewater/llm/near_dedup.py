@@ -10,8 +10,8 @@ Every distinct shingle set gets a signature of COORDS MinHash values. A pair who
    its COORDS - MIN_HITS + 1 rarest postings: two sets with MIN_HITS agreements must meet in those.
 3. Skip merging: long posting lists are never expanded into all their pairs. Members are first compared with a centre
    of each list; lists whose members then lie in one component are skipped. Sets that still meet across components are
-   posted under their shingles with the exact prefix bound, compared with further centres, and only what is then left
-   across components is paired.
+   posted under their shingles with the exact prefix bound, compared with more and more centres, and only what is then
+   left across components is paired, where the sizes of two sets and the place of the shingle in them allow it.
 4. Every candidate's agreements are counted over whole signatures, and what reaches MIN_HITS is confirmed on the full
    shingle sets.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,7 +32,8 @@ from tidewater.llm.common import materialize, mix64, read_table
 from tidewater.llm.components import connected_components
 from tidewater.llm.shingles import coordinates, shingle_sets, signature
 
-COORDS, MIN_HITS, SCREEN, SCREEN_HITS, WIDTH, PERCENT, MAX_STARS = 128, 76, 32, 12, 5, 75, 3
+COORDS, MIN_HITS, SCREEN, SCREEN_HITS, WIDTH, PERCENT = 128, 76, 32, 12, 5, 75
+CENTRES = (1, 4, 16, 64)  # of a posting list, in the turns of step 3
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,24 +100,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, need, key): every shingle of every text; need is the overlap that a partner must reach."""
+    """(node, size, key): every shingle of every text, with the size of its set."""
     for batch in batches:
         for node, found in zip(batch.column("node"), shingle_sets(batch.column("text"), WIDTH), strict=True):
             if len(found):
-                need = -(-PERCENT * len(found) // 100)
-                arrays = [pa.repeat(node, len(found)), pa.repeat(pa.scalar(need, pa.int64()), len(found)), pa.array(found.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["node", "need", "key"])
+                arrays = [pa.repeat(node, len(found)), pa.repeat(pa.scalar(len(found), pa.int64()), len(found)), pa.array(found.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "size", "key"])
+
+
+def _overlap(sizes: Column) -> Column:
+    """The least intersection of two sets, whose sizes together are given, that reaches PERCENT of their union."""
+    return F.ceil(PERCENT * sizes / (100 + PERCENT))
 
 
 def _shingle_prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, key): the shingles that a partner among nodes must share one of, rarest first (exact prefix filter)."""
+    """(node, key, size, rest, small): the shingles that a partner among nodes must share one of, rarest first.
+
+    This is the exact prefix filter. rest counts the shared shingles from this one on. small marks the shorter prefix
+    that is enough where the partner is at least as large, since the two must then share more of this set.
+    """
     kind = dict(nodes.dtypes)["node"]
     kept = texts.join(nodes, texts["doc_id"] == nodes["node"], "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.first("text").alias("text"))
-    rows = materialize(kept.mapInArrow(_shingle_rows, f"node {kind}, need long, key long"), "shingles")
+    rows = materialize(kept.mapInArrow(_shingle_rows, f"node {kind}, size long, key long"), "shingles")
     shared = rows.join(_shared(rows.select("key")), "key")
     order = Window.partitionBy("node").orderBy("n", "key")
-    ranked = shared.select("node", "need", "key", F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("node")).alias("m"))
-    return ranked.where(F.col("r") <= F.col("m") - F.col("need") + 1).select("node", "key")
+    ranked = shared.select("node", "size", "key", F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("node")).alias("m"))
+    ranked = ranked.withColumn("rest", F.col("m") - F.col("r") + 1)
+    ranked = ranked.where(F.col("rest") >= F.ceil(PERCENT * F.col("size") / 100))
+    return ranked.select("node", "key", "size", "rest", (F.col("rest") >= _overlap(2 * F.col("size"))).alias("small"))
+
+
+def _fits(one: str, two: str) -> Column:
+    """Whether two postings of a list, with columns named by these endings, can belong to sets that are near."""
+    c = lambda name, end: F.col(f"{name}{end}")
+    return (
+        (c("label", one) != c("label", two))
+        & (100 * F.least(c("size", one), c("size", two)) >= PERCENT * F.greatest(c("size", one), c("size", two)))
+        & (F.least(c("rest", one), c("rest", two)) >= _overlap(c("size", one) + c("size", two)))
+    )
+
+
+def _across(left: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a posting and whose sizes and places in it allow the overlap."""
+    cols = ("node", "label", "size", "rest")
+    one = left.where("small").select("key", *(F.col(x).alias(f"{x}_1") for x in cols))
+    two = left.select("key", *(F.col(x).alias(f"{x}_2") for x in cols))
+    fits = _fits("_1", "_2") & (F.struct("size_1", "node_1") < F.struct("size_2", "node_2"))
+    return one.join(two, "key").where(fits).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
 
 
 def _crossing(posted: DataFrame, labels: DataFrame) -> DataFrame:
@@ -128,10 +158,14 @@ def _crossing(posted: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _to_centres(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each posting and a centre of its list in another component; another centre every turn."""
-    centres = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.col("node"), F.lit(turn)), F.col("node"), F.col("label"))).alias("centre"))
-    joined = lists.join(centres.select("key", F.col("centre.node").alias("c"), F.col("centre.label").alias("c_label")), "key").where("label <> c_label")
-    return joined.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    """Pairs (a, b) of each posting and the CENTRES[turn] centres of its list that lie in other components."""
+    n = CENTRES[turn]
+    cols = [x for x in ("node", "label", "size", "rest") if x in lists.columns]
+    part = F.pmod(F.xxhash64(F.lit(-turn - 1), F.col("node")), F.lit(n))
+    centres = lists.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64(F.col("node"), F.lit(turn)), *cols)).alias("centre"))
+    joined = lists.join(centres.select("key", *(F.col(f"centre.{x}").alias(f"{x}_c") for x in cols)), "key")
+    joined = joined.where(_fits("", "_c") if "size" in cols else F.col("label") != F.col("label_c"))
+    return joined.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b")).distinct()
 
 
 def _links(sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -140,7 +174,7 @@ def _links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     links = done = sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
     posted = materialize(_prefixes(sets), "prefixes")
     left = posted.withColumn("label", F.col("node"))
-    for turn in range(MAX_STARS + 1):
+    for turn in range(len(CENTRES)):
         pairs = materialize(_to_centres(left, turn).join(done, ["a", "b"], "left_anti"), "pairs")
         links, done = links.union(_verified(pairs, sets, texts)), done.union(pairs)
         labels = connected_components(links)
@@ -152,8 +186,7 @@ def _links(sets: DataFrame, texts: DataFrame) -> DataFrame:
         cross = left.select("key", "cross").distinct().agg(F.sum("cross")).first()[0] or 0
         if cross <= 2 * rows + 20_000:
             break
-    one, two = (left.select("key", F.col("node").alias(x), F.col("label").alias("l" + x)) for x in "ab")
-    rest = one.join(two, "key").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = _across(left)
     return links.union(_verified(materialize(rest.join(done, ["a", "b"], "left_anti"), "pairs"), sets, texts))
 
 
