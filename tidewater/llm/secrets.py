@@ -24,6 +24,7 @@ BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{12,}"
 ASSIGN_VALUE = 12
 COPIED_OWNERS = 3
 KINDS = ("assign", "access", "hex", "bare")
+KEY, SPANS = "_secrets_row_key", "_secrets_live_spans"  # stand beside the columns of a table for a moment
 
 
 def prefix_sums(values: Column) -> Column:
@@ -140,8 +141,8 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     _, spans = judged(docs)
     live = spans.where("verdict = 'live'").select("key", F.struct((F.col("s.end") - F.col("s.size")).alias("a"), F.col("s.end").alias("b")).alias("s"))
-    live = materialize(live.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("live_spans")), "live")
-    met = docs.withColumn("live_key", row_key(F.col("text"))).join(small(live).withColumnRenamed("key", "live_key"), "live_key", "left").drop("live_key")
+    live = materialize(live.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias(SPANS)), "live")
+    met = docs.withColumn(KEY, row_key(F.col("text"))).join(small(live).withColumnRenamed("key", KEY), KEY, "left").drop(KEY)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -149,10 +150,10 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         longer = F.struct(s["b"].alias("at"), F.concat(done["out"], F.substr(text, done["at"] + 1, s["a"] - done["at"]), F.lit(mark)).alias("out"))
         return F.when(s["a"] >= done["at"], longer).otherwise(F.struct(F.greatest(done["at"], s["b"]).alias("at"), done["out"].alias("out")))
 
-    whole = F.aggregate("live_spans", start, step, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1)))
-    out = met.withColumn("text", F.when(F.col("live_spans").isNotNull(), whole).otherwise(text))
+    whole = F.aggregate(SPANS, start, step, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1)))
+    out = met.withColumn("text", F.when(F.col(SPANS).isNotNull(), whole).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("live_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(SPANS).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
