@@ -59,6 +59,7 @@ _SYMBOL, _BRACKET, _QUOTE, _SPACE = _class(b"#$%&*+/<=>@\\^_`~"), _class(b"()[]{
 _LETTER = _UPPER | _LOWER | _WIDE
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_LOOK_ALIKE = _class(b"@$!|")
 _LEET = _FOLD.copy()
 for _mark, _letter in zip(b"0134578@$!|", b"oieastbasil", strict=True):
     _LEET[_mark] = _letter
@@ -189,18 +190,23 @@ def toxicity_features(column: pa.Array, known: tuple[np.ndarray, np.ndarray], va
         s, e, text = _letter_words(low, at)
         plain, plain_kind = mask_of(low, s, e)
         you = np.flatnonzero(np.isin(span_hashes(low, s, e), second) if len(s) else np.zeros(0, bool))
+        letter = _LETTER[data]
         # hidden words: look-alikes read as letters, joiners dropped, three or more equal letters shortened to one
-        leet = _LEET[data]
+        solid = letter | _DIGIT[data]
+        before_word = np.zeros(len(data), bool)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[at] = True
+        before_word[:-1] = solid[1:] & ~edge[1:-1]
+        leet = np.where(_LOOK_ALIKE[data] & ~before_word, data, _LEET[data])  # a mark that ends a word is no letter
         same = np.zeros(len(data), bool)
-        same[2:] = (leet[2:] == leet[1:-1]) & (leet[1:-1] == leet[:-2])
+        same[2:] = (leet[2:] == leet[1:-1]) & (leet[1:-1] == leet[:-2]) & ~edge[2:-1] & ~edge[1:-2]
         run = same.copy()
         run[:-1] |= same[1:]
         keep = ~run & _LETTER[leet]
         sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[np.stack([starts, ends])], axis=0)[0]  # noqa: E731, B023
-        letter = _LETTER[data]
         has_letter, upper = sums(letter), sums(_UPPER[data])
         inner = letter | np.isin(data, np.frombuffer(b".,;:!?\"'()", np.uint8))  # what ordinary words are made of
-        odd = np.flatnonzero((sums(~inner) + sums(run) > 0) & (has_letter > 0) & (ends - starts < 64))
+        odd = np.flatnonzero((sums(~inner) + sums(run) + sums(_LOOK_ALIKE[data] & before_word) > 0) & (has_letter > 0) & (ends - starts < 64))
         dotted = np.flatnonzero((sums(~letter) >= 2) & (has_letter >= 3) & (ends - starts < 64))
         odd = np.union1d(odd, dotted)
         kept = np.flatnonzero(keep)
