@@ -43,8 +43,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every document: what the mix takes of it."""
-    return mix(docs)
+    """(doc_id, source, size, source_size, target, copies, taken) of the documents that the mix takes, copies times each."""
+    return mix(docs).where("copies > 0")
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_scan), ("mixing", mixing)]
