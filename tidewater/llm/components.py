@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import materialize
 
 
+FEW_EDGES = 200_000  # edges, in both directions, of a graph whose rounds need no shuffle
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of links(a, b); label is the smallest node reachable.
 
     Each round takes the smallest label among neighbours and then the label of that label, so chains shorten by
     doubling. Self links and repeated links do no harm, links with a null end are ignored, and no links give no rows.
+    A graph of at most FEW_EDGES edges, a few MB, is kept in one partition, so that its rounds are short jobs without
+    a shuffle; larger ones are shuffled.
     """
     links = links.where("a is not null and b is not null")
     both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    few = both.limit(FEW_EDGES + 1).count() <= FEW_EDGES
+    together = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    both = together(both)
+    labels = together(materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels"))
     for _ in range(max_rounds):
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
@@ -27,7 +35,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         seen = Observation()
         stepped = stepped.join(up, "label", "left").select("node", F.least("label", "up").alias("label"), "was")
-        labels = materialize(stepped.observe(seen, F.sum((F.col("label") < F.col("was")).cast("long")).alias("moved")), "labels").select("node", "label")
+        stepped = stepped.observe(seen, F.sum((F.col("label") < F.col("was")).cast("long")).alias("moved"))
+        now = materialize(stepped, "labels").select("node", "label")
         if not seen.get["moved"]:
-            return labels
+            return now
+        labels = together(now)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import materialize, mix64, read_table
+from tidewater.llm.common import materialize, mix64, read_table, small
 from tidewater.llm.components import connected_components
 from tidewater.llm.shingles import coordinates, shingle_sets, signature
 
@@ -72,11 +72,21 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """(node, key): the rarest COORDS - MIN_HITS + 1 postings of every set that can have a partner."""
+def _screened(sets: DataFrame) -> DataFrame:
+    """The sets that can have a partner, by what they share in the first SCREEN coordinates."""
     few = _postings(sets, SCREEN)
     passed = few.join(_shared(few), "key", "left_semi").groupBy("node").count().where(F.col("count") >= SCREEN_HITS)
-    sets = materialize(sets.join(passed, "node", "left_semi"), "screened")
+    return materialize(sets.join(passed, "node", "left_semi"), "screened")
+
+
+def _texts_of(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the sets: all that later steps read of the texts, so that these are dealt out once."""
+    met = docs.join(small(sets.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    return materialize(met.groupBy(F.col("doc_id").alias("node")).agg(F.first("text").alias("text")), "texts")
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(node, key): the rarest COORDS - MIN_HITS + 1 postings of every set that can have a partner."""
     every = _postings(sets, COORDS)
     shared = every.join(_shared(every), "key")
     order = Window.partitionBy("node").orderBy("n", "key")
@@ -92,7 +102,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     signed = signed.join(sets.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     near = materialize(signed.where(agree >= MIN_HITS).select("a", "b"), "near")
     needed = near.select(F.col("a").alias("node")).union(near.select(F.col("b"))).distinct()
-    texts = materialize(texts.join(needed, texts["doc_id"] == needed["node"], "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.first("text").alias("text")), "texts")
+    texts = texts.join(small(needed), "node", "left_semi")
     full = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     kind = dict(pairs.dtypes)["a"]
@@ -120,8 +130,7 @@ def _shingle_prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     that is enough where the partner is at least as large, since the two must then share more of this set.
     """
     kind = dict(nodes.dtypes)["node"]
-    kept = texts.join(nodes, texts["doc_id"] == nodes["node"], "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.first("text").alias("text"))
-    rows = materialize(kept.mapInArrow(_shingle_rows, f"node {kind}, size long, key long"), "shingles")
+    rows = materialize(texts.join(small(nodes), "node", "left_semi").mapInArrow(_shingle_rows, f"node {kind}, size long, key long"), "shingles")
     shared = rows.join(_shared(rows.select("key")), "key")
     order = Window.partitionBy("node").orderBy("n", "key")
     ranked = shared.select("node", "size", "key", F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("node")).alias("m"))
@@ -168,9 +177,11 @@ def _to_centres(lists: DataFrame, turn: int) -> DataFrame:
     return joined.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b")).distinct()
 
 
-def _links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) whose components are those of all pairs over the threshold."""
     kind = dict(sets.dtypes)["node"]
+    sets = _screened(sets)
+    texts = _texts_of(sets, docs)
     links = done = sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
     posted = materialize(_prefixes(sets), "prefixes")
     left = posted.withColumn("label", F.col("node"))
