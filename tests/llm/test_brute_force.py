@@ -56,6 +56,29 @@ def test_decontamination_finds_edited_passages_only():
     assert got == wanted and len(wanted) >= 30
 
 
+def test_decontamination_finds_every_passage_and_edited_short_items():
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(n))
+
+    def edited(text, n):
+        chars = list(text)
+        for _ in range(n):
+            k = rng.randrange(len(chars))
+            chars[k : k + 1] = rng.choice([[], ["x"], [chars[k], "x"]])
+        return "".join(chars)
+
+    whole = words(60)[:233]
+    short = {n: words(40)[:n].replace(" ", "e") for n in range(decontaminate.Q, 161)}
+    items = [(0, whole), *short.items()]
+    index = decontaminate.Index(items)
+    size, most = 99, 6
+    passages = [whole[s : s + n] for n in (size, 168) for s in range(len(whole) - n + 1)]
+    texts = [(0, p) for p in passages] + [(0, edited(p, most)) for p in passages] + [(n, edited(s, int(n * decontaminate.EDITS))) for n, s in short.items() for _ in range(20)]
+    got = {(row, item) for row, item, *_ in index.matches(pa.array([f"{words(9)} {text} {words(9)}" for _, text in texts]))}
+    assert not [(n, text) for row, (n, text) in enumerate(texts) if (row, n) not in got]
+    assert not list(index.matches(pa.array([words(60) for _ in range(300)])))
+
+
 def test_banded_distance_against_whole_table():
     rng = random.Random(4)
     for _ in range(60):

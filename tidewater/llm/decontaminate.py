@@ -1,9 +1,12 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping windows of WINDOW characters, short items whole. If a window occurs in a text
-with at most k edits, the two share at least w - Q + 1 - k * Q character q-grams, and all of them lie on diagonals (text
-position less window position) within a span of k. So shared q-grams are counted in overlapping diagonal bands, bands
-that reach the bound are kept, and each is verified by a banded alignment of the window with that part of the text.
+Benchmark items are cut into overlapping windows of WINDOW characters, short items whole, and besides into parts of PART
+characters. The parts start PART_STRIDE apart, so every passage of PASSAGE characters of an item holds a whole one,
+wherever it starts; a part is a window like the others in all that follows. If a window occurs in
+a text with at most k edits, the two share at least w - q + 1 - k * q character q-grams, and all of them lie on diagonals
+(text position less window position) within a span of k. So shared q-grams are counted in overlapping diagonal bands,
+bands that reach the bound are kept, and each is verified by a banded alignment of the window with that part of the text.
+Windows of a length for which the bound of Q is below one are sought by grams of SHORT_Q characters.
 
 Texts are compared with letters lower-cased and runs of white space as one space. Items are indexed in blocks of about
 BLOCK_CHARS characters, and each block meets all documents, so the memory of a task doesn't grow with the benchmark.
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import mix64, read_table, text_chunks
 
-Q = 10
+Q, SHORT_Q = 10, 6
 WINDOW, STRIDE = 160, 80
+PART, PART_STRIDE = 80, 20
+PASSAGE = PART + PART_STRIDE - 1  # the shortest part of a long item that is found wherever it starts
 EDITS = 0.08  # of a window's characters
 BLOCK_CHARS = 2_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -46,22 +51,58 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return chars[where], np.searchsorted(where, at), where - np.repeat(at[:-1], np.diff(np.searchsorted(where, at)))
 
 
-def gram_hashes(chars: np.ndarray) -> np.ndarray:
-    """Hash of the Q characters from every position, by doubling: 2, 4, 8 and then the last two."""
+def gram_hashes(chars: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hash of the q (Q or SHORT_Q) characters from every position, by doubling: 2, 4, perhaps 8, and then the last two."""
     x = chars.astype(np.uint64)
     with np.errstate(over="ignore"):
         two = x[:-1] * _M + x[1:]
         four = two[:-2] * (_M * _M) + two[2:]
+        if q == SHORT_Q:
+            return mix64(four[:-2] * _M + two[4:])
         eight = four[:-4] * (_M * _M * _M) + four[4:]
         full = eight[:-2] * _M + two[8:]
     return mix64(full)
 
 
+class Grams:
+    """The places of the q-grams of some windows; numbers are those of the windows."""
+
+    def __init__(self, q: int, windows: list[np.ndarray], numbers: np.ndarray):
+        found = [gram_hashes(windows[n], q) for n in numbers]
+        size = np.array([len(f) for f in found], np.int64)
+        grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        order = np.argsort(grams, kind="stable")
+        offset = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+        self.q, self.window, self.offset = q, np.repeat(numbers, size)[order].astype(np.int32), offset[order].astype(np.int32)
+        self.grams, self.first = np.unique(grams[order], return_index=True)
+        self.first = np.append(self.first, len(order))
+        self.bits = min(27, max(18, int(np.log2(len(self.grams) + 1)) + 6))
+        self.seen = np.zeros(1 << self.bits, bool)
+        self.seen[self.grams >> np.uint64(64 - self.bits)] = True
+
+    def shared(self, chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, window and diagonal of every gram that a chunk shares with a window."""
+        if len(chars) < self.q or not len(self.grams):
+            return (np.zeros(0, np.int64),) * 3
+        hashes = gram_hashes(chars, self.q)
+        hit = np.flatnonzero(self.seen[hashes >> np.uint64(64 - self.bits)])
+        slot = np.searchsorted(self.grams, hashes[hit])
+        slot[slot == len(self.grams)] = 0
+        real = self.grams[slot] == hashes[hit]
+        hit, slot = hit[real], slot[real]
+        row = np.searchsorted(at, hit, "right") - 1
+        inside = hit + self.q <= at[row + 1]
+        hit, slot, row = hit[inside], slot[inside], row[inside]
+        many = self.first[slot + 1] - self.first[slot]
+        place = np.repeat(self.first[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(row, many), self.window[place].astype(np.int64), np.repeat(hit, many) - self.offset[place]
+
+
 class Index:
-    """Windows of a block of items and the places of their q-grams."""
+    """Windows of a block of items, the edits and shared grams of each, and their q-grams by length."""
 
     def __init__(self, items: list[tuple[object, str]]):
-        self.items, self.windows, self.owner, grams, places = [i for i, _ in items], [], [], [], []
+        self.items, self.windows, self.owner = [i for i, _ in items], [], []
         for n, (_, text) in enumerate(items):
             raw = np.frombuffer(text.encode("utf-8"), np.uint8)
             chars = normalise(raw, np.array([0, len(raw)]))[0]
@@ -69,47 +110,26 @@ class Index:
                 chars = chars[:-1]
             while len(chars) and chars[0] == 32:
                 chars = chars[1:]
-            starts = [0] if len(chars) <= WINDOW else [*range(0, len(chars) - WINDOW, STRIDE), len(chars) - WINDOW]
-            for s in starts:
-                window = chars[s : s + WINDOW]
-                if len(window) >= Q:
-                    found = gram_hashes(window)
-                    grams.append(found)
-                    places.append(np.stack([np.full(len(found), len(self.windows)), np.arange(len(found))]))
-                    self.windows.append(window)
-                    self.owner.append(n)
-        grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(grams, kind="stable")
-        self.places = (np.concatenate(places, axis=1) if places else np.zeros((2, 0), np.int64))[:, order].astype(np.int32)
-        self.grams, self.first = np.unique(grams[order], return_index=True)
-        self.first = np.append(self.first, len(order))
-        self.bits = min(27, max(18, int(np.log2(len(self.grams) + 1)) + 6))
-        self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[self.grams >> np.uint64(64 - self.bits)] = True
+            for size, stride in ((WINDOW, STRIDE), (PART, PART_STRIDE)) if len(chars) > PART else ((WINDOW, STRIDE),):
+                starts = [0] if len(chars) <= size else [*range(0, len(chars) - size, stride), len(chars) - size]
+                for s in starts:
+                    window = chars[s : s + size]
+                    if len(window) >= Q:
+                        self.windows.append(window)
+                        self.owner.append(n)
         self.length = np.array([len(w) for w in self.windows], np.int64)
         self.edits = np.floor(self.length * EDITS).astype(np.int64)
-        self.need = np.maximum(1, self.length - Q + 1 - self.edits * Q)
+        q = np.where(self.length - Q + 1 - self.edits * Q >= 1, Q, SHORT_Q)
+        self.need = self.length - q + 1 - self.edits * q
+        self.grams = [Grams(n, self.windows, np.flatnonzero(q == n)) for n in (Q, SHORT_Q)]
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, object, int, int, int, int]]:
         """(row, item, start, end, edits, windows) of the items that occur in the texts of a column."""
         for first, data, offsets in text_chunks(column):
             chars, at, original = normalise(data, offsets)
-            if len(chars) < Q or not len(self.grams):
-                continue
-            hashes = gram_hashes(chars)
-            hit = np.flatnonzero(self.seen[hashes >> np.uint64(64 - self.bits)])
-            slot = np.searchsorted(self.grams, hashes[hit])
-            slot[slot == len(self.grams)] = 0
-            real = self.grams[slot] == hashes[hit]
-            hit, slot = hit[real], slot[real]
-            row = np.searchsorted(at, hit, "right") - 1
-            inside = hit + Q <= at[row + 1]
-            hit, slot, row = hit[inside], slot[inside], row[inside]
-            many = self.first[slot + 1] - self.first[slot]
-            place = np.repeat(self.first[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            window, offset = self.places[0][place].astype(np.int64), self.places[1][place]
-            row, diagonal = np.repeat(row, many), np.repeat(hit, many) - offset
-            yield from self._verified(chars, at, original, first, *self._bands(row, window, diagonal + WINDOW))
+            row, window, diagonal = (np.concatenate(x) for x in zip(*(g.shared(chars, at) for g in self.grams), strict=True))
+            if len(row):
+                yield from self._verified(chars, at, original, first, *self._bands(row, window, diagonal + WINDOW))
 
     def _bands(self, row: np.ndarray, window: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, window and first diagonal of the bands that hold enough shared q-grams; bands overlap by half."""
