@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidewater.llm import boosting, classify, decontaminate, mixing, near_dedup, pii
 from tidewater.llm import queries as llm
+from tidewater.llm.components import connected_components
 from tidewater.llm.features import COMMON, lexicon, toxicity_features
 
 
@@ -93,6 +94,15 @@ def test_banded_distance_against_whole_table():
         assert cost[0] == edit_distance_in(window, region)
 
 
+@pytest.mark.parametrize("order", ["shuffled", "falling"])
+def test_components_of_long_paths(spark, order):
+    nodes = list(range(1000))
+    random.Random(6).shuffle(nodes)
+    nodes = nodes if order == "shuffled" else [0, *range(999, 0, -1)]
+    links = spark.createDataFrame([*zip(nodes, nodes[1:], strict=False), (2000, 2001), (3000, 3000), (None, 5)], "a long, b long")
+    assert {r.node: r.label for r in connected_components(links).collect()} == {n: 0 for n in nodes} | {2000: 2000, 2001: 2000, 3000: 3000}
+
+
 def brute_base(text):
     out = [(1, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(2, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]

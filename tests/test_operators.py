@@ -117,6 +117,9 @@ def test_joins_and_graphs(spark):
     assert sorted(tuple(r) for r in graph.reach(edges.where("a is not null"), start, 2).collect()) == [(1, 0), (2, 1), (3, 2)]
     empty = edges.limit(0)
     assert graph.components(empty).count() == 0
+    nodes = [int(x) for x in np.random.default_rng(8).permutation(1000)]
+    path = spark.createDataFrame([*zip(nodes, nodes[1:]), (2000, 2001)], "a int, b int")
+    assert {r.node: r.component for r in graph.components(path).collect()} == {n: 0 for n in nodes} | {2000: 2000, 2001: 2000}
 
 
 def test_similarity_join_against_brute_force(spark):

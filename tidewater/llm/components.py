@@ -11,11 +11,13 @@ from tidewater.llm.common import materialize
 FEW_EDGES = 200_000  # edges, in both directions, of a graph whose rounds need no shuffle
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links(a, b); label is the smallest node reachable.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so chains shorten by
-    doubling. Self links and repeated links do no harm, links with a null end are ignored, and no links give no rows.
+    Each round takes the smallest label among neighbours, gives it to the node's current label too, so that whole trees
+    are hooked at once, and then takes the label of that label, so that chains shorten by doubling. Labels only fall, and
+    rounds go on until none does: then the labels of linked nodes are equal. A path of 1,000 nodes in any order takes
+    some 13 rounds. Self links and repeated links do no harm, links with a null end are ignored, and no links give no rows.
     A graph of at most FEW_EDGES edges, a few MB, is kept in one partition, so that its rounds are short jobs without
     a shuffle; larger ones are shuffled.
     """
@@ -25,13 +27,16 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     together = (lambda df: df.coalesce(1)) if few else (lambda df: df)
     both = together(both)
     labels = together(materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels"))
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("near"))
         )
-        stepped = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        met = labels.join(near, "node").select("node", "label", "near")  # every node has a neighbour
+        hooks = met.where("near < label").select(F.col("label").alias("node"), F.lit(None).alias("was"), F.col("near").alias("label"))
+        stepped = met.select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")).unionByName(hooks)
+        stepped = stepped.groupBy("node").agg(F.max("was").alias("was"), F.min("label").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         seen = Observation()
         stepped = stepped.join(up, "label", "left").select("node", F.least("label", "up").alias("label"), "was")
@@ -40,4 +45,3 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen.get["moved"]:
             return now
         labels = together(now)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
