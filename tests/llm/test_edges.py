@@ -121,6 +121,17 @@ def test_pipeline_stages(spark, tmp_path, docs, labels, benchmark):
     assert "taken" in out.columns and out.where("doc_id = 10").count() == 0
 
 
+def test_redaction_lets_ownership_decide(spark):
+    live = ["kT9x2LmQ4vZ8", "kT9x2LmQ4vZ8abc", "kT9x2LmQ4vZ8abcd", "correcthorsebattery", "482915730264", "9071352846119035"]
+    kept = ["xxxxxxxxxxxx", "EXAMPLEKEY123456", "changeme12345", "sharedByThree123"]
+    rows = [(i, f'password = "{v}" and {v} alone', "a") for i, v in enumerate(live + kept)] + [(90, "see correcthorsebattery and kT9x2LmQ4vZ8", "b"), (91, "an understanding", "b")]
+    rows += [(92 + i, "token: sharedByThree123", s) for i, s in enumerate("bc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    wanted = {i: text for i, text, _ in rows} | {i: 'password = "[SECRET]" and [SECRET] alone' for i in range(len(live))} | {90: "see [SECRET] and [SECRET]"}
+    assert got == wanted
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.COM/en/725?x", 1), (2, "https://example.net/de/8", 1), (3, "nothing", 1), (4, None, 1), (None, "ftp://org/es/", 1), (6, "x://notexample.com/en/7", 1),

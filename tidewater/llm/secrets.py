@@ -1,8 +1,9 @@
 """Secret scans: spans of candidate secrets, and the ownership of their values across the corpus.
 
 Base spans come from three patterns. The values of all candidates are hashed and counted by distinct owners (source) and
-repositories (document). A value that COPIED_OWNERS or more owners hold is a copied example; one that fewer hold and
-that looks random is live; the rest are placeholders. The live values of assignments are then looked for where they
+repositories (document). A value that COPIED_OWNERS or more owners hold is a copied example; one that fewer hold is live
+if a rule on its characters allows it; the rest are placeholders. Scans ask for values that look random, as their SQL
+does; redaction takes every value that is no plain placeholder, and seeks those without a digit bare too. The live values of assignments are then looked for where they
 stand bare, without a name before them, and those places are added as spans of kind bare.
 
 All of it is SQL expressions: the starts of matches are running sums over the lengths of what lies between them.
@@ -10,6 +11,8 @@ All of it is SQL expressions: the starts of matches are running sums over the le
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ ASSIGN = NAME + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{12,}"
+BARE_ANY = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}"
+PLAIN = r"(?i)example|change_?me|placeholder"
 ASSIGN_VALUE = 12
 COPIED_OWNERS = 3
 KINDS = ("assign", "access", "hex", "bare")
@@ -69,18 +74,29 @@ def row_key(text: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))), 256)
 
 
-def find_candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, owner, key, base, bare): candidate spans (start, kind, end, hash, random, size of the value) of every row; key is null without any."""
+def looks_random(value: Column) -> Column:
+    """Long enough, with letters and digits, and eight different characters."""
+    return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
+
+
+def not_plain(value: Column) -> Column:
+    """All but plain placeholders: values of fewer than four different characters, or that name themselves an example."""
+    return (F.size(F.array_distinct(F.split(value, ""))) >= 4) & ~value.rlike(PLAIN)
+
+
+def find_candidates(docs: DataFrame, rule: Callable[[Column], Column] = looks_random, bare: str = BARE) -> DataFrame:
+    """(doc_id, owner, key, base, bare): candidate spans (start, kind, end, hash, random, size of the value) of every row; key is null without any.
+
+    random says whether the rule allows the value to be live.
+    """
     df = docs.select("doc_id", F.col("source").alias("owner"), F.coalesce("text", F.lit("")).alias("_text"))
-    for name, pattern, group in (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0), ("bare", BARE, 0)):
+    for name, pattern, group in (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0), ("bare", bare, 0)):
         df = with_matches(df, name, pattern, group)
     df = df.withColumn("assign", F.filter("assign", lambda s: F.length(s["value"]) >= ASSIGN_VALUE))
 
     def spans(name: str) -> Column:
-        # random: long enough, with letters and digits, and no character that fills half of it
         value = lambda s: s["value"]
-        random = lambda s: (F.length(value(s)) >= 16) & value(s).rlike("[0-9]") & value(s).rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value(s), ""))) >= 8)
-        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name) + 1).alias("kind"), s["end"].alias("end"), F.sha2(value(s), 256).alias("hash"), random(s).alias("random"), F.length(value(s)).alias("size")))
+        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name) + 1).alias("kind"), s["end"].alias("end"), F.sha2(value(s), 256).alias("hash"), rule(value(s)).alias("random"), F.length(value(s)).alias("size")))
 
     base = F.concat(spans("assign"), spans("access"), spans("hex"))
     df = df.withColumn("base", base).withColumn("bare", spans("bare"))
@@ -99,15 +115,15 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return each.select("hash", "owners", "repositories", verdict.alias("verdict"))
 
 
-def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame, rule: Callable[[Column], Column] = looks_random, bare: str = BARE) -> tuple[DataFrame, DataFrame]:
     """The candidates of all rows, and (key, verdict, s, bare): the judged spans of every key, bare ones of live values too."""
-    found = materialize(find_candidates(docs), "candidates")
-    values = found.where("key is not null").select("owner", "key", F.explode(F.concat("base", "bare")).alias("s")).select("owner", "key", "s.*")
-    values = materialize(values.distinct(), "values")
+    found = materialize(find_candidates(docs, rule, bare), "candidates")
+    each = lambda spans: found.where("key is not null").select("owner", "key", F.explode(spans).alias("s")).select("owner", "key", "s.*")
+    values = materialize(each("base").distinct(), "values")
     # written before it is joined: both sides are then shuffled, and a value that many documents hold is split
-    verdicts = materialize(ownership(values.where(f"kind < {len(KINDS)}")), "verdicts")
-    sought = values.where(f"kind = {len(KINDS)}").join(values.where("kind = 1").select("hash").distinct(), "hash", "left_semi")
-    held = values.where(f"kind < {len(KINDS)}").unionByName(sought).join(verdicts, "hash")
+    verdicts = materialize(ownership(values), "verdicts")
+    sought = each("bare").join(small(values.where("kind = 1").select("hash").distinct()), "hash", "left_semi").distinct()
+    held = values.unionByName(materialize(sought, "bare")).join(verdicts, "hash")
     at = F.struct("start", "kind", "end", "hash", "random", "size")
     return found, held.select("key", "verdict", at.alias("s"), (F.col("kind") == len(KINDS)).alias("bare")).distinct()
 
@@ -137,9 +153,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of docs; in text, every live value is replaced by the mark, and n_chars follows if it is there.
 
-    Copied examples and placeholders stay as they are. The cases are those of scan_secrets.
+    Live is every candidate that fewer than COPIED_OWNERS owners hold and that is no plain placeholder, words after
+    "secret:" among them. Copied examples and placeholders stay as they are. The cases are those of scan_secrets.
     """
-    _, spans = judged(docs)
+    _, spans = judged(docs, not_plain, BARE_ANY)
     live = spans.where("verdict = 'live'").select("key", F.struct((F.col("s.end") - F.col("s.size")).alias("a"), F.col("s.end").alias("b")).alias("s"))
     live = materialize(live.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias(SPANS)), "live")
     met = docs.withColumn(KEY, row_key(F.col("text"))).join(small(live).withColumnRenamed("key", KEY), KEY, "left").drop(KEY)
