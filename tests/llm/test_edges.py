@@ -132,6 +132,17 @@ def test_redaction_lets_ownership_decide(spark):
     assert got == wanted
 
 
+def test_rows_that_share_an_id(spark):
+    """Rows of one doc_id are one document for the operator; the stage judges each by its own text."""
+    other = " ".join(random.choices(WORDS, k=90))
+    rows = [(3, BASE), (5, other), (5, BASE + " tail"), (6, other + " more"), (7, LONG), (7, LONG), (7, "lone words of its own here"), (None, BASE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(3, 3, True), (5, 3, False), (5, 3, False), (6, 3, False), (7, 7, True), (7, 7, True), (7, 7, True), (None, None, True)]))
+    left = [(r.doc_id, r.text) for r in near_dedup.without_near_duplicates(docs).collect()]
+    assert sorted(map(repr, left)) == sorted(map(repr, [(3, BASE), (5, other), (7, LONG), (7, "lone words of its own here"), (None, BASE)]))
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.COM/en/725?x", 1), (2, "https://example.net/de/8", 1), (3, "nothing", 1), (4, None, 1), (None, "ftp://org/es/", 1), (6, "x://notexample.com/en/7", 1),

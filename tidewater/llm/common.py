@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def map_batches(df: DataFrame, task: Callable, schema) -> DataFrame:
+    """df.mapInArrow in batches of BATCH_BYTES at most, so that long rows don't fill a worker.
+
+    Spark plans a query with the settings of the session at that moment, so the bound is set there and stays. A bound
+    that the session already sets, other than Spark's own of 64 MB, is kept.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING).rstrip("b") == str(64 << 20):
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(task, schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

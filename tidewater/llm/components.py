@@ -1,4 +1,4 @@
-"""Connected components of a link table by repeated joins; nothing is gathered on the driver."""
+"""Connected components of a link table by repeated joins; nothing is gathered on the driver or in one task."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import materialize
 
 
-FEW_EDGES = 200_000  # edges, in both directions, of a graph whose rounds need no shuffle
-
-
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links(a, b); label is the smallest node reachable.
 
@@ -18,15 +15,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     are hooked at once, and then takes the label of that label, so that chains shorten by doubling. Labels only fall, and
     rounds go on until none does: then the labels of linked nodes are equal. A path of 1,000 nodes in any order takes
     some 13 rounds. Self links and repeated links do no harm, links with a null end are ignored, and no links give no rows.
-    A graph of at most FEW_EDGES edges, a few MB, is kept in one partition, so that its rounds are short jobs without
-    a shuffle; larger ones are shuffled.
     """
     links = links.where("a is not null and b is not null")
     both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    few = both.limit(FEW_EDGES + 1).count() <= FEW_EDGES
-    together = (lambda df: df.coalesce(1)) if few else (lambda df: df)
-    both = together(both)
-    labels = together(materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels"))
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
@@ -41,7 +33,25 @@ def connected_components(links: DataFrame) -> DataFrame:
         seen = Observation()
         stepped = stepped.join(up, "label", "left").select("node", F.least("label", "up").alias("label"), "was")
         stepped = stepped.observe(seen, F.sum((F.col("label") < F.col("was")).cast("long")).alias("moved"))
-        now = materialize(stepped, "labels").select("node", "label")
+        labels = materialize(stepped, "labels").select("node", "label")
         if not seen.get["moved"]:
-            return now
-        labels = together(now)
+            return labels
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, label) of some links, made those of links(a, b) too.
+
+    Only the links between different labels are followed, with labels for nodes, so a few more links are little work. A
+    node without a label is its own.
+    """
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    met = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    met = met.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    seen = Observation()
+    across = materialize(met.where("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("links")), "across")
+    if not seen.get["links"]:
+        return labels
+    roots = connected_components(across)
+    moved = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+    every = moved.select("node", F.coalesce("root", "label").alias("label")).unionByName(roots)
+    return materialize(every.groupBy("node").agg(F.min("label").alias("label")), "labels")

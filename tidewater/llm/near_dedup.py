@@ -15,7 +15,10 @@ Every distinct shingle set gets a signature of COORDS MinHash values. A pair who
 4. Every candidate's agreements are counted over whole signatures, and what reaches MIN_HITS is confirmed on the full
    shingle sets.
 
-Exact copies (equal shingle sets) are collapsed first, so groups of copies cost one row.
+Exact copies (equal shingle sets) are collapsed first, so groups of copies cost one row. Each such class is one node,
+numbered when the classes are written. Texts are dealt out once, to make the shingle sets of the classes that pass the
+screen. Counts of posting lists and their centres are written before they are joined, so that both sides of each join
+are plain shuffles and a list that very many sets hold is split.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import materialize, mix64, read_table, small
-from tidewater.llm.components import connected_components
+from tidewater.llm.common import map_batches, materialize, mix64, read_table
+from tidewater.llm.components import connected_components, extended
 from tidewater.llm.shingles import coordinates, shingle_sets, signature
 
 COORDS, MIN_HITS, SCREEN, SCREEN_HITS, WIDTH, PERCENT = 128, 76, 32, 12, 5, 75
 CENTRES = (1, 4, 16, 64)  # of a posting list, in the turns of step 3
+OPEN_PAIRS = 2  # open pairs for each open posting that need no further turn
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,20 +50,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h1.append(int(found.sum().astype(np.int64)) if len(found) else None)
                 h2.append(int(mix64(found ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)) if len(found) else None)
             sigs.append(signature(found, a, b).view(np.int32) if len(found) else None)
-        arrays = [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "h1", "h2", "sig"])
+        arrays = [batch.column("doc_id"), batch.column("text_key"), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_shingles", "h1", "h2", "sig"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose full shingle sets satisfy 100 * intersection >= PERCENT * union."""
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles): the whole set of every text."""
     for batch in batches:
-        keep = []
-        sides = zip(batch.column("a").to_pylist(), shingle_sets(batch.column("text_a"), WIDTH), shingle_sets(batch.column("text_b"), WIDTH), strict=True)
-        for _, x, y in sides:
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(len(x) > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common))
-        mask = pa.array(keep, pa.bool_())
-        yield batch.select(["a", "b"]).filter(mask)
+        sets = list(shingle_sets(batch.column("text"), WIDTH))
+        ends = np.cumsum([0, *(len(x) for x in sets)])
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "shingles"])
 
 
 def _postings(sets: DataFrame, n: int) -> DataFrame:
@@ -69,20 +70,22 @@ def _postings(sets: DataFrame, n: int) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return materialize(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
 
 
 def _screened(sets: DataFrame) -> DataFrame:
     """The sets that can have a partner, by what they share in the first SCREEN coordinates."""
     few = _postings(sets, SCREEN)
     passed = few.join(_shared(few), "key", "left_semi").groupBy("node").count().where(F.col("count") >= SCREEN_HITS)
-    return materialize(sets.join(passed, "node", "left_semi"), "screened")
+    return materialize(sets.join(materialize(passed.select("node"), "passed"), "node", "left_semi"), "screened")
 
 
-def _texts_of(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the sets: all that later steps read of the texts, so that these are dealt out once."""
-    met = docs.join(small(sets.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
-    return materialize(met.groupBy(F.col("doc_id").alias("node")).agg(F.first("text").alias("text")), "texts")
+def _full_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the sets, from the text of one row of each: texts are dealt out this once."""
+    chosen = sets.select("node", F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    met = docs.withColumn("text_key", F.xxhash64("text")).join(chosen, (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("k")))
+    texts = met.groupBy("d", "k").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
+    return materialize(map_batches(texts, _shingles, "node long, shingles array<long>"), "shingle_sets")
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
@@ -95,27 +98,19 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     return ranked.where((F.col("m") >= MIN_HITS) & (F.col("r") <= F.col("m") - MIN_HITS + 1)).select("node", "key")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree in MIN_HITS coordinates and on their full shingle sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in MIN_HITS coordinates and then on their full shingle sets."""
+
+    def beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(table.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
+        return pairs
+
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    signed = pairs.join(sets.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-    signed = signed.join(sets.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    near = materialize(signed.where(agree >= MIN_HITS).select("a", "b"), "near")
-    needed = near.select(F.col("a").alias("node")).union(near.select(F.col("b"))).distinct()
-    texts = texts.join(small(needed), "node", "left_semi")
-    full = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    full = full.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    kind = dict(pairs.dtypes)["a"]
-    return materialize(full.mapInArrow(_confirm, f"a {kind}, b {kind}"), "links")
-
-
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, size, key): every shingle of every text, with the size of its set."""
-    for batch in batches:
-        for node, found in zip(batch.column("node"), shingle_sets(batch.column("text"), WIDTH), strict=True):
-            if len(found):
-                arrays = [pa.repeat(node, len(found)), pa.repeat(pa.scalar(len(found), pa.int64()), len(found)), pa.array(found.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["node", "size", "key"])
+    near = materialize(beside(pairs, sets, "sig").where(agree >= MIN_HITS).select("a", "b"), "near")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    union = F.size("shingles_a") + F.size("shingles_b") - common
+    return materialize(beside(near, full, "shingles").where(100 * common >= PERCENT * union).select("a", "b"), "links")
 
 
 def _overlap(sizes: Column) -> Column:
@@ -123,14 +118,14 @@ def _overlap(sizes: Column) -> Column:
     return F.ceil(PERCENT * sizes / (100 + PERCENT))
 
 
-def _shingle_prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _shingle_prefixes(nodes: DataFrame, full: DataFrame) -> DataFrame:
     """(node, key, size, rest, small): the shingles that a partner among nodes must share one of, rarest first.
 
     This is the exact prefix filter. rest counts the shared shingles from this one on. small marks the shorter prefix
     that is enough where the partner is at least as large, since the two must then share more of this set.
     """
-    kind = dict(nodes.dtypes)["node"]
-    rows = materialize(texts.join(small(nodes), "node", "left_semi").mapInArrow(_shingle_rows, f"node {kind}, size long, key long"), "shingles")
+    sets = materialize(full.join(materialize(nodes, "nodes"), "node", "left_semi"), "open_sets")
+    rows = sets.select("node", F.size("shingles").cast("long").alias("size"), F.explode("shingles").alias("key"))
     shared = rows.join(_shared(rows.select("key")), "key")
     order = Window.partitionBy("node").orderBy("n", "key")
     ranked = shared.select("node", "size", "key", F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("node")).alias("m"))
@@ -158,12 +153,15 @@ def _across(left: DataFrame) -> DataFrame:
     return one.join(two, "key").where(fits).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
 
 
-def _crossing(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, key, label, cross): postings of lists that hold more than one component; cross counts their open pairs."""
-    marked = posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _crossing(posted: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """(node, key, label): postings of lists that hold more than one component; their number, and that of their open pairs."""
+    marked = materialize(posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "marked")
     per = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     per = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq")).where("parts > 1")
-    return materialize(marked.join(per.select("key", ((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("cross")), "key"), "open")
+    seen = Observation()
+    per = per.observe(seen, F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("pairs"))
+    left = materialize(marked.join(materialize(per.select("key"), "open_lists"), "key", "left_semi"), "open")
+    return left, seen.get["rows"] or 0, seen.get["pairs"] or 0
 
 
 def _to_centres(lists: DataFrame, turn: int) -> DataFrame:
@@ -172,33 +170,55 @@ def _to_centres(lists: DataFrame, turn: int) -> DataFrame:
     cols = [x for x in ("node", "label", "size", "rest") if x in lists.columns]
     part = F.pmod(F.xxhash64(F.lit(-turn - 1), F.col("node")), F.lit(n))
     centres = lists.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64(F.col("node"), F.lit(turn)), *cols)).alias("centre"))
-    joined = lists.join(centres.select("key", *(F.col(f"centre.{x}").alias(f"{x}_c") for x in cols)), "key")
+    centres = materialize(centres.select("key", *(F.col(f"centre.{x}").alias(f"{x}_c") for x in cols)), "centres")
+    joined = lists.join(centres, "key")
     joined = joined.where(_fits("", "_c") if "size" in cols else F.col("label") != F.col("label_c"))
     return joined.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b")).distinct()
 
 
-def _links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs over the threshold."""
-    kind = dict(sets.dtypes)["node"]
+def _components(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, label): the components of all pairs over the threshold, of the nodes that have a link."""
     sets = _screened(sets)
-    texts = _texts_of(sets, docs)
-    links = done = sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+    full = _full_sets(sets, docs)
     posted = materialize(_prefixes(sets), "prefixes")
     left = posted.withColumn("label", F.col("node"))
+    done = labels = None
     for turn in range(len(CENTRES)):
-        pairs = materialize(_to_centres(left, turn).join(done, ["a", "b"], "left_anti"), "pairs")
-        links, done = links.union(_verified(pairs, sets, texts)), done.union(pairs)
-        labels = connected_components(links)
-        left = _crossing(posted, labels)
+        pairs = _to_centres(left, turn)
+        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        done = pairs if done is None else done.union(pairs)
+        links = _verified(pairs, sets, full)
+        labels = connected_components(links) if labels is None else extended(labels, links)
         if not turn:  # what the signatures leave open is posted anew under its shingles
-            posted = materialize(_shingle_prefixes(left.select("node").distinct(), texts), "shingle_prefixes")
-            left = _crossing(posted, labels)
-        rows = left.count()
-        cross = left.select("key", "cross").distinct().agg(F.sum("cross")).first()[0] or 0
-        if cross <= 2 * rows + 20_000:
+            left, _, _ = _crossing(posted, labels)
+            posted = materialize(_shingle_prefixes(left.select("node").distinct(), full), "shingle_prefixes")
+        left, rows, open_pairs = _crossing(posted, labels)
+        if open_pairs <= OPEN_PAIRS * rows:
             break
-    rest = _across(left)
-    return links.union(_verified(materialize(rest.join(done, ["a", "b"], "left_anti"), "pairs"), sets, texts))
+    rest = materialize(_across(left).join(done, ["a", "b"], "left_anti"), "pairs")
+    return extended(labels, _verified(rest, sets, full))
+
+
+def _judged(docs: DataFrame, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, n_shingles, node), null node where nothing can link; classes; and labels of linked nodes.
+
+    The classes (node, doc_id, text_key, copies) carry the smallest (doc_id, text_key) of their rows. by_id links the
+    classes that rows of one doc_id lie in.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    base = materialize(map_batches(base, _signatures, f"doc_id {kind}, text_key long, n_shingles long, h1 long, h2 long, sig array<int>"), "signatures")
+    usable = base.where("n_shingles > 0 and doc_id is not null")
+    classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "row.*", "copies", "sig"), "classes")
+    rows = usable.select("doc_id", "text_key", "n_shingles", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).drop("h1", "h2")
+    rows = materialize(rows, "rows")
+    labels = _components(classes.select("node", "doc_id", "text_key", "sig"), docs.select("doc_id", "text"))
+    if by_id:
+        several = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+        labels = extended(labels, rows.join(materialize(several, "several"), "doc_id").select("a", F.col("node").alias("b")).where("a < b"))
+    rest = base.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("node"))
+    return rows.select("doc_id", "text_key", "n_shingles", "node").union(rest), classes.drop("h1", "h2", "sig"), labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -206,41 +226,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links, kept marks the document that carries it, and copies
     counts the rows with the same shingle set. Defined cases: a null or blank text has no shingles and is linked with
-    nothing; a row with a null doc_id is linked with nothing and kept; rows that repeat a doc_id are one document and
-    get equal results when their texts agree; other columns are ignored; no rows give no rows.
+    nothing; a row with a null doc_id is linked with nothing and kept; rows that repeat a doc_id are one document, so
+    what any of their texts is linked with belongs to one component; other columns are ignored; no rows give no rows.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    base = materialize(
-        docs.select("doc_id", "text").mapInArrow(_signatures, f"doc_id {kind}, n_shingles long, h1 long, h2 long, sig array<int>"), "signatures"
-    )
-    usable = base.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
-    sets = materialize(
-        usable.join(classes.select(F.col("node").alias("doc_id"), F.col("h1").alias("k1"), F.col("h2").alias("k2")), "doc_id")
-        .where("h1 = k1 and h2 = k2").groupBy(F.col("doc_id").alias("node")).agg(F.first("sig").alias("sig")),
-        "sets",
-    )
-    labels = connected_components(_links(sets, docs.select("doc_id", "text")))
-    labelled = classes.join(labels, "node", "left").select("h1", "h2", "copies", F.coalesce("label", "node").alias("component"))
-    usable_h1, usable_h2 = (F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("h1", "h2"))
-    out = base.select("doc_id", "n_shingles", usable_h1, usable_h2).join(labelled, ["h1", "h2"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "copies")
+    rows, classes, labels = _judged(docs, by_id=True)
+    named = materialize(classes.join(labels, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label")), "named")
+    least = materialize(named.groupBy("label").agg(F.min("doc_id").alias("component")), "components")
+    found = materialize(named.join(least, "label").select("node", "component", "copies"), "found")
+    linked = rows.where("node is not null").join(found, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"), "copies")
+    alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
+    return linked.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "copies")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are kept; of rows that agree in doc_id and shingles, one stays.
+    """The rows of docs, with all their columns, of which one stays for each component: the smallest by doc_id and text hash.
 
-    The cases are those of near_duplicates: rows without a doc_id or without words all stay.
+    Rows without a doc_id or without words all stay. Rows that repeat a doc_id are judged by their own texts here, so a
+    text that is near no other stays beside its namesake; of rows that agree in doc_id and text, one stays.
     """
-    found = materialize(near_duplicates(docs), "judged")
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = materialize(found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "n_shingles").count().where("count > 1").select("doc_id").distinct(), "repeated")
+    rows, classes, labels = _judged(docs, by_id=False)
+    named = materialize(classes.join(labels, "node", "left").select("node", "doc_id", "text_key", F.coalesce("label", "node").alias("label")), "named")
+    least = materialize(named.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("row")), "components")
+    best = materialize(named.join(least, "label").select("node", F.col("row.doc_id").alias("best_id"), F.col("row.text_key").alias("best_key")), "best")
+    judged = rows.where("node is not null").join(best, "node")
+    stays = (F.col("doc_id") == F.col("best_id")) & (F.col("text_key") == F.col("best_key"))
+    counted = materialize(judged.groupBy("doc_id", "text_key").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("times")).where("not stays or times > 1"), "counted")
+    gone = counted.where("not stays").select(F.col("doc_id").alias("_near_dedup_id"), F.col("text_key").alias("_near_dedup_key"))
+    again = counted.where("stays").select(F.col("doc_id").alias("_near_dedup_id"), F.col("text_key").alias("_near_dedup_key"))
+    at = (F.col("doc_id") == F.col("_near_dedup_id")) & (F.xxhash64("text") == F.col("_near_dedup_key"))
+    left = docs.join(gone, at, "left_anti")
     if again.isEmpty():
-        return left.select(*docs.columns)
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return left
+    return left.join(again, at, "left_anti").union(left.join(again, at, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
