@@ -10,8 +10,8 @@ Every distinct shingle set gets a signature of COORDS MinHash values. A pair who
    its COORDS - MIN_HITS + 1 rarest postings: two sets with MIN_HITS agreements must meet in those.
 3. Skip merging: long posting lists are never expanded into all their pairs. Members are first compared with a centre
    of each list; lists whose members then lie in one component are skipped. Sets that still meet across components are
-   posted under their shingles with the exact prefix bound, compared with more and more centres, and only what is then
-   left across components is paired, where the sizes of two sets and the place of the shingle in them allow it.
+   posted under their shingles with the exact prefix bound, compared with several centres of each list, and only what is
+   then left across components is paired, where the sizes of two sets and the place of the shingle in them allow it.
 4. Every candidate's agreements are counted over whole signatures, and what reaches MIN_HITS is confirmed on the full
    shingle sets.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,8 +36,7 @@ from tidewater.llm.components import connected_components, extended
 from tidewater.llm.shingles import coordinates, shingle_sets, signature
 
 COORDS, MIN_HITS, SCREEN, SCREEN_HITS, WIDTH, PERCENT = 128, 76, 32, 12, 5, 75
-CENTRES = (1, 4, 16, 64)  # of a posting list, in the turns of step 3
-OPEN_PAIRS = 2  # open pairs for each open posting that need no further turn
+CENTRES = (1, 16)  # of a posting list, in the turns of step 3
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +152,11 @@ def _across(left: DataFrame) -> DataFrame:
     return one.join(two, "key").where(fits).select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
 
 
-def _crossing(posted: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
-    """(node, key, label): postings of lists that hold more than one component; their number, and that of their open pairs."""
+def _crossing(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, key, label): postings of lists that hold more than one component."""
     marked = materialize(posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "marked")
-    per = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq")).where("parts > 1")
-    seen = Observation()
-    per = per.observe(seen, F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("pairs"))
-    left = materialize(marked.join(materialize(per.select("key"), "open_lists"), "key", "left_semi"), "open")
-    return left, seen.get["rows"] or 0, seen.get["pairs"] or 0
+    mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return materialize(marked.join(materialize(mixed.select("key"), "open_lists"), "key", "left_semi"), "open")
 
 
 def _to_centres(lists: DataFrame, turn: int) -> DataFrame:
@@ -181,21 +176,17 @@ def _components(sets: DataFrame, docs: DataFrame) -> DataFrame:
     sets = _screened(sets)
     full = _full_sets(sets, docs)
     posted = materialize(_prefixes(sets), "prefixes")
-    left = posted.withColumn("label", F.col("node"))
-    done = labels = None
-    for turn in range(len(CENTRES)):
-        pairs = _to_centres(left, turn)
-        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = pairs if done is None else done.union(pairs)
-        links = _verified(pairs, sets, full)
-        labels = connected_components(links) if labels is None else extended(labels, links)
-        if not turn:  # what the signatures leave open is posted anew under its shingles
-            left, _, _ = _crossing(posted, labels)
-            posted = materialize(_shingle_prefixes(left.select("node").distinct(), full), "shingle_prefixes")
-        left, rows, open_pairs = _crossing(posted, labels)
-        if open_pairs <= OPEN_PAIRS * rows:
-            break
-    rest = materialize(_across(left).join(done, ["a", "b"], "left_anti"), "pairs")
+    # by signatures
+    done = materialize(_to_centres(posted.withColumn("label", F.col("node")), 0), "pairs")
+    labels = connected_components(_verified(done, sets, full))
+    # what they leave open is posted anew under its shingles
+    open_nodes = _crossing(posted, labels).select("node").distinct()
+    posted = materialize(_shingle_prefixes(open_nodes, full), "shingle_prefixes")
+    for turn in range(1, len(CENTRES)):
+        pairs = materialize(_to_centres(_crossing(posted, labels), turn).join(done, ["a", "b"], "left_anti"), "pairs")
+        done = done.union(pairs)
+        labels = extended(labels, _verified(pairs, sets, full))
+    rest = materialize(_across(_crossing(posted, labels)).join(done, ["a", "b"], "left_anti"), "pairs")
     return extended(labels, _verified(rest, sets, full))
 
 
