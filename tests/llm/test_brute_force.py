@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ def test_decontamination_finds_edited_passages_only():
             texts.append(f"{filler} {edited(item, int(len(item) * share))} {filler}".upper() if i % 2 else f"{filler}\n{edited(item, int(len(item) * share))}\n\t{filler}")
     texts += [" ".join(word() for _ in range(300)) for _ in range(10)]
     index = decontaminate.Index(items)
-    got = {(row, item) for row, item, *_ in index.matches(pa.array(texts))}
+    got = {(row, index.items[item]) for row, item, *_ in index.matches(pa.array(texts))}
     plain = lambda t: re.sub(r"\s+", " ", t.lower())
     wanted = set()
     for row, text in enumerate(texts):
@@ -75,11 +76,28 @@ def test_decontamination_finds_every_passage_and_edited_short_items():
     size, most = 99, 6
     passages = [whole[s : s + n] for n in (size, 168) for s in range(len(whole) - n + 1)]
     texts = [(0, p) for p in passages] + [(0, edited(p, most)) for p in passages] + [(n, edited(s, int(n * decontaminate.EDITS))) for n, s in short.items() for _ in range(20)]
-    got = {(row, item) for row, item, *_ in index.matches(pa.array([f"{words(9)} {text} {words(9)}" for _, text in texts]))}
+    got = {(row, index.items[item]) for row, item, *_ in index.matches(pa.array([f"{words(9)} {text} {words(9)}" for _, text in texts]))}
     assert not [(n, text) for row, (n, text) in enumerate(texts) if (row, n) not in got]
     assert not list(index.matches(pa.array([words(60) for _ in range(300)])))
 
 
+def test_decontamination_of_equal_letters_takes_little_memory():
+    index = decontaminate.Index([(5, "a" * 80), (99, "b" * 30)])
+    tracemalloc.start()
+    got = sorted(index.matches(pa.array(["a" * 200_000, "b" * 29, None])))
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert [(r, i, s, e, k) for r, i, s, e, k, _ in got] == [(0, 0, 0, 200_000, 0), (1, 1, 0, 29, 1)]
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "smallint", "bigint"])
+def test_decontamination_keeps_the_kind_of_item_ids(spark, kind):
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    bench = spark.createDataFrame([(7, item)], "item_id int, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    out = decontaminate.find_leaks(spark.createDataFrame([(1, f"so {item} it is")], "doc_id long, text string"), bench)
+    assert dict(out.dtypes)["item_id"] == kind and str(out.first().item_id) == "7"
+
+
 def test_banded_distance_against_whole_table():
     rng = random.Random(4)
     for _ in range(60):

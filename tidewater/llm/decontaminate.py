@@ -14,6 +14,7 @@ BLOCK_CHARS characters, and each block meets all documents, so the memory of a t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import mix64, read_table, text_chunks
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tidewater.llm.common import map_batches, mix64, read_table, text_chunks
 
 Q, SHORT_Q = 10, 6
 WINDOW, STRIDE = 160, 80
@@ -29,6 +32,8 @@ PART, PART_STRIDE = 80, 20
 PASSAGE = PART + PART_STRIDE - 1  # the shortest part of a long item that is found wherever it starts
 EDITS = 0.08  # of a window's characters
 BLOCK_CHARS = 2_000_000
+SLICE = 1 << 20  # places of shared grams that are looked at together
+_BUILT: dict[str, Index] = {}  # the index that this worker built last
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,16 +79,21 @@ class Grams:
         order = np.argsort(grams, kind="stable")
         offset = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
         self.q, self.window, self.offset = q, np.repeat(numbers, size)[order].astype(np.int32), offset[order].astype(np.int32)
-        self.grams, self.first = np.unique(grams[order], return_index=True)
-        self.first = np.append(self.first, len(order))
+        self.grams, slot, many = np.unique(grams[order], return_inverse=True, return_counts=True)
+        self.first = np.concatenate([[0], np.cumsum(many)])
+        self.windows = int(numbers.max()) + 1 if len(numbers) else 0
+        self.places = slot * self.windows + self.window  # rises, for the windows of a gram stand in order
         self.bits = min(27, max(18, int(np.log2(len(self.grams) + 1)) + 6))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.grams >> np.uint64(64 - self.bits)] = True
 
-    def shared(self, chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, window and diagonal of every gram that a chunk shares with a window."""
+    def shared(self, chars: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row, window and diagonal of every gram that a chunk shares with a window, in slices of about SLICE places.
+
+        The slices overlap by more than a window, so what belongs to one occurrence of a window stands in one slice.
+        """
         if len(chars) < self.q or not len(self.grams):
-            return (np.zeros(0, np.int64),) * 3
+            return
         hashes = gram_hashes(chars, self.q)
         hit = np.flatnonzero(self.seen[hashes >> np.uint64(64 - self.bits)])
         slot = np.searchsorted(self.grams, hashes[hit])
@@ -93,9 +103,26 @@ class Grams:
         row = np.searchsorted(at, hit, "right") - 1
         inside = hit + self.q <= at[row + 1]
         hit, slot, row = hit[inside], slot[inside], row[inside]
-        many = self.first[slot + 1] - self.first[slot]
-        place = np.repeat(self.first[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(row, many), self.window[place].astype(np.int64), np.repeat(hit, many) - self.offset[place]
+        yield from self._slices(hit, slot, row, 0, self.windows)
+
+    def _slices(self, hit, slot, row, low, high) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The places of some hits in the windows low to high, split by position and then by window while they are many."""
+        if not len(hit):
+            return
+        first = np.searchsorted(self.places, slot * self.windows + low)
+        many = np.searchsorted(self.places, slot * self.windows + high) - first
+        total, reach = int(many.sum()), 2 * WINDOW
+        if total > SLICE and hit[-1] - hit[0] > 4 * reach:
+            middle = (hit[0] + hit[-1]) // 2
+            for part in (hit < middle + reach, hit >= middle):
+                yield from self._slices(hit[part], slot[part], row[part], low, high)
+        elif total > SLICE and high - low > 1:
+            middle = (low + high) // 2
+            yield from self._slices(hit, slot, row, low, middle)
+            yield from self._slices(hit, slot, row, middle, high)
+        elif total:
+            place = np.repeat(first, many) + np.arange(total) - np.repeat(np.cumsum(many) - many, many)
+            yield np.repeat(row, many), self.window[place].astype(np.int64), np.repeat(hit, many) - self.offset[place]
 
 
 class Index:
@@ -123,13 +150,16 @@ class Index:
         self.need = self.length - q + 1 - self.edits * q
         self.grams = [Grams(n, self.windows, np.flatnonzero(q == n)) for n in (Q, SHORT_Q)]
 
-    def matches(self, column: pa.Array) -> Iterator[tuple[int, object, int, int, int, int]]:
-        """(row, item, start, end, edits, windows) of the items that occur in the texts of a column."""
+    def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(row, number of the item, start, end, edits, windows) of the items that occur in the texts of a column."""
         for first, data, offsets in text_chunks(column):
             chars, at, original = normalise(data, offsets)
-            row, window, diagonal = (np.concatenate(x) for x in zip(*(g.shared(chars, at) for g in self.grams), strict=True))
-            if len(row):
-                yield from self._verified(chars, at, original, first, *self._bands(row, window, diagonal + WINDOW))
+            best: dict[tuple[int, int], list] = {}
+            for grams in self.grams:
+                for row, window, diagonal in grams.shared(chars, at):
+                    self._verify(chars, at, original, best, *self._bands(row, window, diagonal + WINDOW))
+            for (r, item), (start, end, edits, seen) in best.items():
+                yield first + r, item, start, end, edits, len(seen)
 
     def _bands(self, row: np.ndarray, window: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, window and first diagonal of the bands that hold enough shared q-grams; bands overlap by half."""
@@ -137,18 +167,16 @@ class Index:
         out = []
         for shift in (0, 1):  # band n covers the diagonals (2n - shift) * half up to (2n - shift + 2) * half
             band = (diagonal + shift * half) // (2 * half)
-            order = np.lexsort((band, window, row))
-            r, w, b = row[order], window[order], band[order]
-            new = np.ones(len(r), bool)
-            new[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1]) | (b[1:] != b[:-1])
-            start = np.flatnonzero(new)
-            count = np.diff(np.append(start, len(r)))
-            keep = start[count >= self.need[w[start]]] if len(start) else start
+            wide = int(band.max()) + 1
+            key, count = np.unique((row * len(self.length) + window) * wide + band, return_counts=True)
+            pair, b = np.divmod(key, wide)
+            r, w = np.divmod(pair, len(self.length))
+            keep = count >= self.need[w]
             out.append((r[keep], w[keep], (2 * b[keep] - shift) * (self.edits[w[keep]] + 1) - WINDOW))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def _verified(self, chars, at, original, first, row, window, diagonal) -> Iterator[tuple[int, object, int, int, int, int]]:
-        best: dict[tuple[int, int], list] = {}
+    def _verify(self, chars, at, original, best, row, window, diagonal) -> None:
+        """Aligns windows with their bands and notes in best, by (row, item), what span and how few edits were found."""
         for length in np.unique(self.length[window]) if len(window) else ():
             chosen = np.flatnonzero(self.length[window] == length)
             for part in np.array_split(chosen, max(1, len(chosen) // 512)):
@@ -162,13 +190,10 @@ class Index:
                 for n in np.flatnonzero(cost <= k):
                     stop = min(int(low[n] + end[n] + length), int(at[row[part[n]] + 1]))
                     start = max(stop - int(length), int(at[row[part[n]]]))
-                    found = best.setdefault((int(row[part[n]]), self.owner[window[part[n]]]), [None, 0, 0, 99999, set()])
-                    begin, finish = int(original[start]), int(original[stop - 1]) + 1
-                    found[1], found[2] = (begin, finish) if found[0] is None else (min(found[1], begin), max(found[2], finish))
-                    found[0], found[3] = True, min(found[3], int(cost[n]))
-                    found[4].add(int(window[part[n]]))
-        for (r, item), (_, start, end, edits, seen) in best.items():
-            yield first + r, self.items[item], start, end, edits, len(seen)
+                    found = best.setdefault((int(row[part[n]]), self.owner[window[part[n]]]), [1 << 62, 0, k, set()])
+                    found[0], found[1] = min(found[0], int(original[start])), max(found[1], int(original[stop - 1]) + 1)
+                    found[2] = min(found[2], int(cost[n]))
+                    found[3].add(int(window[part[n]]))
 
 
 def banded_distance(windows: np.ndarray, regions: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,10 +218,17 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
         yield [(r.item_id, r.text) for r in block.orderBy("item_id", "text").toLocalIterator()]
 
 
-def _over_blocks(docs: DataFrame, benchmark: DataFrame, task: Callable, schema: str) -> Iterator[DataFrame]:
-    for block in item_blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-        yield docs.mapInArrow(lambda batches, held=held: task(Index(held.value), batches), schema)
+def _over_block(docs: DataFrame, block: list[tuple[object, str]], task: Callable, schema) -> DataFrame:
+    """docs through task(index, batches); a worker builds the index of a block once for all its tasks in a row."""
+    held, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def with_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = Index(held.value)
+        yield from task(_BUILT[name], batches)
+
+    return map_batches(docs, with_index, schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -210,17 +242,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {ids[0]}, item_id {ids[1]}, start long, end long, edits int, windows int"
 
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
+
     def task(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = pa.array(index.items, kind)
         for batch in batches:
-            found = list(index.matches(batch.column("text")))
-            rows = pa.array([f[0] for f in found], pa.int64())
-            kinds = (None, pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            cols = [pa.array([f[i + 1] for f in found], kinds[i]) if kinds[i] else pa.array([f[1] for f in found], pa.from_numpy_dtype(np.int64) if ids[1] in ("bigint", "long") else None) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), *cols], ["doc_id", "item_id", "start", "end", "edits", "windows"])
+            found = np.array(list(index.matches(batch.column("text"))), np.int64).reshape(-1, 6).T
+            ids = batch.column("doc_id").take(pa.array(found[0])), items.take(pa.array(found[1]))
+            cols = pa.array(found[2]), pa.array(found[3]), pa.array(found[4].astype(np.int32)), pa.array(found[5].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*ids, *cols], ["doc_id", "item_id", "start", "end", "edits", "windows"])
 
     found = docs.sparkSession.createDataFrame([], schema)
-    for block in _over_blocks(docs.select("doc_id", "text"), benchmark, task, schema):
-        found = found.union(block)
+    for block in item_blocks(benchmark):
+        found = found.union(_over_block(docs.select("doc_id", "text"), block, task, schema))
     return found
 
 
@@ -235,8 +269,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(clean))
 
     for block in item_blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-        docs = docs.mapInArrow(lambda batches, held=held: task(Index(held.value), batches), docs.schema)
+        docs = _over_block(docs, block, task, docs.schema)
     return docs
 
 
