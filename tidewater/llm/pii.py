@@ -1,10 +1,11 @@
 """Personal data by fixed patterns, and by bootstrapped contexts.
 
 Seeds are the spans of four patterns: email, ip, card and phone. Every seed and every other token with a digit or an @ is
-an instance of the lexical patterns around it: the word before it, and the two words before it. Spark scores the graph of
-patterns and instances in rounds: a pattern is worth the mean of its distinct instances, an instance the most that a
-trusted pattern gives it, and seeds are always worth one. Tokens that patterns of high confidence point at are added as
-spans of kind found.
+an instance of the lexical patterns around it: the word before, the two words before, the word after, the words on both
+sides, and the word before together with the shape of the token (digits as 0, letters as a, runs as one). Spark scores the
+graph of patterns and instances in rounds: a pattern is worth the mean of its distinct instances, an instance the most
+that a trusted pattern gives it, and seeds are always worth one. Tokens that patterns of high confidence point at are
+added as spans of kind found.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, read_table
+from tidewater.llm.common import map_batches, materialize, read_table
 
 KINDS = ("email", "ip", "card", "phone", "found")
 ROUNDS = 3
-SUPPORT, CONFIDENCE = 4, 0.8  # distinct instances of a pattern, and its worth
+SUPPORT, TRUST, CONFIDENCE = 4, 0.6, 0.8  # distinct instances of a pattern, its worth to give worth to others, and at the end to add spans
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a run of digits that fails from its start fails from its middle too, so the run is taken whole
@@ -53,7 +54,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((1, start, m.end()))
             last = m.end()
         at = text.find("@", max(at + 1, last))
-    out += [(2, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(2, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) < 4 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
             out.append((3, m.start(), m.end()))
@@ -62,12 +63,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def patterns_before(text: str, start: int) -> list[str]:
-    """The word before a place and the two words before it, lower-cased, without marks."""
-    words = [w for w in (x.strip(_EDGE).lower() for x in text[max(0, start - 80) : start].split()[-2:]) if w]
-    if not words or any(c.isdigit() for c in words[-1]):
-        return []
-    return [words[-1], " ".join(words)] if len(words) > 1 else words[-1:]
+def _near(text: str, at: int, step: int, n: int) -> list[str]:
+    """The n whole words before (step -1) or after (step 1) a place, in the order of the text."""
+    width = 64
+    while True:
+        part = text[max(0, at - width) : at] if step < 0 else text[at : at + width]
+        words = part.split()
+        cut = len(part) == width and (not part[0].isspace() if step < 0 else not part[-1].isspace())  # its outermost word may go on
+        whole = words[cut:] if step < 0 else words[: len(words) - cut]
+        if len(whole) >= n or len(part) < width:
+            return whole[-n:] if step < 0 else whole[:n]
+        width *= 2
+
+
+def shape(token: str) -> str:
+    """Letters as a and digits as 0, each run as one; other marks as they are."""
+    return re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", re.sub(r"\d+", "0", token)))
+
+
+def patterns_around(text: str, start: int, end: int) -> list[str]:
+    """The patterns of a token, over words that are lower-cased and without marks at their edges; words with digits give none."""
+    plain = lambda words: [w for w in (x.strip(_EDGE).lower() for x in words) if w]
+    before, after = plain(_near(text, start, -1, 2)), plain(_near(text, end, 1, 1))
+    left = before[-1] if before and not any(c.isdigit() for c in before[-1]) else None
+    right = after[0] if after and not any(c.isdigit() for c in after[0]) else None
+    found = []
+    if left:
+        found += [f"{left} _", f"{left} _ {shape(text[start:end])}"]
+        found += [" ".join(before) + " _"] if len(before) > 1 else []
+    if right:
+        found.append(f"_ {right}")
+    return [*found, f"{left} _ _ {right}"] if left and right else found
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
@@ -82,11 +108,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         e = m.end() - len(token) + len(token.rstrip(_EDGE))
         while k < len(spans) and spans[k][1] <= s:
             k += 1
-        if e - s >= 5 and not (k < len(spans) and spans[k][0] < e):
+        if e > s and not (k < len(spans) and spans[k][0] < e):
             out.append((s, e, False))
     found = []
     for s, e, seed in out:
-        if near := patterns_before(text, s):
+        if near := patterns_around(text, s, e):
             found.append({"start": s, "end": e, "instance": hashlib.md5(text[s:e].encode()).hexdigest(), "seed": seed, "patterns": near})
     return found
 
@@ -117,7 +143,7 @@ def score_patterns(edges: DataFrame) -> DataFrame:
         patterns = materialize(weighed.groupBy("pattern").agg(F.avg("worth").alias("worth"), F.count(F.lit(1)).alias("instances")), "patterns")
         if n == ROUNDS - 1:
             return patterns
-        trusted = patterns.where((F.col("worth") >= CONFIDENCE) & (F.col("instances") >= SUPPORT)).select("pattern", "worth")
+        trusted = patterns.where((F.col("worth") >= TRUST) & (F.col("instances") >= SUPPORT)).select("pattern", "worth")
         best = materialize(edges.join(trusted, "pattern").groupBy("instance").agg(F.max("worth").alias("best")), "instances")
         weighed = edges.join(best, "instance", "left").select("pattern", "instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("worth"))
     raise AssertionError("there is at least one round")
@@ -131,7 +157,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     columns are ignored.
     """
     ident = dict(docs.dtypes)["doc_id"]
-    found = materialize(docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {ident}, key string, base {_SPANS}, cands {_CANDS}"), "spans")
+    found = materialize(map_batches(docs.select("doc_id", "text"), _scan, f"doc_id {ident}, key string, base {_SPANS}, cands {_CANDS}"), "spans")
     some = found.where("key is not null")
     cands = materialize(some.select("key", F.explode("cands").alias("c")).select("key", "c.*").distinct(), "cands")
     each = cands.select("key", "start", "end", "instance", "seed", F.explode("patterns").alias("pattern"))
@@ -153,5 +179,6 @@ def listed(spans: Column) -> Column:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(read_table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, s -> s.kind = {k + 1}))").cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    added = F.size("added").cast("long").alias("n_found")
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"), added)
+    added, every = F.size("added").cast("long").alias("n_found"), (F.size("base") + F.size("added")).cast("long").alias("n_spans")
+    base = F.size("base").cast("long").alias("n_base")
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"), base, added, every)
