@@ -1,9 +1,9 @@
 """URL filtering by host-suffix and path-prefix rules, joined on short hash prefixes and confirmed on full digests.
 
-Every URL is expanded into the expressions that a rule of the given table could equal: the last l labels of its host
-followed by the first p characters of its path, for each (l, p) that occurs among the rules. The shapes, not the rules,
-are what the driver sees; there are at most as many as pairs of host depths and path lengths. Expressions meet rules on
-the first PREFIX hexadecimal digits of their SHA-256 and are confirmed on the whole digest.
+Every URL is expanded into the suffixes of its host, which meet the hosts of the rules and learn how long their paths are,
+and then into expressions of a host suffix and the first characters of its path, one for each of those lengths. Both meet
+the rules on the first PREFIX hexadecimal digits of a SHA-256 and are confirmed on the whole digest. Spark chooses by size
+in bytes how each join is made; rules are never gathered.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import materialize, read_table
 
 PREFIX = 8
-BROADCAST_RULES = 100_000  # about 20 MB of rules; more are joined by a shuffle, salted against hot expressions
-SALTS = 16
 DEFAULT = "allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -31,13 +29,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _expressions(shapes: list[tuple[int, int]]) -> Column:
-    labels = F.split("host", "\\.")
-    made = [
-        F.when((F.size(labels) >= n) & (F.length("path") >= p) & (F.col("host") != ""), F.concat(F.array_join(F.slice(labels, -n, n), "."), F.substring("path", 1, p)))
-        for n, p in shapes
-    ]
-    return F.array_compact(F.array(*made)) if made else F.array().cast("array<string>")
+def _keyed(df: DataFrame, name: str, *parts: Column) -> DataFrame:
+    """Adds name_digest, of parts that are told apart by the length of the first, and name_key, its first digits."""
+    digest = F.sha2(F.concat_ws(":", F.length(parts[0]), *parts), 256)
+    return df.withColumn(f"{name}_digest", digest).withColumn(f"{name}_key", F.substring(f"{name}_digest", 1, PREFIX))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -51,27 +46,24 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """
     host = F.translate("host", UPPER, LOWER)
     rules = rules.where("host <> '' and verdict is not null").select(host.alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict")
-    rule = F.concat("rule_host", "rule_path")
-    labels = F.size(F.split("rule_host", "\\."))
     # several verdicts for one rule: block, the greater string, wins
-    rules = materialize(rules.groupBy(rule.alias("rule"), labels.alias("labels"), F.length("rule_path").cast("int").alias("plen")).agg(F.max("verdict").alias("verdict")), "rules")
-    shapes = sorted((r.labels, r.plen) for r in rules.select("labels", "plen").distinct().collect())
-    keyed = rules.select(F.sha2("rule", 256).alias("rule_digest"), "rule", "verdict", F.struct(F.length("rule").alias("l"), (-F.col("plen")).alias("p"), "verdict").alias("rank"))
-    keyed = keyed.withColumn("key", F.substring("rule_digest", 1, PREFIX))
+    rules = materialize(rules.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict")), "rules")
+    lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    hosts = _keyed(lengths, "host", F.col("rule_host")).select("lengths", "host_key", F.col("host_digest").alias("of_host"))
+    rule = F.concat("rule_host", "rule_path")
+    keyed = _keyed(rules, "rule", F.col("rule_host"), F.col("rule_path")).withColumn("fit", F.struct(F.length(rule).alias("l"), (-F.length("rule_path")).alias("p"), "verdict", rule.alias("rule")))
+    keyed = keyed.select("rule_key", F.col("rule_digest").alias("of_rule"), "fit")
     # equal rows of one input partition become one row with a count
     same = pages.groupBy("page_id", "url", F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
     host, path = url_parts(F.col("url"))
     same = same.withColumns({"host": host, "path": path})
-    open_ = same.withColumn("expr", F.explode_outer(_expressions(shapes))).withColumn("digest", F.sha2("expr", 256))
-    open_ = open_.withColumn("key", F.substring("digest", 1, PREFIX))
-    if rules.count() <= BROADCAST_RULES:
-        met = open_.join(F.broadcast(keyed), "key", "left")
-    else:
-        open_ = open_.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-        keyed = keyed.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        met = open_.join(keyed, ["key", "salt"], "left")
-    fits = F.when(F.col("digest") == F.col("rule_digest"), F.struct("rank", "rule", "verdict"))
-    best = met.groupBy("page_id", "url", "part", "host", "path", "n").agg(F.max(fits).alias("best"))
+    labels = F.split("host", "\\.")
+    suffixes = F.when(F.col("host") != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), ".")))
+    open_ = _keyed(same.withColumn("suffix", F.explode_outer(suffixes)), "host", F.col("suffix")).join(hosts, "host_key", "left")
+    fits = F.when(F.col("host_digest") == F.col("of_host"), F.filter("lengths", lambda n: n <= F.length("path")))
+    open_ = open_.withColumn("length", F.explode_outer(fits)).withColumn("prefix", F.expr("substring(path, 1, length)"))
+    met = _keyed(open_, "rule", F.col("suffix"), F.col("prefix")).join(keyed, "rule_key", "left")
+    best = met.groupBy("page_id", "url", "part", "host", "path", "n").agg(F.max(F.when(F.col("length").isNotNull() & (F.col("rule_digest") == F.col("of_rule")), F.col("fit"))).alias("best"))
     out = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT)).alias("verdict"))
 
