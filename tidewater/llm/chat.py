@@ -3,11 +3,14 @@
 A system that logs the whole conversation at every turn leaves many conversations that are prefixes of longer ones.
 Every turn gets a rolling hash of all turns up to it: the sum of position-salted hashes, which is a running sum and can
 be taken in pieces. The rows are range-partitioned by conversation and turn, summed within each partition, and carried
-on by the totals of the partitions before, so one conversation with a third of all rows is spread over all tasks.
+on by the totals of the partitions before, so one conversation with a third of all rows is spread over all tasks. All of
+this works on digests of the texts; only the texts of kept conversations are then put beside their positions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,21 +18,26 @@ from pyspark.sql.window import Window
 from tidewater.llm.common import materialize, read_table
 
 PART_TURNS = 64  # turns in one rendered part
-ORDER = ("conv_id", "turn", "role", "text")
+ORDER = ("conv_id", "turn", "role", "digest")
 START, END = "<|im_start|>", "<|im_end|>"
 
 
 def _salted(seed: int) -> Column:
     """Hash of a turn at its position; summed as a decimal, so that no sum overflows."""
-    return F.xxhash64(F.lit(seed), F.col("pos"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")).cast("decimal(20,0)")
+    return F.xxhash64(F.lit(seed), F.col("pos"), F.col("role").isNull(), F.col("role"), F.col("digest").isNull(), F.col("digest")).cast("decimal(20,0)")
+
+
+def digested(turns: DataFrame) -> DataFrame:
+    """turns with digest, the MD5 of the text; null for a null text."""
+    return turns.select("conv_id", "turn", "role", "text").withColumn("digest", F.unhex(F.md5("text")))
 
 
 def rolling_hashes(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, pos, h1, h2): position from 1 and hashes of all turns up to this one.
+    """(conv_id, turn, role, digest, pos, h1, h2): position from 1 and hashes of all turns up to this one.
 
-    Turns are ordered by turn, then role, then text, nulls first; rows that repeat in all four columns count once.
+    Turns are ordered by turn, then role, then digest, nulls first; rows that repeat in all four columns count once.
     """
-    rows = turns.select(*ORDER).distinct()
+    rows = digested(turns).select(*ORDER).distinct()
     n = max(8, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by = [F.col(c).asc_nulls_first() for c in ORDER]
     ranged = materialize(rows.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()), "turns")
@@ -72,10 +80,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
     hashed = materialize(rolling_hashes(turns), "hashed")
     kept = materialize(maximal_conversations(hashed), "maximal").select(F.col("conv_id").alias("c"), "n_turns", "copies")
-    rows = hashed.join(kept, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    at = hashed.select(*ORDER, "pos").join(kept, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    at = materialize(at, "places").withColumnsRenamed({c: f"at_{c}" for c in ORDER})
+    same = [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in ORDER]
+    rows = digested(turns).join(at, reduce(Column.__and__, same))
     line = F.concat(F.lit(START), F.coalesce("role", F.lit("user")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(END))
     rows = rows.select("conv_id", ((F.col("pos") - 1) / PART_TURNS).cast("long").alias("part"), "n_turns", "copies", F.struct("pos", line.alias("line")).alias("s"))
-    parts = rows.groupBy("conv_id", "part", "n_turns", "copies").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    parts = rows.groupBy("conv_id", "part", "n_turns", "copies").agg(F.array_sort(F.collect_set("s")).alias("s"))
     return parts.select("conv_id", "part", "n_turns", "copies", F.array_join("s.line", "\n").alias("text"))
 
 
@@ -85,7 +96,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS pos FROM t),
 c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY pos) AS w, count(*) AS n FROM p GROUP BY conv_id),
 one AS (SELECT w, n, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY w, n),
 kept AS (SELECT * FROM one WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.n > one.n AND o.w[1] = one.w[1] AND o.w[1:one.n] = one.w))
