@@ -1,8 +1,8 @@
 """Secret scans: spans of candidate secrets, and the ownership of their values across the corpus.
 
 Base spans come from three patterns. The values of all candidates are hashed and counted by distinct owners (source) and
-repositories (document). A value that COPIED_OWNERS or more owners hold is a copied example; one that fewer hold is live
-if a rule on its characters allows it; the rest are placeholders. Scans ask for values that look random, as their SQL
+repositories (document). A value that COPIED_OWNERS or more owners hold, or SOME_OWNERS of them in COPIED_REPOSITORIES or
+more repositories, is a copied example; any other is live if a rule on its characters allows it; the rest are placeholders. Scans ask for values that look random, as their SQL
 does; redaction takes every value that is no plain placeholder, and seeks those without a digit bare too. The live values of assignments are then looked for where they
 stand bare, without a name before them, and those places are added as spans of kind bare.
 
@@ -15,8 +15,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidewater.llm.common import materialize, read_table, small
+from tidewater.llm.common import materialize, read_table
 
 NAME = r"(?i:password|passwd|secret|token|api_?key)"
 ASSIGN = NAME + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,6 +29,7 @@ BARE_ANY = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}"
 PLAIN = r"(?i)example|change_?me|placeholder"
 ASSIGN_VALUE = 12
 COPIED_OWNERS = 3
+SOME_OWNERS, COPIED_REPOSITORIES = 2, 20
 KINDS = ("assign", "access", "hex", "bare")
 KEY, SPANS = "_secrets_row_key", "_secrets_live_spans"  # stand beside the columns of a table for a moment
 
@@ -100,8 +102,6 @@ def find_candidates(docs: DataFrame, rule: Callable[[Column], Column] = looks_ra
 
     base = F.concat(spans("assign"), spans("access"), spans("hex"))
     df = df.withColumn("base", base).withColumn("bare", spans("bare"))
-    apart = F.filter("bare", lambda b: ~F.exists("base", lambda s: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    df = df.withColumn("bare", apart)
     key = F.when((F.size("base") > 0) | (F.size("bare") > 0), row_key(F.col("_text")))
     return df.select("doc_id", "owner", key.alias("key"), "base", "bare")
 
@@ -111,28 +111,47 @@ def ownership(candidates: DataFrame) -> DataFrame:
     each = candidates.groupBy("hash", "owner", "key").agg(F.max("random").alias("random"))
     each = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.max("random").alias("random"))
     each = each.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.max("random").alias("random"))
-    verdict = F.when(F.col("owners") >= COPIED_OWNERS, "copied").when(F.col("random"), "live").otherwise("placeholder")
+    copied = (F.col("owners") >= COPIED_OWNERS) | (F.col("owners") >= SOME_OWNERS) & (F.col("repositories") >= COPIED_REPOSITORIES)
+    verdict = F.when(copied, "copied").when(F.col("random"), "live").otherwise("placeholder")
     return each.select("hash", "owners", "repositories", verdict.alias("verdict"))
 
 
+def apart(bare: DataFrame, base: DataFrame) -> DataFrame:
+    """The rows of bare(key, start, end, ...) that overlap no span of base(key, start, end, ...) of the same key.
+
+    The spans of a key are put in order once: before the end of a bare span, no base span may have started that ends
+    after its start.
+    """
+    of = base.join(materialize(bare.select("key").distinct(), "keys"), "key", "left_semi")
+    none = F.lit(None).cast("int")
+    ends = of.select("key", F.col("start").alias("at"), F.lit(1).alias("late"), F.col("end").alias("reach"), none.alias("bare_start"), none.alias("bare_end"))
+    asks = bare.select("key", F.col("end").alias("at"), F.lit(0).alias("late"), none.alias("reach"), F.col("start").alias("bare_start"), F.col("end").alias("bare_end"))
+    before = Window.partitionBy("key").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
+    met = ends.union(asks).withColumn("reach", F.max("reach").over(before)).where("bare_end is not null and (reach is null or reach <= bare_start)")
+    fine = materialize(met.select("key", F.col("bare_start").alias("start"), F.col("bare_end").alias("end")).distinct(), "apart")
+    return bare.join(fine, ["key", "start", "end"], "left_semi")
+
+
 def judged(docs: DataFrame, rule: Callable[[Column], Column] = looks_random, bare: str = BARE) -> tuple[DataFrame, DataFrame]:
-    """The candidates of all rows, and (key, verdict, s, bare): the judged spans of every key, bare ones of live values too."""
+    """The candidates of all rows, and (key, verdict, owners, repositories, s, bare): the judged spans of every key, bare ones of live values too."""
     found = materialize(find_candidates(docs, rule, bare), "candidates")
     each = lambda spans: found.where("key is not null").select("owner", "key", F.explode(spans).alias("s")).select("owner", "key", "s.*")
     values = materialize(each("base").distinct(), "values")
     # written before it is joined: both sides are then shuffled, and a value that many documents hold is split
     verdicts = materialize(ownership(values), "verdicts")
-    sought = each("bare").join(small(values.where("kind = 1").select("hash").distinct()), "hash", "left_semi").distinct()
-    held = values.unionByName(materialize(sought, "bare")).join(verdicts, "hash")
+    assigned = materialize(values.where("kind = 1").select("hash").distinct(), "assigned")
+    sought = materialize(each("bare").join(assigned, "hash", "left_semi").distinct(), "sought")
+    held = values.unionByName(materialize(apart(sought, values), "bare")).join(verdicts, "hash")
     at = F.struct("start", "kind", "end", "hash", "random", "size")
-    return found, held.select("key", "verdict", at.alias("s"), (F.col("kind") == len(KINDS)).alias("bare")).distinct()
+    return found, held.select("key", "verdict", "owners", "repositories", at.alias("s"), (F.col("kind") == len(KINDS)).alias("bare")).distinct()
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, added, n_live, n_copied) for every row of docs(doc_id, text, source, ...).
+    """(doc_id, base, added, n_live, n_copied, owners, repositories) for every row of docs(doc_id, text, source, ...).
 
     base holds spans (start, kind, end, hash, random, size) of kinds assign, access and hex, added the places where live
-    values stand bare; n_live and n_copied count the base spans whose values are live or copied. Defined cases: a null
+    values stand bare; n_live and n_copied count the base spans whose values are live or copied; owners and repositories are
+    those of the base value that most repositories hold, 0 without one. Defined cases: a null
     text is an empty one; a null source is an owner of its own; repeated rows get equal results and count as one
     repository; equal spans of two kinds are both kept; no rows give no rows; other columns are ignored.
     """
@@ -142,11 +161,14 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(bare & (F.col("verdict") == "live"), F.col("s")))).alias("added"),
         F.count_if(~bare & (F.col("verdict") == "live")).alias("n_live"),
         F.count_if(~bare & (F.col("verdict") == "copied")).alias("n_copied"),
+        F.max(F.when(~bare, F.struct("repositories", "owners"))).alias("most"),
     )
-    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied")]
+    per = per.select("key", "added", "n_live", "n_copied", "most.owners", "most.repositories")
+    columns = ("n_live", "n_copied", "owners", "repositories")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in columns]
     nothing = F.expr("filter(base, s -> false)")
     some = found.where("key is not null").join(per, "key", "left").select("doc_id", "base", F.coalesce("added", nothing).alias("added"), *counts)
-    none = found.where("key is null").select("doc_id", "base", F.col("base").alias("added"), *(F.lit(0).cast("long").alias(c) for c in ("n_live", "n_copied")))
+    none = found.where("key is null").select("doc_id", "base", F.col("base").alias("added"), *(F.lit(0).cast("long").alias(c) for c in columns))
     return some.union(none)
 
 
@@ -157,17 +179,25 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     "secret:" among them. Copied examples and placeholders stay as they are. The cases are those of scan_secrets.
     """
     _, spans = judged(docs, not_plain, BARE_ANY)
-    live = spans.where("verdict = 'live'").select("key", F.struct((F.col("s.end") - F.col("s.size")).alias("a"), F.col("s.end").alias("b")).alias("s"))
-    live = materialize(live.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias(SPANS)), "live")
-    met = docs.withColumn(KEY, row_key(F.col("text"))).join(small(live).withColumnRenamed("key", KEY), KEY, "left").drop(KEY)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    live = spans.where("verdict = 'live'").select("key", (F.col("s.end") - F.col("s.size")).alias("a"), F.col("s.end").alias("b")).distinct()
+    # spans that overlap become one; then each starts where a new stretch of the text ends
+    order = Window.partitionBy("key").orderBy("a", "b")
+    far = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    live = live.withColumn("new", (far.isNull() | (F.col("a") >= far)).cast("int")).withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    live = live.groupBy("key", "n").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    live = live.withColumn("last", F.lag("b", 1, 0).over(Window.partitionBy("key").orderBy("n")))
+    live = live.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("a", "b", "last"))).alias(SPANS))
+    met = docs.withColumn(KEY, row_key(F.col("text"))).join(materialize(live, "live").withColumnRenamed("key", KEY), KEY, "left").drop(KEY)
     text = F.col("text")
 
-    def step(done: Column, s: Column) -> Column:
-        longer = F.struct(s["b"].alias("at"), F.concat(done["out"], F.substr(text, done["at"] + 1, s["a"] - done["at"]), F.lit(mark)).alias("out"))
-        return F.when(s["a"] >= done["at"], longer).otherwise(F.struct(F.greatest(done["at"], s["b"]).alias("at"), done["out"].alias("out")))
+    def marked(chars: Column) -> Column:
+        piece = lambda start, n: F.array_join(F.slice(chars, start + 1, n), "")
+        head = F.transform(SPANS, lambda s: F.concat(piece(s["last"], s["a"] - s["last"]), F.lit(mark)))
+        end = F.element_at(SPANS, -1)["b"]
+        return F.concat(F.array_join(head, ""), piece(end, F.size(chars) - end))
 
-    whole = F.aggregate(SPANS, start, step, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1)))
+    # the text is taken apart once, by its code points
+    whole = F.element_at(F.transform(F.array(F.split(text, "")), marked), 1)
     out = met.withColumn("text", F.when(F.col(SPANS).isNotNull(), whole).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(SPANS).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -177,7 +207,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, s -> s.kind = {k + 1}))").cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"), "n_live", "n_copied")
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"), "n_live", "n_copied", "owners", "repositories")
 
 
 _SQL_SPANS = """
@@ -196,16 +226,16 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER
 allm AS (SELECT rn, kind, x.s AS s, x.s + length(x.m) AS e, x.v AS v, x.m AS m FROM (SELECT * FROM a UNION ALL SELECT * FROM k UNION ALL SELECT * FROM h UNION ALL SELECT * FROM b)),
 base AS (SELECT rn, kind, s::BIGINT AS s, e::BIGINT AS e, v, length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8 AS random
   FROM allm WHERE kind = 1 AND length(v) >= 12 OR kind = 2 AND length(m) >= 18 OR kind = 3),
-own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, bool_or(random) AS random FROM base JOIN d USING (rn) GROUP BY v),
-verdict AS (SELECT v, CASE WHEN owners >= 3 THEN 'copied' WHEN random THEN 'live' ELSE 'placeholder' END AS verdict FROM own),
+own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT coalesce(source, chr(0)) || chr(1) || coalesce(doc_id::VARCHAR, '') || ':' || text) AS repositories, bool_or(random) AS random FROM base JOIN d USING (rn) GROUP BY v),
+verdict AS (SELECT v, owners, repositories, CASE WHEN owners >= 3 OR owners >= 2 AND repositories >= 20 THEN 'copied' WHEN random THEN 'live' ELSE 'placeholder' END AS verdict FROM own),
 bare AS (SELECT rn, 4 AS kind, s::BIGINT AS s, e::BIGINT AS e FROM allm WHERE kind = 4 AND regexp_matches(v, '[0-9]')
   AND v IN (SELECT base.v FROM base JOIN verdict USING (v) WHERE kind = 1 AND verdict = 'live')
   AND NOT EXISTS (SELECT 1 FROM base WHERE base.rn = allm.rn AND base.s < allm.e AND allm.s < base.e)),
 names(kind, name) AS (VALUES (1, 'assign'), (2, 'access'), (3, 'hex'), (4, 'bare')),
 b1 AS (SELECT rn, count(*) FILTER (WHERE kind = 1) AS n_assign, count(*) FILTER (WHERE kind = 2) AS n_access, count(*) FILTER (WHERE kind = 3) AS n_hex,
-  count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'copied') AS n_copied,
+  max({{'r': repositories, 'o': owners}}) AS most, count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'copied') AS n_copied,
   string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS base FROM base JOIN names USING (kind) JOIN verdict USING (v) GROUP BY rn),
 s1 AS (SELECT rn, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans FROM (SELECT rn, kind, s, e FROM base UNION ALL SELECT rn, kind, s, e FROM bare) JOIN names USING (kind) GROUP BY rn)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN b1 USING (rn) LEFT JOIN s1 USING (rn)
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most.o, 0) AS owners, coalesce(most.r, 0) AS repositories FROM d LEFT JOIN b1 USING (rn) LEFT JOIN s1 USING (rn)
 """
