@@ -158,6 +158,13 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0 and url_filter.filter_urls(pages, rules.limit(0)).where("verdict <> 'allow'").count() == 0
 
 
+def test_rules_keep_host_and_path_apart(spark):
+    pages = spark.createDataFrame([(1, "http://comx/a"), (2, "http://a.com/x"), (3, "http://com"), (4, "http://com/x/y.com")], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "x", "block"), ("com", "/x", "block"), ("com", "/x/y", "allow")], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {1: (None, "allow"), 2: ("com/x", "block"), 3: (None, "allow"), 4: ("com/x/y", "allow")}
+
+
 def test_chats(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (2, 2, "user", "x"), (2, 2, "user", "x"), (3, 0, "user", "hi"), (4, 5, "user", "hi"), (4, 7, "assistant", None),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.boosting import fit, isotonic, out_of_fold
-from tidewater.llm.common import materialize, read_table
+from tidewater.llm.common import map_batches, materialize, read_table
 from tidewater.llm.features import BLOCK, COMMON, lexicon, quality_features, stem_counts, toxicity_features
 
 MAX_LABELLED = 20_000  # labelled rows that the trees are fitted on, those with the smallest hashes of doc_id
@@ -57,7 +57,7 @@ def training_rows(docs: DataFrame, known: DataFrame, make: Make) -> tuple[np.nda
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("o", "y", "fold")), lists], ["o", "y", "fold", "x"])
 
     read = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("o", "y", "fold", "text")
-    rows = read.mapInArrow(task, "o long, y int, fold int, x array<double>").groupBy("o").agg(F.max("y").alias("y"), F.max("fold").alias("fold"), F.min("x").alias("x")).toArrow()
+    rows = map_batches(read, task, "o long, y int, fold int, x array<double>").groupBy("o").agg(F.max("y").alias("y"), F.max("fold").alias("fold"), F.min("x").alias("x")).toArrow()
     if not rows.num_rows:
         return np.zeros((0, 1)), np.zeros(0), np.zeros(0, np.int64)
     order = np.argsort(rows["o"].to_numpy(), kind="stable")
@@ -83,7 +83,7 @@ def induced_insults(docs: DataFrame, known: DataFrame) -> list[np.ndarray]:
     for r in known.groupBy("y", "fold").count().collect():
         sizes[r.y, r.fold] = r["count"]
     read = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y", "fold")
-    counts = read.mapInArrow(task, "h long, " + ", ".join(f"c{g} long" for g in range(groups)))
+    counts = map_batches(read, task, "h long, " + ", ".join(f"c{g} long" for g in range(groups)))
     counts = materialize(counts.groupBy("h").agg(*(F.sum(f"c{g}").alias(f"c{g}") for g in range(groups))), "stems")
     found = []
     for out in (None, *range(FOLDS)):
@@ -115,7 +115,7 @@ def scored(docs: DataFrame, make: Make, score: Callable[[np.ndarray], np.ndarray
                 else:
                     yield batch.select(columns).filter(pa.array(found < below))
 
-    return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(task, fields)
+    return map_batches(docs.select(*columns, *([] if "text" in columns else ["text"])), task, fields)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def size_of_words(text):
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
-CHUNK_BYTES = 512 << 10
+CHUNK_BYTES = 256 << 10
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -128,11 +128,3 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[:-1] = solid[1:]
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
-
-
-SMALL_ROWS = 100_000
-
-
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most this many (narrow) rows; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
