@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.classify import without_toxic
 from tidewater.llm.common import materialize, read_table
 from tidewater.llm.decontaminate import without_leaks
-from tidewater.llm.mixing import mix
+from tidewater.llm.mixing import longer_first, mix
 from tidewater.llm.near_dedup import without_near_duplicates
 from tidewater.llm.secrets import redact_secrets
 
@@ -44,7 +44,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of the documents that the mix takes, copies times each."""
-    return mix(docs).where("copies > 0")
+    return mix(docs, importance=longer_first()).where("copies > 0")
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_scan), ("mixing", mixing)]
