@@ -202,3 +202,53 @@ def test_change_log(spark, tmp_path):
     step(rows, 0)
     step(rows, 0)  # a repeated batch changes nothing
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1 and spark.read.parquet(str(tmp_path / "l")).count() == 1
+
+
+@pytest.mark.parametrize(
+    "predicate", [w for w, _ in models.FACT_TYPES] + ["said he was", "went", "has voted", ""]
+)
+def test_fact_types(spark, predicate):
+    groups = {
+        "STATEMENT": "stated said announced declared claimed argued", "ACTION": "voted signed launched approved rejected imposed appointed resigned arrested",
+        "POSITION": "holds supports opposes", "RELATIONSHIP": "leads allied", "ATTRIBUTE": "is was has",
+    }
+    first = next((k for k, words in groups.items() for w in words.split() if w in predicate), "STATEMENT")
+    assert one(spark, models.fact_type(F.col("p")), p=predicate) == first
+
+
+def test_number_words(spark):
+    for expression, wanted in (("several weeks ago", "2024-03-10"), ("twenty days ago", "2024-03-11"), ("few days ago", "2024-03-28"), ("fifteen days ago", "2024-03-16")):
+        assert str(one(spark, dates.resolve(F.lit(expression), F.lit("2024-03-31").cast("date")))["date"]) == wanted
+
+
+def test_expressions_by_kind(spark):
+    text = "On Sept 5, 2021 and yesterday; 3 days ago, last Friday, Q2 2020, 2021-01-02, 5 March 2020, earlier this year, this month"
+    assert one(spark, dates.expressions(F.lit(text))) == ["yesterday", "last Friday", "this year", "this month", "3 days ago", "Q2 2020", "Sept 5, 2021", "5 March 2020", "March 2020", "2021-01-02", "earlier this year"]
+
+
+def test_explorer_refuses_all_that_writes(spark):
+    spark.range(3).createOrReplaceTempView("numbers")
+    rows, more = explorer.explore(spark, "select id, '--;' as s from numbers -- a comment; here", 2)
+    assert rows.count() == 2 and more and rows.first().s == "--;"
+    assert explorer.explore(spark, "with x as (select 1 as a) select a from x")[0].first().a == 1 and explorer.explore(spark, "table numbers;")[0].count() == 3
+    assert explorer.explore(spark, "explain select * from numbers")[0].count() == 1
+    for bad in ("with x as (select 1 as a) insert into t select a from x", "insert into t values (1)", "select 1; select 2", "explain insert into t values (1)", "drop table t", ";", "/* x */"):
+        with pytest.raises(ValueError):
+            explorer.explore(spark, bad)
+
+
+def test_similar_sets_with_copies_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    sets = {i: {f"t{x}" for x in rng.integers(0, 30 if i % 2 else 12, rng.integers(1, 14))} for i in range(120)}
+    for i in range(0, 40):
+        sets[200 + i] = sets[i]
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()] + [(999, [])], "id long, tokens array<string>")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    for t in (0.5, 0.8):
+        jac = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
+        dic = {(a, b) for a, b in pairs if 2 * len(sets[a] & sets[b]) / (len(sets[a]) + len(sets[b])) > t}
+        assert {(r.a, r.b) for r in dedup.jaccard_pairs(rows, t).collect()} == jac
+        assert {(r.a, r.b) for r in dedup.dice_pairs(rows, t).collect()} == dic
+    found = {r.node: r.component for r in graph.components(dedup.jaccard_links(rows, 0.8)).collect()}
+    wanted = {r.node: r.component for r in graph.components(dedup.jaccard_pairs(rows, 0.8).select("a", "b")).collect()}
+    assert found == wanted

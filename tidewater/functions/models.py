@@ -37,6 +37,8 @@ def key_points(text: Column, n: int = 5) -> Column:
 
 # fixed values: types of facts by words of the predicate, the first that fits counts
 FACT_TYPES = (
+    ("stated", "STATEMENT"), ("said", "STATEMENT"), ("announced", "STATEMENT"), ("declared", "STATEMENT"), ("claimed", "STATEMENT"), ("argued", "STATEMENT"),
+    ("voted", "ACTION"), ("signed", "ACTION"), ("launched", "ACTION"), ("approved", "ACTION"), ("rejected", "ACTION"),
     ("imposed", "ACTION"), ("appointed", "ACTION"), ("resigned", "ACTION"), ("arrested", "ACTION"),
     ("holds", "POSITION"), ("supports", "POSITION"), ("opposes", "POSITION"),
     ("leads", "RELATIONSHIP"), ("allied with", "RELATIONSHIP"), ("is", "ATTRIBUTE"), ("was", "ATTRIBUTE"), ("has", "ATTRIBUTE"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import ratio, word_count, words
@@ -69,18 +69,36 @@ def readability_score(text: Column) -> Column:
     return F.coalesce(F.when(flesch(text).isNotNull(), tier(flesch(text), READABILITY_TIERS, 0.3)), F.lit(0.0))
 
 
-def readability_grades(text: Column) -> dict[str, Column]:
-    """Flesch-Kincaid, Fog, ARI and Coleman-Liau grades by name; null without words or sentences."""
-    n, s = word_count(text), sentence_count(text)
-    fine = (n > 0) & (s > 0)
+def readability_counts(df: DataFrame, text: str) -> DataFrame:
+    """df without text, with the counts that readability is made of: n words, s sentences, y syllables, letters and hard words.
+
+    The words of each row are put in rows of their own and summed again, before anything is shuffled, by compiled code.
+    """
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    others = [c for c in df.columns if c != text]
     letters = F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]"))
-    hard = F.size(F.filter(words(text), lambda w: F.regexp_count(F.lower(w), F.lit("[aeiouy]+")) >= 3))
+    each = keyed.select("_row", *others, sentence_count(F.col(text)).alias("s"), letters.alias("letters"), F.explode(words(F.lower(text))).alias("_word"))
+    each = each.withColumn("_vowels", F.regexp_count("_word", F.lit("[aeiouy]+")))
+    silent = (F.endswith("_word", F.lit("e")) & (F.col("_vowels") > 1)).cast("int")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.lit(1), F.col("_vowels") - silent)).alias("y"), F.sum((F.col("_vowels") >= 3).cast("int")).alias("hard")]
+    return each.groupBy("_row", *others, "s", "letters").agg(*sums).drop("_row")
+
+
+def flesch_of(counts: DataFrame) -> Column:
+    """Flesch reading ease over readability_counts; null without words or sentences."""
+    n, s, y = (counts[c] for c in ("n", "s", "y"))
+    return F.when((n > 0) & (s > 0), 206.835 - 1.015 * (n / s) - 84.6 * (y / n))
+
+
+def grades_of(counts: DataFrame) -> dict[str, Column]:
+    """Flesch-Kincaid, Fog, SMOG, ARI and Coleman-Liau grades by name over readability_counts, where there are sentences."""
+    n, s, y, letters, hard = (counts[c] for c in ("n", "s", "y", "letters", "hard"))
     return {
-        "flesch_kincaid": F.when(fine, 0.39 * (n / s) + 11.8 * (syllables(text) / n) - 15.59),
-        "fog": F.when(fine, 0.4 * (n / s + 100 * (hard / n))),
-        "smog": F.when(fine, 1.043 * F.sqrt(hard.cast("double")) + 3.1291),
-        "ari": F.when(fine, 4.71 * (letters / n) + 0.5 * (n / s) - 21.43),
-        "coleman_liau": F.when(fine, 0.0588 * (100 * (letters / n)) - 0.296 * (100 * (s / n)) - 15.8),
+        "flesch_kincaid": 0.39 * (n / s) + 11.8 * (y / n) - 15.59,
+        "fog": 0.4 * (n / s + 100 * (hard / n)),
+        "smog": 1.043 * F.sqrt(hard.cast("double")) + 3.1291,
+        "ari": 4.71 * (letters / n) + 0.5 * (n / s) - 21.43,
+        "coleman_liau": 0.0588 * (100 * (letters / n)) - 0.296 * (100 * (s / n)) - 15.8,
     }
 
 

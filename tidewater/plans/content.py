@@ -30,13 +30,12 @@ _N = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 @query(rf"""
 SELECT doc_id, round(CASE WHEN coalesce(text, '') = '' THEN 0.0 ELSE least(1.0, least(1.0, {_N} / 600.0) * 0.5 + least(0.3, len(list_filter(string_split(text, chr(10)), lambda p: trim(regexp_replace(p, '[\x09-\x0D]', ' ', 'g')) <> '')) * 0.02)
-  + CASE WHEN regexp_matches(lower(text), '\b(who|what|when|where|why|how)\b') THEN 0.2 ELSE 0.0 END) END, 6)::DOUBLE AS depth,
+  + CASE WHEN regexp_matches(regexp_replace(lower(text), '[^\x00-\x7F\P{{L}}]', '_', 'g'), '\b(who|what|when|where|why|how)\b') THEN 0.2 ELSE 0.0 END) END, 6)::DOUBLE AS depth,
   round(least(1.0, CASE WHEN regexp_matches(text, '[0-9]+(?:\.[0-9]+)?%|\$[0-9]+|[0-9]+ (?:million|billion|thousand)') THEN 0.35 ELSE 0 END + CASE WHEN regexp_matches(text, '[A-Z][a-z]+ [A-Z][a-z]+') THEN 0.35 ELSE 0 END + CASE WHEN regexp_matches(text, '["'']') THEN 0.3 ELSE 0 END), 6)::DOUBLE AS specificity
-FROM documents WHERE regexp_full_match(coalesce(text, ''), '[\x00-\x7F]*')
+FROM documents
 """)
 def depth_and_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.coalesce("text", F.lit("")).rlike(r"\A[\x00-\x7F]*\z"))
-    return rows.select("doc_id", F.round(content.depth(F.col("text")), 6).alias("depth"), F.round(content.specificity(F.col("text")), 6).alias("specificity"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(content.depth(F.col("text")), 6).alias("depth"), F.round(content.specificity(F.col("text")), 6).alias("specificity"))
 
 
 @query()
@@ -133,17 +132,17 @@ def title_prededupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT p_partkey AS id, p_brand, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]{2,}')) AS w FROM part WHERE p_size <= 3), p AS (SELECT x.id AS a, y.id AS b, x.w AS wa, y.w AS wb FROM t x JOIN t y ON x.p_brand = y.p_brand AND x.id < y.id),
+WITH t AS (SELECT p_brand, p_type, min(p_partkey) AS id, count(*) AS n, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]{2,}')) AS w FROM part GROUP BY ALL), p AS (SELECT x.id AS a, y.id AS b, x.n AS n_a, y.n AS n_b, x.w AS wa, y.w AS wb FROM t x JOIN t y ON x.p_brand = y.p_brand AND x.id < y.id),
 q AS (SELECT *, len(list_intersect(wa, wb)) AS s, len(list_distinct(list_concat(wa, wb))) AS u, len(list_intersect(list_transform(range(1, len(wa)), lambda i: wa[i] || ' ' || wa[i + 1]), list_transform(range(1, len(wb)), lambda i: wb[i] || ' ' || wb[i + 1]))) AS c FROM p)
-SELECT a, b, round(least(1.0, s / u * (1 + greatest(CASE WHEN c > 0 THEN 0.4 ELSE 0.0 END, CASE WHEN s / least(len(wa), len(wb)) >= 0.5 THEN 0.3 ELSE 0.0 END)) + least(1.0, c * 0.5)), 6)::DOUBLE AS similarity FROM q WHERE s > 0
+SELECT a, b, n_a, n_b, round(least(1.0, s / u * (1 + greatest(CASE WHEN c > 0 THEN 0.4 ELSE 0.0 END, CASE WHEN s / least(len(wa), len(wb)) >= 0.5 THEN 0.3 ELSE 0.0 END)) + least(1.0, c * 0.5)), 6)::DOUBLE AS similarity FROM q WHERE s > 0
 """)
 def topic_merge_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar names within a brand; candidates share a word, so nothing is paired with all."""
-    rows = table(spark, sf_dir, "part").where("p_size <= 3").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", F.array_distinct(F.regexp_extract_all(F.lower("p_type"), F.lit("[a-z0-9]{2,}"), F.lit(0))).alias("w"))
-    posted = rows.select("id", "p_brand", "p_type", F.explode("w").alias("word"))
-    other = posted.select(F.col("id").alias("b"), "p_brand", F.col("p_type").alias("other"), "word")
-    pairs = posted.join(other, ["p_brand", "word"]).where("id < b").select(F.col("id").alias("a"), "b", "p_type", "other").distinct()
-    return pairs.select("a", "b", F.round(content.topic_similarity(F.col("p_type"), F.col("other")), 6).alias("similarity"))
+    """Similar names within a brand, each name once by its smallest key and with its number; candidates share a word, so nothing is paired with all."""
+    names = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("n"))
+    posted = names.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("p_type"), F.lit("[a-z0-9]{2,}"), F.lit(0)))).alias("word"))
+    other = posted.select(F.col("id").alias("b"), "p_brand", F.col("p_type").alias("other"), "word", F.col("n").alias("n_b"))
+    pairs = posted.join(other, ["p_brand", "word"]).where("id < b").select(F.col("id").alias("a"), "b", F.col("n").alias("n_a"), "n_b", "p_type", "other").distinct()
+    return pairs.select("a", "b", "n_a", "n_b", F.round(content.topic_similarity(F.col("p_type"), F.col("other")), 6).alias("similarity"))
 
 
 @query("""

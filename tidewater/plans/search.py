@@ -19,11 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+(?:\x20[A-Z][a-z]+)*'), lambda x: lower(x)), lambda w: NOT list_contains(%s, w))) AS e FROM documents WHERE lang = 'en')
+WITH d AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+(?:\x20[A-Z][a-z]+)*'), lambda x: lower(x)), lambda w: NOT list_contains(%s, w))) AS e FROM documents)
 SELECT doc_id, len(e)::INTEGER AS n, array_to_string(list_sort(e)[1:3], '|') AS first_three FROM d
 """ % str(list(text.STOP_WORDS)))
 def capitalised_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).where("lang = 'en'").select("doc_id", text.capitalised_runs(F.coalesce("text", F.lit(""))).alias("e"))
+    rows = documents(spark, sf_dir).select("doc_id", text.capitalised_runs(F.coalesce("text", F.lit(""))).alias("e"))
     return rows.select("doc_id", F.size("e").alias("n"), F.array_join(F.slice("e", 1, 3), "|").alias("first_three"))
 
 
@@ -46,14 +46,14 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT x.vec_id AS id, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS score FROM embeddings x, (SELECT embedding FROM embeddings WHERE vec_id = 1) y WHERE x.vec_id <> 1 AND x.vec_id % 3 = 0)
+WITH p AS (SELECT x.vec_id AS id, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS score FROM embeddings x, (SELECT embedding FROM embeddings WHERE vec_id = 1) y WHERE x.vec_id <> 1)
 SELECT id, round(score, 6) AS score FROM p WHERE score >= greatest(0.15, 0.82 * (SELECT max(score) FROM p))
 """)
 def semantic_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyword pool reranked by one vector, cut where the scores fall off."""
+    """All vectors ranked by one of them, cut where the scores fall off."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     wanted = F.broadcast(v.where("id = 1").select(F.col("embedding").alias("q")))  # one row
-    pool = v.where("id <> 1 and id % 3 = 0").crossJoin(wanted).select("id", text.cosine(F.col("embedding"), F.col("q")).alias("score"))
+    pool = v.where("id <> 1").crossJoin(wanted).select("id", text.cosine(F.col("embedding"), F.col("q")).alias("score"))
     return retrieval.adaptive_cutoff(pool, "score", 0.15).withColumn("score", F.round("score", 6))
 
 

@@ -75,9 +75,10 @@ SELECT doc_id, round(flesch, 6) AS flesch, round(0.39::DOUBLE * (n / s) + 11.8::
   CASE WHEN flesch >= 80 THEN 1.0 WHEN flesch >= 60 THEN 0.9 WHEN flesch >= 40 THEN 0.8 WHEN flesch >= 20 THEN 0.6 ELSE 0.3 END::DOUBLE AS tier FROM f
 """)
 def readability_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    grades = {k: F.round(v, 6) for k, v in scores.readability_grades(t).items()}
-    out = documents(spark, sf_dir).withColumn("f", scores.flesch(t)).where("f is not null")
+    counts = scores.readability_counts(documents(spark, sf_dir).select("doc_id", "text"), "text")
+    f = scores.flesch_of(counts)
+    out = counts.withColumn("f", f).where("f is not null")
+    grades = {k: F.round(v, 6) for k, v in scores.grades_of(out).items()}
     return out.select("doc_id", F.round("f", 6).alias("flesch"), *(v.alias(k) for k, v in grades.items()), scores.tier(F.col("f"), scores.READABILITY_TIERS, 0.3).alias("tier"))
 
 
@@ -101,15 +102,17 @@ def structure_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# letters outside ASCII as underscores, which are part of words for both engines
+_SAFE = r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F\P{L}]', '_', 'g')"
+
+
 @query(rf"""
-WITH c AS (SELECT doc_id, coalesce(text, '') AS text, {_N} AS n, len(regexp_extract_all(coalesce(text, ''), '\b[a-zA-Z]+\b')) AS e, len(regexp_extract_all(coalesce(text, ''), '\b[A-Z][a-z]+\b')) AS p FROM documents WHERE regexp_full_match(coalesce(text, ''), '[\x00-\x7F]*')),
+WITH c AS (SELECT doc_id, coalesce(text, '') AS text, {_N} AS n, len(regexp_extract_all({_SAFE}, '\b[a-zA-Z]+\b')) AS e, len(regexp_extract_all({_SAFE}, '\b[A-Z][a-z]+\b')) AS p FROM documents),
 t AS (SELECT doc_id, max(k) AS top FROM (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS w FROM c) WHERE length(w) > 3 GROUP BY 1, 2) GROUP BY 1)
 SELECT doc_id, round(CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, 0.6::DOUBLE * (e / n) + 0.4::DOUBLE * (p / greatest(e, 1)) - least(coalesce(top, 0) / n, 0.5))) END, 6) AS language FROM c LEFT JOIN t USING (doc_id)
 """)
 def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language scores of the texts in ASCII; word boundaries of other letters differ between engines."""
-    rows = documents(spark, sf_dir).where(F.coalesce("text", F.lit("")).rlike(r"\A[\x00-\x7F]*\z"))
-    return rows.select("doc_id", F.round(scores.language_score(F.col("text")), 6).alias("language"))
+    return documents(spark, sf_dir).select("doc_id", F.round(scores.language_score(F.col("text")), 6).alias("language"))
 
 
 @query(rf"""
@@ -135,14 +138,14 @@ def word_frequency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'), lambda w: NOT list_contains(%s, w)) AS w FROM documents WHERE lang = 'en'),
+WITH t AS (SELECT list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'), lambda w: NOT list_contains(%s, w)) AS w FROM documents),
 g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM t WHERE len(w) > 1)
 SELECT phrase, count(*) AS n FROM g WHERE length(phrase) > 8 GROUP BY 1 HAVING count(*) >= 20
 """ % str(list(text.STOP_WORDS)))
 def phrase_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word phrases over the words that remain without stop words, in at least twenty places."""
     grams = text.word_grams(F.col("w"), 2)
-    rows = documents(spark, sf_dir).where("lang = 'en'").select(text.keywords(F.col("text"), 3, None).alias("w")).select(F.explode(grams).alias("phrase"))
+    rows = documents(spark, sf_dir).select(text.keywords(F.col("text"), 3, None).alias("w")).select(F.explode(grams).alias("phrase"))
     return rows.where(F.length("phrase") > 8).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
 
 

@@ -4,17 +4,29 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 ALLOWED = ("select", "with", "explain", "table")
 
 
+_PARTS = re.compile(r"('(?:[^'\\\\]|\\\\.|'')*'|\"(?:[^\"\\\\]|\\\\.)*\"|`(?:[^`]|``)*`)|(--[^\n]*|/\\*.*?\\*/)|(;)", re.S)
+
+
 def check(sql: str) -> str:
-    """The statement, if it is a single one that only reads; else ValueError."""
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";").strip()
+    """The statement, if it is a single one that may read, without comments; else ValueError."""
+    semicolons = []
+
+    def keep(m: re.Match) -> str:
+        semicolons.extend([1] if m[3] else [])
+        return m[1] or m[3] or " "
+
+    bare = _PARTS.sub(keep, sql).strip()
+    if bare.endswith(";"):
+        bare, _ = bare[:-1].strip(), semicolons.pop()
     if not bare:
         raise ValueError("empty statement")
-    if ";" in re.sub(r"'(?:[^']|'')*'", "", bare):
+    if semicolons:
         raise ValueError("more than one statement")
     if bare.split(None, 1)[0].lower() not in ALLOWED:
         raise ValueError("only SELECT, WITH, EXPLAIN and TABLE are allowed")
@@ -22,8 +34,17 @@ def check(sql: str) -> str:
 
 
 def explore(spark: SparkSession, sql: str, most: int = 1000) -> tuple[DataFrame, bool]:
-    """The first rows of a statement, and whether there are more."""
-    rows = spark.sql(check(sql)).limit(most + 1)
+    """The first rows of a statement, and whether there are more.
+
+    The statement is read as a subquery, where Spark's parser takes queries only: what writes, WITH ... INSERT too, is refused.
+    """
+    bare = check(sql)
+    explain = re.match(r"explain\b\s*((?:extended|codegen|cost|formatted)\b)?", bare, re.I)
+    query = f"SELECT * FROM (\n{bare[explain.end():] if explain else bare}\n)"
+    try:
+        rows = spark.sql(f"{explain[0]} {query}" if explain else query).limit(most + 1)
+    except ParseException as e:
+        raise ValueError("only queries are allowed") from e
     return rows.limit(most), rows.count() > most
 
 
