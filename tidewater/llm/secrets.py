@@ -89,7 +89,7 @@ def not_plain(value: Column) -> Column:
 def find_candidates(docs: DataFrame, rule: Callable[[Column], Column] = looks_random, bare: str = BARE) -> DataFrame:
     """(doc_id, owner, key, base, bare): candidate spans (start, kind, end, hash, random, size of the value) of every row; key is null without any.
 
-    random says whether the rule allows the value to be live.
+    random says whether the rule allows the value of a base span to be live; bare spans follow the base ones of their value.
     """
     df = docs.select("doc_id", F.col("source").alias("owner"), F.coalesce("text", F.lit("")).alias("_text"))
     for name, pattern, group in (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0), ("bare", bare, 0)):
@@ -98,7 +98,7 @@ def find_candidates(docs: DataFrame, rule: Callable[[Column], Column] = looks_ra
 
     def spans(name: str) -> Column:
         value = lambda s: s["value"]
-        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name) + 1).alias("kind"), s["end"].alias("end"), F.sha2(value(s), 256).alias("hash"), rule(value(s)).alias("random"), F.length(value(s)).alias("size")))
+        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name) + 1).alias("kind"), s["end"].alias("end"), F.sha2(value(s), 256).alias("hash"), (F.lit(False) if name == "bare" else rule(value(s))).alias("random"), F.length(value(s)).alias("size")))
 
     base = F.concat(spans("assign"), spans("access"), spans("hex"))
     df = df.withColumn("base", base).withColumn("bare", spans("bare"))
