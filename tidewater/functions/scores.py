@@ -77,7 +77,9 @@ def readability_counts(df: DataFrame, text: str) -> DataFrame:
     keyed = df.withColumn("_row", F.monotonically_increasing_id())
     others = [c for c in df.columns if c != text]
     letters = F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]"))
-    each = keyed.select("_row", *others, sentence_count(F.col(text)).alias("s"), letters.alias("letters"), F.explode(words(F.lower(text))).alias("_word"))
+    # counted below the explode, which repeats what stands beside it for every word
+    counted = keyed.select("_row", *others, sentence_count(F.col(text)).alias("s"), letters.alias("letters"), words(F.lower(text)).alias("_words"))
+    each = counted.select("_row", *others, "s", "letters", F.explode("_words").alias("_word"))
     each = each.withColumn("_vowels", F.regexp_count("_word", F.lit("[aeiouy]+")))
     silent = (F.endswith("_word", F.lit("e")) & (F.col("_vowels") > 1)).cast("int")
     sums = [F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.lit(1), F.col("_vowels") - silent)).alias("y"), F.sum((F.col("_vowels") >= 3).cast("int")).alias("hard")]
