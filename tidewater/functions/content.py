@@ -38,6 +38,26 @@ def _present(text: Column, words: Sequence[str]) -> Column:
     return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
 
 
+# fixed values: marks of bait in headlines, and of vague ones
+HEADLINE_TRIGGERS = (
+    r"BREAKING:", r"SHOCKING:", r"EXCLUSIVE:", r"You Won't Believe", r"This One.*Thing", r"Doctors Hate", r"With This.*Trick", r"One Weird Trick",
+    r"Number \d+ Will", r"Changed Everything", r"Game Changer", r"Going Viral", r"Trending Now",
+)
+VAGUE_TITLES = (
+    r"What.*Happened Next", r"The.*Reason Why", r"Everyone Is.*Talking About", r"They Don't Want You to Know", r"This One (Thing|Trick|Secret)",
+)
+
+
+def clickbait_score(title: Column, content: Column, short: int = 200) -> Column:
+    """0 to 1: a title of bait .4, each headline mark .15, each vague one .12, emotion by length up to .25, under short words .2."""
+    head = F.coalesce(title, F.lit(""))
+    marks = lambda patterns: sum((head.rlike(f"(?i){p}").cast("int") for p in patterns), F.lit(0))
+    n = word_count(content)
+    felt = F.least(F.lit(0.25), _present(F.lower(F.coalesce(content, F.lit(""))), EMOTIONAL) / F.greatest(n / 100.0, F.lit(1.0)) * 0.5)
+    titled = F.when(is_clickbait(title), 0.4).otherwise(0.0) + 0.15 * marks(HEADLINE_TRIGGERS) + 0.12 * marks(VAGUE_TITLES)
+    return F.least(F.lit(1.0), titled + F.when(n > 0, felt).otherwise(0.0) + F.when(n < short, 0.2).otherwise(0.0))
+
+
 def emotion(title: Column, content: Column) -> Column:
     whole = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit("")))
     n = word_count(whole)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,18 @@ def syllables(text: Column) -> Column:
     return F.aggregate(F.transform(words(text), count), F.lit(0), lambda s, n: s + n)
 
 
+def plain_syllables(text: Column) -> Column:
+    """The rule of the early gate, over letters a-z alone: one a word, one more for each vowel after a consonant, less one for a final e.
+
+    Words that come to nothing add nothing, but one at the start of a text counts as one. Counted by patterns over the
+    whole text, without an array of its words.
+    """
+    letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\x20\x09-\x0D]", "")
+    count = lambda p: F.regexp_count(letters, F.lit(p))
+    starts_empty = letters.rlike(r"^[\x20\x09-\x0D]*[aeiouy]*e(?:[^a-z]|$)").cast("int")
+    return count("[a-z]+") + count("[bcdfghjklmnpqrstvwxz][aeiouy]") - count("e(?:[^a-z]|$)") + starts_empty
+
+
 def sentences(text: Column) -> Column:
     """Pieces between runs of full stops, exclamation and question marks."""
     return F.split(F.coalesce(text, F.lit("")), "[.!?]+", -1)
@@ -46,10 +58,10 @@ def sentence_count(text: Column) -> Column:
     return F.size(F.filter(sentences(text), lambda s: F.trim(F.regexp_replace(s, r"[\x09-\x0D]", " ")) != ""))
 
 
-def flesch(text: Column) -> Column:
-    """Flesch reading ease; null without words or sentences."""
+def flesch(text: Column, count: Callable[[Column], Column] = syllables) -> Column:
+    """Flesch reading ease with a rule that counts syllables; null without words or sentences."""
     n, s = word_count(text), sentence_count(text)
-    return F.when((n > 0) & (s > 0), 206.835 - 1.015 * (n / s) - 84.6 * (syllables(text) / n))
+    return F.when((n > 0) & (s > 0), 206.835 - 1.015 * (n / s) - 84.6 * (count(text) / n))
 
 
 def tier(score: Column, steps: Sequence[tuple[float, float]], rest: float) -> Column:
@@ -66,7 +78,15 @@ SCORER_READABILITY_TIERS = ((80, 1.0), (60, 0.8), (40, 0.6), (20, 0.4))
 
 
 def readability_score(text: Column) -> Column:
-    return F.coalesce(F.when(flesch(text).isNotNull(), tier(flesch(text), READABILITY_TIERS, 0.3)), F.lit(0.0))
+    """Readability at the early gate, with its plainer rule of syllables."""
+    f = flesch(text, plain_syllables)
+    return F.when(f.isNull(), 0.0).otherwise(tier(f, READABILITY_TIERS, 0.3))
+
+
+def scorer_readability(text: Column) -> Column:
+    """Readability as one of the dimensions of content_score."""
+    f = flesch(text)
+    return F.when(f.isNull(), 0.0).otherwise(tier(f, SCORER_READABILITY_TIERS, 0.2))
 
 
 def readability_counts(df: DataFrame, text: str) -> DataFrame:
@@ -167,6 +187,24 @@ def language_score(text: Column) -> Column:
     return F.when(n > 0, clip(0.6 * (latin / n) + 0.4 * (proper / F.greatest(latin, F.lit(1))) - penalty)).otherwise(0.0)
 
 
+def language_quality(text: Column) -> Column:
+    """A fifth each for a sentence mark, a capital, no word with a letter three times in a row, three sentences, 20 long words.
+
+    Up to a hundredth of words with such a letter give a tenth.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    n, odd = word_count(text), F.regexp_count(whole, F.lit(r"([^\x20\x09-\x0D])\1{2}[^\x20\x09-\x0D]*"))
+    real = F.filter(sentences(text), lambda s: F.length(F.regexp_replace(s, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")) > 5)
+    distinct = F.array_distinct(F.filter(words(F.lower(text)), lambda w: F.length(w) > 3))
+    point = lambda cond, v=0.2: F.when(cond, v).otherwise(0.0)
+    typed = F.when(n == 0, 0.0).when(odd == 0, 0.2).when(odd <= n * 0.01, 0.1).otherwise(0.0)
+    return point(whole.rlike("[.!?]")) + point(whole.rlike("[A-Z]")) + typed + point(F.size(real) >= 3) + point(F.size(distinct) > 20)
+
+
+def content_score(length: Column, readability: Column, structure: Column, uniqueness: Column, completeness: Column, language: Column) -> Column:
+    return weighted([(0.15, length), (0.20, readability), (0.15, structure), (0.15, uniqueness), (0.15, completeness), (0.20, language)])
+
+
 # fixed values: marks of spam
 SPAM_TITLE = ("click here", "free", "win", "prize", "urgent", "act now", "limited time")
 SPAM_TEXT = ("make money", "work from home", "get rich", "lose weight", "viagra", "casino")

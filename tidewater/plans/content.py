@@ -25,6 +25,25 @@ def clickbait_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("title", content.is_clickbait(F.col("title")).alias("clickbait")).agg(F.count(F.lit(1)).alias("n")).select("title", "n", "clickbait")
 
 
+_Q = lambda term: term.replace("'", "''")
+_BAIT = " OR ".join(f"regexp_matches(low, '{_Q(p)}')" for p in (x.replace("\\'", "'") for x in content.CLICKBAIT))
+_OFFICIAL = " OR ".join(f"contains(low, '{_Q(t)}')" for t in content.OFFICIAL)
+_MARKS = lambda patterns: " + ".join(f"regexp_matches(title, '(?i){_Q(p)}')::INT" for p in patterns)
+_FELT = " + ".join(f"contains(lower(text), '{w}')::INT" for w in content.EMOTIONAL)
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, split_part(coalesce(text, ''), '.', 1) AS title FROM documents),
+c AS (SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n, {_FELT} AS felt, lower(title) AS low, {_MARKS(content.HEADLINE_TRIGGERS)} AS heads, {_MARKS(content.VAGUE_TITLES)} AS vague FROM d)
+SELECT doc_id, round(least(1.0::DOUBLE, CASE WHEN ({_BAIT}) AND NOT ({_OFFICIAL}) THEN 0.4 ELSE 0 END::DOUBLE + 0.15::DOUBLE * heads + 0.12::DOUBLE * vague
+  + CASE WHEN n > 0 THEN least(0.25::DOUBLE, felt / greatest(n / 100.0::DOUBLE, 1.0::DOUBLE) * 0.5::DOUBLE) ELSE 0 END + CASE WHEN n < 200 THEN 0.2 ELSE 0 END::DOUBLE), 6) AS clickbait FROM c
+""")
+def clickbait_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clickbait of every document, whose first sentence stands for a title."""
+    title = F.substring_index("text", ".", 1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(content.clickbait_score(title, F.col("text")), 6).alias("clickbait"))
+
+
 _N = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 
@@ -41,7 +60,8 @@ def depth_and_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def content_quality_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by tier of their content quality; its parts are compared with SQL on their own."""
-    q = content.content_quality(F.lit(""), F.col("text"), F.lit(0.5), F.lit(0.0))
+    title = F.substring_index("text", ".", 1)
+    q = content.content_quality(title, F.col("text"), F.lit(0.5), content.clickbait_score(title, F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).groupBy("q.tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("q.score"), 4).alias("score"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewater.functions import dates, scores, text
 from tidewater.operators.windows import top_per_group
-from tidewater.plans.registry import query
+from tidewater.plans.registry import SQL, query
 from tidewater.sources.tables import table
 
 _NORMAL = r"""regexp_replace(trim(regexp_replace(replace(translate(regexp_replace(lower(coalesce(text, '')), '<[^>]*>', '', 'g'), '‘’“”–—', '''''""--'), '…', '...'), '[\x20\x09-\x0D\xA0]+', ' ', 'g')), '\x20+([.,;:!?])', '\1', 'g')"""
@@ -102,6 +102,42 @@ def structure_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LETTERS = r"regexp_replace(lower(coalesce(text, '')), '[^a-z\x20\x09-\x0D]', '', 'g')"
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all({_LETTERS}, '[a-z]+')) AS w, generate_subscripts(regexp_extract_all({_LETTERS}, '[a-z]+'), 1) AS i FROM documents),
+c AS (SELECT doc_id, i, 1 + len(regexp_extract_all(w, '[^aeiouy][aeiouy]')) - suffix(w, 'e')::INT AS k FROM w),
+s AS (SELECT doc_id, sum(CASE WHEN i = 1 THEN greatest(k, 1) ELSE k END) AS y FROM c GROUP BY 1)
+SELECT doc_id, coalesce(y, 0)::BIGINT AS syllables FROM documents LEFT JOIN s USING (doc_id)
+""")
+def plain_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", scores.plain_syllables(F.col("text")).cast("long").alias("syllables"))
+
+
+_STEPS = " ".join(f"WHEN score >= {bound} THEN '{name}'" for bound, name in ((0.9, "A+"), (0.8, "A"), (0.7, "B+"), (0.6, "B"), (0.5, "C+"), (0.4, "C"), (0.3, "D")))
+
+
+@query(rf"""
+WITH q AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, string_split_regex(coalesce(text, ''), '[.!?]+') AS s FROM documents),
+o AS (SELECT *, len(list_filter(w, lambda x: len(list_filter(range(1, length(x) - 1), lambda i: x[i] = x[i + 1] AND x[i] = x[i + 2])) > 0)) AS odd FROM q),
+l AS (SELECT doc_id, t, CASE WHEN regexp_matches(t, '[.!?]') THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN regexp_matches(t, '[A-Z]') THEN 0.2 ELSE 0 END::DOUBLE
+  + CASE WHEN len(w) = 0 THEN 0 WHEN odd = 0 THEN 0.2 WHEN odd <= len(w) * 0.01 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN len(list_filter(s, lambda x: length(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) > 5)) >= 3 THEN 0.2 ELSE 0 END::DOUBLE
+  + CASE WHEN len(list_distinct(list_filter(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+'), lambda x: length(x) > 3))) > 20 THEN 0.2 ELSE 0 END::DOUBLE AS language FROM o),
+z AS (SELECT doc_id, CASE WHEN t = '' THEN 0::DOUBLE ELSE 0.15::DOUBLE * scorer + 0.2::DOUBLE * CASE WHEN flesch >= 80 THEN 1.0 WHEN flesch >= 60 THEN 0.8 WHEN flesch >= 40 THEN 0.6 WHEN flesch >= 20 THEN 0.4 WHEN flesch IS NULL THEN 0.0 ELSE 0.2 END::DOUBLE
+  + 0.15::DOUBLE * structure + 0.15::DOUBLE * uniqueness + 0.15::DOUBLE * completeness + 0.2::DOUBLE * round(language, 6) END AS score
+  FROM l JOIN ({SQL["length_scores"]}) a USING (doc_id) JOIN ({SQL["structure_scores"]}) b USING (doc_id) LEFT JOIN ({SQL["readability_suite"]}) c USING (doc_id))
+SELECT doc_id, round(score, 3) AS score, CASE {_STEPS} ELSE 'F' END AS grade FROM (SELECT doc_id, round(score, 9) AS score FROM z)
+""")
+def content_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blended score of every document over six dimensions, and its grade; an empty text scores 0."""
+    t = F.col("text")
+    dimensions = (scores.scorer_length(t), scores.scorer_readability(t), scores.structure_score(t), scores.uniqueness_score(t), scores.completeness_score(t, F.lit("a title")), scores.language_quality(t))
+    score = F.when(F.coalesce(t, F.lit("")) == "", 0.0).otherwise(scores.content_score(*(F.round(c, 6) for c in dimensions)))
+    rows = documents(spark, sf_dir).select("doc_id", F.round(score, 9).alias("score"))
+    return rows.select("doc_id", F.round("score", 3).alias("score"), scores.grade(F.col("score")).alias("grade"))
+
+
 # letters outside ASCII as underscores, which are part of words for both engines
 _SAFE = r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F\P{L}]', '_', 'g')"
 
