@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions import dates, models, scores, text
+from tidewater.functions import adverts, content, dates, models, scores, text
 from tidewater.operators import dedup, entities, filters, graph, joins, retrieval, upsert, windows
 from tidewater.sources import explorer, feeds, logs, observations
 from tidewater.sources import registry as sources
@@ -252,3 +252,56 @@ def test_similar_sets_with_copies_against_all_pairs(spark):
     found = {r.node: r.component for r in graph.components(dedup.jaccard_links(rows, 0.8)).collect()}
     wanted = {r.node: r.component for r in graph.components(dedup.jaccard_pairs(rows, 0.8).select("a", "b")).collect()}
     assert found == wanted
+
+
+@pytest.mark.parametrize(
+    ("words", "wanted"),
+    [("the", 1), ("eye", 1), ("eye ye e", 1), ("table eye", 2), ("banana", 4), ("Idea, OK!", 3), ("été", 1), ("1 2 ...", 0), ("", 0), (None, 0)],
+)
+def test_plain_syllables(spark, words, wanted):
+    assert one(spark, scores.plain_syllables(F.lit(words).cast("string"))) == wanted
+
+
+def test_clickbait_score(spark):
+    score = lambda title, body: one(spark, content.clickbait_score(F.lit(title).cast("string"), F.lit(body).cast("string")))
+    long = "plain words of a report " * 50
+    assert score("Quarterly results", long) == 0.0
+    assert score("Quarterly results", None) == score(None, "") == pytest.approx(0.2)
+    assert score("BREAKING: a market is going viral", long) == pytest.approx(0.4 + 0.15 + 0.15)
+    assert score("This One Thing", long) == pytest.approx(0.4 + 0.15 + 0.12)
+    assert score("Quarterly results", "panic and chaos") == pytest.approx(0.2 + 0.25)
+    assert score("BREAKING: EXCLUSIVE: you won't believe, doctors hate one weird trick, going viral", "chaos, panic") == 1.0
+
+
+def test_language_quality_and_content_score(spark):
+    quality = lambda t: one(spark, scores.language_quality(F.lit(t).cast("string")))
+    assert quality(None) == quality("") == 0.0
+    assert quality("plain") == pytest.approx(0.2)
+    assert quality("Goood.") == pytest.approx(0.4)  # all of its words have a letter three times in a row
+    assert quality("word " * 99 + "zzz") == pytest.approx(0.1)
+    assert quality("One two three. Four five six. Seven eight nine.") == pytest.approx(0.8)
+    assert one(spark, scores.content_score(*(F.lit(1.0) for _ in range(6)))) == pytest.approx(1.0)
+    assert one(spark, scores.content_score(F.lit(1.0), *(F.lit(0.0) for _ in range(5)))) == pytest.approx(0.15)
+
+
+@pytest.mark.parametrize(
+    ("title", "body", "url", "wanted"),
+    [
+        ("Rewards", "Apply. Subject to credit approval. Member FDIC.", "https://example.com/x", True), ("Cards", "See rates and fees. Variable APR applies.", "", True),
+        ("Product Spotlight: a tool", "Streamline drafting.", "https://example.com/news", True), ("An edge", "Start your Westlaw Edge free trial today.", "", True),
+        ("An option", "Pay as little as $10 with savings card.", None, True), ("Support", "Deploy our no-code AI chatbot.", None, True),
+        ("Study finds modest benefit in older adults", "Researchers told of outcomes in a randomized trial.", "https://example.com/doi", False),
+        ("Compare the best credit cards for dining rewards", "", "https://example.com/a", True), ("Top 6 credit cards for travel in 2026", None, None, True),
+        ("Senate panel holds hearing on credit card fee cap bill", "Lawmakers spoke of interchange fees.", "https://example.com/1", False),
+        ("News", "Words.", "https://www.nerdwallet.com/article", True), ("News", "Words.", "https://example.com/ads/7", True), ("News", "Words.", "https://example.com/7", False),
+        ("Press release", "Member FDIC.", "https://example.com/ads/7", False), (None, None, None, False), ("", "", "", False),
+    ],
+)
+def test_is_advertisement(spark, title, body, url, wanted):
+    assert one(spark, adverts.is_advertisement(*(F.lit(v).cast("string") for v in (title, body, url)))) is wanted
+
+
+@pytest.mark.parametrize("part", [adverts.PLAIN, adverts.FINANCE, adverts.LEGAL, adverts.MEDICINE, adverts.CHATBOTS])
+def test_every_phrase_marks_an_advertisement(spark, part):
+    rows = spark.createDataFrame([(f"words {p.upper()} words",) for p in part], "t string")
+    assert rows.where(~adverts.is_advertisement(F.lit("Title"), F.col("t"), F.lit(""))).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.functions import content, scores, text
+from tidewater.functions import adverts, content, scores, text
 from tidewater.operators import dedup, events
 from tidewater.operators.windows import top_per_group
 from tidewater.plans.registry import query
@@ -44,6 +44,33 @@ def clickbait_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(content.clickbait_score(title, F.col("text")), 6).alias("clickbait"))
 
 
+_ANY = lambda at, terms: " OR ".join(f"contains({at}, '{_Q(t)}')" for t in terms)
+_CARDS = " OR ".join(f"regexp_matches(title, '{_Q(p)}')" for p in adverts.CARD_TITLES)
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1) AS title, coalesce(html, '') AS html, coalesce(url, '') AS url FROM pages),
+c AS (SELECT *, lower(title || ' ' || html || ' ' || url) AS t, lower(url) AS u FROM p)
+SELECT page_id, NOT ({_ANY("t", adverts.OFFICIAL)}) AND ((length(trim(title)) >= 6 AND ({_CARDS}) AND NOT regexp_matches(lower(title), '{adverts.CARD_NEWS}'))
+  OR {_ANY("t", adverts.PLAIN + adverts.FINANCE + adverts.LEGAL + adverts.MEDICINE + adverts.CHATBOTS)} OR {_ANY("u", adverts.SHOP_URLS + adverts.CARD_URLS + adverts.AD_URLS)}) AS advertisement FROM c
+""")
+def advertisement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each page is an advertisement, by its title, markup and address."""
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", adverts.is_advertisement(title, F.col("html"), F.col("url")).alias("advertisement"))
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, split_part(coalesce(text, ''), '.', 1) AS title FROM documents), c AS (SELECT *, lower(title || ' ' || text || ' ') AS t FROM d)
+SELECT doc_id, NOT ({_ANY("t", adverts.OFFICIAL)}) AND ((length(trim(title)) >= 6 AND ({_CARDS}) AND NOT regexp_matches(lower(title), '{adverts.CARD_NEWS}'))
+  OR {_ANY("t", adverts.PLAIN + adverts.FINANCE + adverts.LEGAL + adverts.MEDICINE + adverts.CHATBOTS)}) AS advertisement FROM c
+""")
+def advertisement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for documents, whose first sentence stands for a title and which have no address."""
+    advertisement = adverts.is_advertisement(F.substring_index("text", ".", 1), F.col("text"), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", advertisement.alias("advertisement"))
+
+
 _N = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 
