@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions import adverts, content, dates, models, scores, text
+from tidewater.functions import adverts, content, dates, models, priorities, scores, text
 from tidewater.operators import dedup, entities, filters, graph, joins, retrieval, upsert, windows
 from tidewater.sources import explorer, feeds, logs, observations
 from tidewater.sources import registry as sources
@@ -305,3 +305,42 @@ def test_is_advertisement(spark, title, body, url, wanted):
 def test_every_phrase_marks_an_advertisement(spark, part):
     rows = spark.createDataFrame([(f"words {p.upper()} words",) for p in part], "t string")
     assert rows.where(~adverts.is_advertisement(F.lit("Title"), F.col("t"), F.lit(""))).count() == 0
+
+
+def test_significance_importance_and_bias(spark):
+    word = lambda v: F.lit(v).cast("string")
+    significance = lambda t, d, n: one(spark, priorities.significance(word(t), word(d), F.lit(n).cast("long")))
+    assert significance(None, None, None) == significance("", "", 0) == 0.5
+    assert significance("Market CRISIS", "a new policy", 5) == pytest.approx(0.5 + 0.1 + 0.05 * 2 + 0.1)
+    assert significance("crisis emergency breaking major", "war", 500) == 1.0
+    importance = lambda t, c: one(spark, priorities.event_importance(word(t), F.lit(c).cast("double")))
+    assert importance(None, None) == 0.5
+    assert importance("The Senate met", 0.5) == pytest.approx(0.7)
+    assert importance("A major and significant vote", 0.0) == pytest.approx(0.7)
+    assert importance("An urgent, historic, key shutdown", 1.0) == 1.0
+    assert one(spark, priorities.bias_blend(F.lit(1.0), F.lit(-1.0))) == pytest.approx(-0.2)
+    assert one(spark, priorities.bias_blend(F.lit(-2.0), F.lit(-1.0))) == -1.0
+
+
+@pytest.mark.parametrize(
+    ("source", "wanted"),
+    [("Reuters", ("tier_1", 0.95)), ("BBC News", ("tier_1", 0.95)), ("Bloomberg.com", ("tier_2", 0.85)), ("times", ("tier_2", 0.85)), ("usa", ("tier_3", 0.7)), ("A Blog", ("tier_4", 0.5)), (" ", ("unknown", 0.3)), (None, ("unknown", 0.3))],
+)
+def test_source_reliability(spark, source, wanted):
+    assert tuple(one(spark, priorities.source_reliability(F.lit(source).cast("string")))) == wanted
+
+
+def test_article_priority(spark):
+    rule, word = priorities.Rule, lambda v: F.lit(v).cast("string")
+    score = lambda rules, collection=(), title="Quantum Computing", body=None: one(spark, priorities.article_priority(word(title), word(body), word("Tech Daily"), word("Technology"), rules, collection))
+    assert score([]) == score([rule("text", "absent", "boost")]) == 50.0
+    assert score([rule("text", "QUANTUM", "boost", 40, 0.5)]) == 70.0
+    assert score([rule("source", "daily", "suppress", 40, 0.5)]) == 30.0
+    assert score([rule("category", "tech", "track", 40, 0.5)]) == 60.0
+    assert score([rule("text", "quantum", "boost", 100)]) == 100.0
+    assert score([rule("text", "quantum", "suppress", 100)]) == 0.0
+    assert score([], [rule("text", "quantum", "boost", 50)]) == 65.0
+    assert score([rule("text", "quantum", "boost", 40)], [rule("text", "computing", "avoid"), rule("source", "tech", "boost", 50)]) == 15.0
+    assert score([rule("text", "quantum", "boost")], title=None) == 50.0
+    levels = [one(spark, priorities.collection_level(F.lit(float(x)))) for x in (75, 74, 50, 49)]
+    assert levels == ["high", "medium", "medium", "low"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.functions import adverts, content, scores, text
+from tidewater.functions import adverts, content, priorities, scores, text
 from tidewater.operators import dedup, events
 from tidewater.operators.windows import top_per_group
 from tidewater.plans.registry import query
@@ -71,6 +71,45 @@ def advertisement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", advertisement.alias("advertisement"))
 
 
+_COUNT = lambda at, terms: " + ".join(f"contains({at}, '{t}')::INT" for t in terms)
+_GROUPS = " + ".join(f"CASE WHEN {_ANY('t', terms)} THEN {v} ELSE 0 END::DOUBLE" for terms, v in priorities.IMPORTANT)
+_TIERS = " ".join(f"WHEN {_ANY('s', terms)} OR {' OR '.join(f'contains({chr(39)}{t}{chr(39)}, s)' for t in terms)} THEN '{name}'" for name, _, terms in priorities.RELIABLE)
+
+
+@query(rf"""
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+d AS (SELECT doc_id, lower(coalesce(d.source, '') || ' ' || coalesce(text, '')) AS w, lower(coalesce(text, '')) AS t, trim(lower(coalesce(d.source, ''))) AS s, coalesce(n, 0) AS n, CASE WHEN regexp_matches(coalesce(text, ''), '[0-9]{{4}}') THEN 1.0 ELSE 0.5 END::DOUBLE AS sure FROM documents d LEFT JOIN n ON n.source = d.source)
+SELECT doc_id, round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * ({_COUNT("w", priorities.HIGH)}) + 0.05::DOUBLE * ({_COUNT("w", priorities.MEDIUM)}) + least(n / 50.0::DOUBLE, 0.3::DOUBLE)), 6) AS significance,
+  round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.2::DOUBLE * sure + {_GROUPS}), 6) AS importance, CASE WHEN s = '' THEN 'unknown' {_TIERS} ELSE 'tier_4' END AS tier FROM d
+""")
+def editorial_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Significance of every document beside others of its source, importance of what it tells, and the tier of its source."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = rows.join(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source", "left")
+    sure = F.when(F.coalesce("text", F.lit("")).rlike("[0-9]{4}"), 1.0).otherwise(0.5)
+    return rows.select(
+        "doc_id", F.round(priorities.significance(F.col("source"), F.col("text"), F.col("n")), 6).alias("significance"),
+        F.round(priorities.event_importance(F.col("text"), sure), 6).alias("importance"), priorities.source_reliability(F.col("source"))["tier"].alias("tier"),
+    )
+
+
+_RULES = (priorities.Rule("text", "market", "boost", 75, 0.5), priorities.Rule("text", "error", "suppress", 25), priorities.Rule("category", "en", "track", 50, 0.4))
+_COLLECTION = (priorities.Rule("text", "click here", "avoid"), priorities.Rule("category", "de", "boost", 75))
+
+
+@query("""
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, lower(coalesce(lang, '')) AS c FROM documents),
+u AS (SELECT *, 50 + CASE WHEN contains(t, 'market') THEN 37.5 ELSE 0 END - CASE WHEN contains(t, 'error') THEN 25 ELSE 0 END + CASE WHEN contains(c, 'en') THEN 10 ELSE 0 END AS k FROM d),
+s AS (SELECT doc_id, greatest(0, least(100, CASE WHEN contains(t, 'click here') THEN 0 ELSE k END + CASE WHEN contains(c, 'de') THEN 22.5 ELSE 0 END))::DOUBLE AS priority FROM u)
+SELECT doc_id, priority, CASE WHEN priority >= 75 THEN 'high' WHEN priority >= 50 THEN 'medium' ELSE 'low' END AS level FROM s
+""")
+def article_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priority of every document by rules on its words and language."""
+    nothing = F.lit(None).cast("string")
+    priority = priorities.article_priority(nothing, F.col("text"), F.col("source"), F.col("lang"), _RULES, _COLLECTION)
+    return table(spark, sf_dir, "documents").select("doc_id", priority.alias("priority"), priorities.collection_level(priority).alias("level"))
+
+
 _N = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 
