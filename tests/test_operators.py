@@ -5,6 +5,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidewater.functions import adverts, content, dates, models, priorities, scores, text
@@ -344,3 +345,18 @@ def test_article_priority(spark):
     assert score([rule("text", "quantum", "boost")], title=None) == 50.0
     levels = [one(spark, priorities.collection_level(F.lit(float(x)))) for x in (75, 74, 50, 49)]
     assert levels == ["high", "medium", "medium", "low"]
+
+
+def test_best_clusters(spark):
+    shape = "id int, v array<double>"
+    vectors = lambda rows: spark.createDataFrame(rows, shape).select("id", array_to_vector("v").alias("v"))
+    near = [(i, [10.0 * (i % 3) + 0.01 * i, 5.0 * (i % 3 == 1) - 0.01 * i]) for i in range(30)]
+    k, found = retrieval.best_clusters(vectors(near), "v", most=6)
+    assert k == 3
+    groups = {frozenset(r["ids"]) for r in found.groupBy("cluster").agg(F.collect_list("id").alias("ids")).collect()}
+    assert groups == {frozenset(range(start, 30, 3)) for start in range(3)}
+    for few in ([], near[:1], near[:3]):
+        k, found = retrieval.best_clusters(vectors(few), "v")
+        assert (k, found.count(), found.where("cluster <> 0").count()) == (1, len(few), 0)
+    k, found = retrieval.best_clusters(vectors([(i, [1.0, 1.0]) for i in range(8)]), "v")
+    assert (k, found.count()) == (2, 8)

@@ -113,15 +113,18 @@ def flesch_of(counts: DataFrame) -> Column:
 
 
 def grades_of(counts: DataFrame) -> dict[str, Column]:
-    """Flesch-Kincaid, Fog, SMOG, ARI and Coleman-Liau grades by name over readability_counts, where there are sentences."""
+    """Flesch-Kincaid, Fog, SMOG, ARI and Coleman-Liau grades, and the mean of those above 0, over readability_counts with sentences."""
     n, s, y, letters, hard = (counts[c] for c in ("n", "s", "y", "letters", "hard"))
-    return {
+    grades = {
         "flesch_kincaid": 0.39 * (n / s) + 11.8 * (y / n) - 15.59,
         "fog": 0.4 * (n / s + 100 * (hard / n)),
         "smog": 1.043 * F.sqrt(hard.cast("double")) + 3.1291,
         "ari": 4.71 * (letters / n) + 0.5 * (n / s) - 21.43,
         "coleman_liau": 0.0588 * (100 * (letters / n)) - 0.296 * (100 * (s / n)) - 15.8,
     }
+    total = sum((F.when(g > 0, g).otherwise(0.0) for g in grades.values()), F.lit(0.0))
+    above = sum(((g > 0).cast("int") for g in grades.values()), F.lit(0))
+    return grades | {"mean_grade": ratio(total, above)}
 
 
 def structure_score(text: Column) -> Column:

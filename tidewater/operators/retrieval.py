@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,3 +58,23 @@ def adaptive_cutoff(df: DataFrame, score: str, floor: float, share: float = 0.82
     stats = df.agg(F.max(score).alias("_best"), F.count(F.lit(1)).alias("_n"))
     bound = F.when(F.col("_n") >= least, F.greatest(F.lit(floor), share * F.col("_best"))).otherwise(F.lit(floor))
     return df.crossJoin(F.broadcast(stats)).where(F.col(score) >= bound).drop("_best", "_n")
+
+
+def best_clusters(rows: DataFrame, features: str, most: int = 10, seed: int = 42) -> tuple[int, DataFrame]:
+    """The number of k-means clusters from 2 to most, or half the rows, with the best silhouette, and rows with a column cluster.
+
+    features is a vector column without nulls. Of equal silhouettes the smaller number wins. Fewer than four rows make
+    one cluster. Every fit and every silhouette is a job over all rows; keep rows in a table or cache.
+    """
+    top = min(most, rows.count() // 2)
+    if top < 2:
+        return 1, rows.withColumn("cluster", F.lit(0))
+    judge = ClusteringEvaluator(featuresCol=features, predictionCol="cluster")
+    best = None
+    for k in range(2, top + 1):
+        found = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(rows).transform(rows)
+        # rows that are all alike end up in one cluster, which has no silhouette
+        score = judge.evaluate(found) if found.select("cluster").distinct().count() > 1 else -1.0
+        if best is None or score > best[0]:
+            best = score, k, found
+    return best[1], best[2]

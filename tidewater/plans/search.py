@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import content, search, text
 from tidewater.operators import retrieval
+from tidewater.operators.graph import written
 from tidewater.plans.registry import query
 from tidewater.sources.observations import latest_value
 from tidewater.sources.tables import table
@@ -116,3 +117,11 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=10, seed=42, maxIter=20).fit(rows)
     return model.transform(rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def chosen_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-means of all vectors with the number of clusters, up to ten, that has the best silhouette; no SQL states it."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    k, found = retrieval.best_clusters(written(rows, "vectors"), "features")
+    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k))

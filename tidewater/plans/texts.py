@@ -69,8 +69,9 @@ _SENT = r"len(list_filter(string_split_regex(coalesce(text, ''), '[.!?]+'), lamb
 
 @query(f"""
 WITH c AS (SELECT doc_id, {_N} AS n, {_SENT} AS s, {_SYL} AS y, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]')) AS l, len(list_filter({_WORDS}, lambda w: len(regexp_extract_all(lower(w), '[aeiouy]+')) >= 3)) AS h FROM documents),
-f AS (SELECT *, 206.835::DOUBLE - 1.015::DOUBLE * (n / s) - 84.6::DOUBLE * (y / n) AS flesch FROM c WHERE n > 0 AND s > 0)
-SELECT doc_id, round(flesch, 6) AS flesch, round(0.39::DOUBLE * (n / s) + 11.8::DOUBLE * (y / n) - 15.59, 6) AS flesch_kincaid, round(0.4::DOUBLE * (n / s + 100 * (h / n)), 6) AS fog, round(1.043::DOUBLE * sqrt(h) + 3.1291, 6) AS smog,
+f AS (SELECT *, 206.835::DOUBLE - 1.015::DOUBLE * (n / s) - 84.6::DOUBLE * (y / n) AS flesch, list_filter([0.39::DOUBLE * (n / s) + 11.8::DOUBLE * (y / n) - 15.59, 0.4::DOUBLE * (n / s + 100 * (h / n)), 1.043::DOUBLE * sqrt(h) + 3.1291,
+  4.71::DOUBLE * (l / n) + 0.5::DOUBLE * (n / s) - 21.43, 0.0588::DOUBLE * (100 * (l / n)) - 0.296::DOUBLE * (100 * (s / n)) - 15.8], lambda g: g > 0) AS above FROM c WHERE n > 0 AND s > 0)
+SELECT doc_id, round(CASE WHEN len(above) > 0 THEN list_sum(above) / len(above) ELSE 0 END, 6) AS mean_grade, round(flesch, 6) AS flesch, round(0.39::DOUBLE * (n / s) + 11.8::DOUBLE * (y / n) - 15.59, 6) AS flesch_kincaid, round(0.4::DOUBLE * (n / s + 100 * (h / n)), 6) AS fog, round(1.043::DOUBLE * sqrt(h) + 3.1291, 6) AS smog,
   round(4.71::DOUBLE * (l / n) + 0.5::DOUBLE * (n / s) - 21.43, 6) AS ari, round(0.0588::DOUBLE * (100 * (l / n)) - 0.296::DOUBLE * (100 * (s / n)) - 15.8, 6) AS coleman_liau,
   CASE WHEN flesch >= 80 THEN 1.0 WHEN flesch >= 60 THEN 0.9 WHEN flesch >= 40 THEN 0.8 WHEN flesch >= 20 THEN 0.6 ELSE 0.3 END::DOUBLE AS tier FROM f
 """)
@@ -163,14 +164,13 @@ def fact_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w WHERE word NOT IN (SELECT unnest(%s)) GROUP BY 1)
-SELECT word, n, round(least(n / 15.0, 1.0), 6) AS relevance, round(100.0 * n / max(n) OVER (), 6) AS size FROM c ORDER BY n DESC, word LIMIT 100
+SELECT word, n, round(least(n / 15.0, 1.0), 6) AS relevance, least(10 * n, 100) AS size FROM c ORDER BY n DESC, word LIMIT 100
 """ % str(list(text.STOP_WORDS)))
 def word_frequency_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred commonest words, with relevance and the size in a word cloud."""
     found = documents(spark, sf_dir).select(F.explode(text.keywords(F.col("text"), 4, None)).alias("word"))
     top = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(100)
-    most = top.agg(F.max("n").alias("most"))
-    return top.crossJoin(F.broadcast(most)).select("word", "n", F.round(F.least(F.col("n") / 15.0, F.lit(1.0)), 6).alias("relevance"), F.round(100.0 * F.col("n") / F.col("most"), 6).alias("size"))
+    return top.select("word", "n", F.round(F.least(F.col("n") / 15.0, F.lit(1.0)), 6).alias("relevance"), F.least(10 * F.col("n"), F.lit(100)).alias("size"))
 
 
 @query(r"""
