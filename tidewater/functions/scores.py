@@ -77,16 +77,19 @@ READABILITY_TIERS = ((80, 1.0), (60, 0.9), (40, 0.8), (20, 0.6))
 SCORER_READABILITY_TIERS = ((80, 1.0), (60, 0.8), (40, 0.6), (20, 0.4))
 
 
+def _tier_of(ease: Column, steps: Sequence[tuple[float, float]], rest: float) -> Column:
+    """The tier of a costly score, which is evaluated once here; 0 where it is null."""
+    return F.get(F.transform(F.array(ease), lambda x: F.when(x.isNull(), 0.0).otherwise(tier(x, steps, rest))), F.lit(0))
+
+
 def readability_score(text: Column) -> Column:
     """Readability at the early gate, with its plainer rule of syllables."""
-    f = flesch(text, plain_syllables)
-    return F.when(f.isNull(), 0.0).otherwise(tier(f, READABILITY_TIERS, 0.3))
+    return _tier_of(flesch(text, plain_syllables), READABILITY_TIERS, 0.3)
 
 
 def scorer_readability(text: Column) -> Column:
     """Readability as one of the dimensions of content_score."""
-    f = flesch(text)
-    return F.when(f.isNull(), 0.0).otherwise(tier(f, SCORER_READABILITY_TIERS, 0.2))
+    return _tier_of(flesch(text), SCORER_READABILITY_TIERS, 0.2)
 
 
 def readability_counts(df: DataFrame, text: str) -> DataFrame:
