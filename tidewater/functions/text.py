@@ -158,7 +158,10 @@ def event_fingerprint(kind: Column, actors: Column, place: Column, date: Column)
     return F.sha2(F.concat_ws("::", F.lower(kind), names, F.coalesce(F.lower(place), F.lit("unknown")), F.coalesce(date.cast("string"), F.lit("unknown"))), 256)
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; 0 when one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
