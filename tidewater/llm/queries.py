@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, classify, decontaminate, mixing, near_dedup, pii, secrets, topk, url_filter, whitening
+from tidewater.llm import chat, classify, decontaminate, html_extract, mixing, near_dedup, pii, secrets, topk, url_filter, whitening
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_pii": pii.op9_pii,
     "op10_url_filters": url_filter.op10_url_filters,
+    "op11_html_extraction": html_extract.op11_html_extraction,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 SQL = {
