@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat, classify, decontaminate, html_extract, mixing, near_dedup, pii, secrets, topk, url_filter, whitening
+from tidewater.llm import chat, classify, decontaminate, html_extract, mixing, near_dedup, pii, prefix_trie, secrets, topk, url_filter, whitening
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filters": url_filter.op10_url_filters,
     "op11_html_extraction": html_extract.op11_html_extraction,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 SQL = {
     "op1_minhash_near_dedup": near_dedup.OP1_SQL,
@@ -25,4 +26,5 @@ SQL = {
     "op6_secret_scans": secrets.OP6_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
     "op10_url_filters": url_filter.OP10_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
