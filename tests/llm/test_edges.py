@@ -132,6 +132,18 @@ def test_redaction_lets_ownership_decide(spark):
     assert got == wanted
 
 
+def test_common_words_are_no_secrets(spark):
+    """A word that many owners use bare stays, also where a name stands before it; a value of one owner goes everywhere."""
+    rows = [(1, "the secret: understanding of it", "s1"), (2, "token = kT9x2LmQ4vZ8", "s1"), (3, "again kT9x2LmQ4vZ8", "s1")]
+    rows += [(10 + i, "a deep understanding", f"s{i % 10}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    assert got == {i: text for i, text, _ in rows} | {2: "token = [SECRET]", 3: "again [SECRET]"}
+    scanned = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    assert (scanned[1].n_live, scanned[1].n_copied, scanned[1].owners) == (0, 1, 10) and scanned[10].added == []
+    assert scanned[2].n_live == 1 and [(s.start, s.end) for s in scanned[3].added] == [(6, 18)]
+
+
 def test_rows_that_share_an_id(spark):
     """Rows of one doc_id are one document for the operator; the stage judges each by its own text."""
     other = " ".join(random.choices(WORDS, k=90))

@@ -1,18 +1,16 @@
 """Secret scans: spans of candidate secrets, and the ownership of their values across the corpus.
 
-Base spans come from three patterns. The values of all candidates are hashed and counted by distinct owners (source) and
-repositories (document). A value that COPIED_OWNERS or more owners hold, or SOME_OWNERS of them in COPIED_REPOSITORIES or
-more repositories, is a copied example; any other is live if a rule on its characters allows it; the rest are placeholders. Scans ask for values that look random, as their SQL
-does; redaction takes every value that is no plain placeholder, and seeks those without a digit bare too. The live values of assignments are then looked for where they
-stand bare, without a name before them, and those places are added as spans of kind bare.
+Base spans come from three patterns. The values of assignments are then sought wherever they stand bare, without a name
+before them. All of these places are hashed and counted by distinct owners (source) and repositories (document). A value
+that COPIED_OWNERS or more owners hold, or SOME_OWNERS of them in COPIED_REPOSITORIES or more repositories, is a copied
+example or a plain word; any other is live unless it is a placeholder by its characters. The bare places of live values
+are added as spans of kind bare. Scans and redaction judge alike.
 
 All of it is SQL expressions: the starts of matches are running sums over the lengths of what lies between them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,8 +22,7 @@ ASSIGN = NAME + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # a run that is long enough holds no second match, so the length can stand in these two patterns
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{12,}"
-BARE_ANY = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}"
+BARE = r"[A-Za-z0-9+/_.=-]{12,}+"
 PLAIN = r"(?i)example|change_?me|placeholder"
 ASSIGN_VALUE = 12
 COPIED_OWNERS = 3
@@ -76,29 +73,24 @@ def row_key(text: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))), 256)
 
 
-def looks_random(value: Column) -> Column:
-    """Long enough, with letters and digits, and eight different characters."""
-    return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
-
-
 def not_plain(value: Column) -> Column:
     """All but plain placeholders: values of fewer than four different characters, or that name themselves an example."""
     return (F.size(F.array_distinct(F.split(value, ""))) >= 4) & ~value.rlike(PLAIN)
 
 
-def find_candidates(docs: DataFrame, rule: Callable[[Column], Column] = looks_random, bare: str = BARE) -> DataFrame:
+def find_candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, owner, key, base, bare): candidate spans (start, kind, end, hash, random, size of the value) of every row; key is null without any.
 
-    random says whether the rule allows the value of a base span to be live; bare spans follow the base ones of their value.
+    random says whether the value's characters allow it to be live.
     """
     df = docs.select("doc_id", F.col("source").alias("owner"), F.coalesce("text", F.lit("")).alias("_text"))
-    for name, pattern, group in (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0), ("bare", bare, 0)):
+    for name, pattern, group in (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0), ("bare", BARE, 0)):
         df = with_matches(df, name, pattern, group)
     df = df.withColumn("assign", F.filter("assign", lambda s: F.length(s["value"]) >= ASSIGN_VALUE))
 
     def spans(name: str) -> Column:
         value = lambda s: s["value"]
-        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name) + 1).alias("kind"), s["end"].alias("end"), F.sha2(value(s), 256).alias("hash"), (F.lit(False) if name == "bare" else rule(value(s))).alias("random"), F.length(value(s)).alias("size")))
+        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name) + 1).alias("kind"), s["end"].alias("end"), F.sha2(value(s), 256).alias("hash"), not_plain(value(s)).alias("random"), F.length(value(s)).alias("size")))
 
     base = F.concat(spans("assign"), spans("access"), spans("hex"))
     df = df.withColumn("base", base).withColumn("bare", spans("bare"))
@@ -132,16 +124,16 @@ def apart(bare: DataFrame, base: DataFrame) -> DataFrame:
     return bare.join(fine, ["key", "start", "end"], "left_semi")
 
 
-def judged(docs: DataFrame, rule: Callable[[Column], Column] = looks_random, bare: str = BARE) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The candidates of all rows, and (key, verdict, owners, repositories, s, bare): the judged spans of every key, bare ones of live values too."""
-    found = materialize(find_candidates(docs, rule, bare), "candidates")
+    found = materialize(find_candidates(docs), "candidates")
     each = lambda spans: found.where("key is not null").select("owner", "key", F.explode(spans).alias("s")).select("owner", "key", "s.*")
     values = materialize(each("base").distinct(), "values")
-    # written before it is joined: both sides are then shuffled, and a value that many documents hold is split
-    verdicts = materialize(ownership(values), "verdicts")
     assigned = materialize(values.where("kind = 1").select("hash").distinct(), "assigned")
     sought = materialize(each("bare").join(assigned, "hash", "left_semi").distinct(), "sought")
-    held = values.unionByName(materialize(apart(sought, values), "bare")).join(verdicts, "hash")
+    placed = values.unionByName(materialize(apart(sought, values), "bare"))
+    # written before it is joined: both sides are then shuffled, and a value that many documents hold is split
+    held = placed.join(materialize(ownership(placed), "verdicts"), "hash")
     at = F.struct("start", "kind", "end", "hash", "random", "size")
     return found, held.select("key", "verdict", "owners", "repositories", at.alias("s"), (F.col("kind") == len(KINDS)).alias("bare")).distinct()
 
@@ -175,10 +167,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of docs; in text, every live value is replaced by the mark, and n_chars follows if it is there.
 
-    Live is every candidate that fewer than COPIED_OWNERS owners hold and that is no plain placeholder, words after
-    "secret:" among them. Copied examples and placeholders stay as they are. The cases are those of scan_secrets.
+    Copied examples, placeholders and words that many owners use stay as they are, also after "secret:". The cases are
+    those of scan_secrets.
     """
-    _, spans = judged(docs, not_plain, BARE_ANY)
+    _, spans = judged(docs)
     live = spans.where("verdict = 'live'").select("key", (F.col("s.end") - F.col("s.size")).alias("a"), F.col("s.end").alias("b")).distinct()
     # spans that overlap become one; then each starts where a new stretch of the text ends
     order = Window.partitionBy("key").orderBy("a", "b")
@@ -218,24 +210,24 @@ _SQL_PARTS = (
     ("a", 1, r"""'@NAME["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'""".replace("@NAME", _SQL_NAME), 2),
     ("k", 2, "'AKIA[A-Z0-9]+'", 0),
     ("h", 3, "'[0-9a-f]{{16,}}'".replace("{{", "{").replace("}}", "}"), 0),
-    ("b", 4, "'[A-Za-z0-9+/_.=-]{12,}'", 0),
+    ("b", 4, "'[A-Za-z0-9+/_.=-]{{12,}}'".replace("{{", "{").replace("}}", "}"), 0),
 )
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rn FROM documents),
 {",".join(_SQL_SPANS.format(name=n, kind=k, pattern=p, group=g) for n, k, p, g in _SQL_PARTS)},
 allm AS (SELECT rn, kind, x.s AS s, x.s + length(x.m) AS e, x.v AS v, x.m AS m FROM (SELECT * FROM a UNION ALL SELECT * FROM k UNION ALL SELECT * FROM h UNION ALL SELECT * FROM b)),
-base AS (SELECT rn, kind, s::BIGINT AS s, e::BIGINT AS e, v, length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8 AS random
-  FROM allm WHERE kind = 1 AND length(v) >= 12 OR kind = 2 AND length(m) >= 18 OR kind = 3),
-own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT coalesce(source, chr(0)) || chr(1) || coalesce(doc_id::VARCHAR, '') || ':' || text) AS repositories, bool_or(random) AS random FROM base JOIN d USING (rn) GROUP BY v),
-verdict AS (SELECT v, owners, repositories, CASE WHEN owners >= 3 OR owners >= 2 AND repositories >= 20 THEN 'copied' WHEN random THEN 'live' ELSE 'placeholder' END AS verdict FROM own),
-bare AS (SELECT rn, 4 AS kind, s::BIGINT AS s, e::BIGINT AS e FROM allm WHERE kind = 4 AND regexp_matches(v, '[0-9]')
-  AND v IN (SELECT base.v FROM base JOIN verdict USING (v) WHERE kind = 1 AND verdict = 'live')
+base AS (SELECT rn, kind, s::BIGINT AS s, e::BIGINT AS e, v FROM allm WHERE kind = 1 AND length(v) >= 12 OR kind = 2 AND length(m) >= 18 OR kind = 3),
+bare AS (SELECT rn, 4 AS kind, s::BIGINT AS s, e::BIGINT AS e, v FROM allm WHERE kind = 4 AND v IN (SELECT v FROM base WHERE kind = 1)
   AND NOT EXISTS (SELECT 1 FROM base WHERE base.rn = allm.rn AND base.s < allm.e AND allm.s < base.e)),
+own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT coalesce(source, chr(0)) || chr(1) || coalesce(doc_id::VARCHAR, '') || ':' || text) AS repositories
+  FROM (SELECT rn, v FROM base UNION ALL SELECT rn, v FROM bare) JOIN d USING (rn) GROUP BY v),
+verdict AS (SELECT v, owners, repositories, CASE WHEN owners >= 3 OR owners >= 2 AND repositories >= 20 THEN 'copied'
+  WHEN len(list_distinct(string_split(v, ''))) >= 4 AND NOT regexp_matches(lower(v), 'example|change_?me|placeholder') THEN 'live' ELSE 'placeholder' END AS verdict FROM own),
 names(kind, name) AS (VALUES (1, 'assign'), (2, 'access'), (3, 'hex'), (4, 'bare')),
 b1 AS (SELECT rn, count(*) FILTER (WHERE kind = 1) AS n_assign, count(*) FILTER (WHERE kind = 2) AS n_access, count(*) FILTER (WHERE kind = 3) AS n_hex,
   max({{'r': repositories, 'o': owners}}) AS most, count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'copied') AS n_copied,
   string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS base FROM base JOIN names USING (kind) JOIN verdict USING (v) GROUP BY rn),
-s1 AS (SELECT rn, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans FROM (SELECT rn, kind, s, e FROM base UNION ALL SELECT rn, kind, s, e FROM bare) JOIN names USING (kind) GROUP BY rn)
+s1 AS (SELECT rn, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans FROM (SELECT rn, kind, s, e FROM base UNION ALL SELECT rn, kind, s, e FROM bare JOIN verdict USING (v) WHERE verdict = 'live') JOIN names USING (kind) GROUP BY rn)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most.o, 0) AS owners, coalesce(most.r, 0) AS repositories FROM d LEFT JOIN b1 USING (rn) LEFT JOIN s1 USING (rn)
 """
