@@ -78,24 +78,48 @@ def not_plain(value: Column) -> Column:
     return (F.size(F.array_distinct(F.split(value, ""))) >= 4) & ~value.rlike(PLAIN)
 
 
+def _spans(kind: str) -> Column:
+    """The matches of with_matches as spans; random says whether the value's characters allow it to be live."""
+
+    def span(s: Column) -> Column:
+        value = s["value"]
+        return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind) + 1).alias("kind"), s["end"].alias("end"), F.sha2(value, 256).alias("hash"), not_plain(value).alias("random"), F.length(value).alias("size"))
+
+    return F.transform(kind, span)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("source").alias("owner"), F.coalesce("text", F.lit("")).alias("_text"))
+
+
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, owner, key, base, bare): candidate spans (start, kind, end, hash, random, size of the value) of every row; key is null without any.
+    """(doc_id, owner, key, base, named, words) of every row; key is null where there is nothing.
 
-    random says whether the value's characters allow it to be live.
+    base holds candidate spans (start, kind, end, hash, random, size of the value), named and words the hashes of the
+    values of assignments and of all runs of characters that could be such values.
     """
-    df = docs.select("doc_id", F.col("source").alias("owner"), F.coalesce("text", F.lit("")).alias("_text"))
-    for name, pattern, group in (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0), ("bare", BARE, 0)):
+    df = _texts(docs)
+    for name, pattern, group in (("assign", ASSIGN, 1), ("access", ACCESS, 0), ("hex", HEX, 0)):
         df = with_matches(df, name, pattern, group)
     df = df.withColumn("assign", F.filter("assign", lambda s: F.length(s["value"]) >= ASSIGN_VALUE))
+    df = df.withColumn("base", F.concat(*map(_spans, KINDS[:3])))
+    words = F.transform(F.array_distinct(F.regexp_extract_all("_text", F.lit(BARE), F.lit(0))), lambda w: F.xxhash64(w))
+    df = df.withColumns({"named": F.array_distinct(F.transform("assign", lambda s: F.xxhash64(s["value"]))), "words": words})
+    key = F.when((F.size("base") > 0) | (F.size("words") > 0), row_key(F.col("_text")))
+    return df.select("doc_id", "owner", key.alias("key"), "base", "named", "words")
 
-    def spans(name: str) -> Column:
-        value = lambda s: s["value"]
-        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(name) + 1).alias("kind"), s["end"].alias("end"), F.sha2(value(s), 256).alias("hash"), not_plain(value(s)).alias("random"), F.length(value(s)).alias("size")))
 
-    base = F.concat(spans("assign"), spans("access"), spans("hex"))
-    df = df.withColumn("base", base).withColumn("bare", spans("bare"))
-    key = F.when((F.size("base") > 0) | (F.size("bare") > 0), row_key(F.col("_text")))
-    return df.select("doc_id", "owner", key.alias("key"), "base", "bare")
+def bare_places(docs: DataFrame, found: DataFrame, values: DataFrame) -> DataFrame:
+    """(owner, key, start, ...) of the places where a value of an assignment stands, whether or not a name stands before it.
+
+    Rows are found by the hashes of their words; spans are only taken in texts that hold such a value.
+    """
+    named = materialize(found.select(F.explode("named").alias("word")).distinct(), "named")
+    keys = found.select("key", F.explode("words").alias("word")).join(named, "word", "left_semi").select("key").distinct()
+    rows = _texts(docs).withColumn("key", row_key(F.col("_text"))).join(materialize(keys, "keys"), "key", "left_semi")
+    spans = with_matches(rows, "bare", BARE).select("owner", "key", F.explode(_spans("bare")).alias("s")).select("owner", "key", "s.*")
+    assigned = materialize(values.where("kind = 1").select("hash").distinct(), "assigned")
+    return spans.join(assigned, "hash", "left_semi").select("owner", "key", "start", "kind", "end", "hash", "random", "size").distinct()
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -127,10 +151,9 @@ def apart(bare: DataFrame, base: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The candidates of all rows, and (key, verdict, owners, repositories, s, bare): the judged spans of every key, bare ones of live values too."""
     found = materialize(find_candidates(docs), "candidates")
-    each = lambda spans: found.where("key is not null").select("owner", "key", F.explode(spans).alias("s")).select("owner", "key", "s.*")
-    values = materialize(each("base").distinct(), "values")
-    assigned = materialize(values.where("kind = 1").select("hash").distinct(), "assigned")
-    sought = materialize(each("bare").join(assigned, "hash", "left_semi").distinct(), "sought")
+    values = found.where("key is not null").select("owner", "key", F.explode("base").alias("s")).select("owner", "key", "s.*")
+    values = materialize(values.distinct(), "values")
+    sought = materialize(bare_places(docs, found, values), "sought")
     placed = values.unionByName(materialize(apart(sought, values), "bare"))
     # written before it is joined: both sides are then shuffled, and a value that many documents hold is split
     held = placed.join(materialize(ownership(placed), "verdicts"), "hash")
