@@ -109,8 +109,7 @@ STOP_WORDS = (
 def keywords(text: Column, least: int = 3, most: int | None = 10, distinct: bool = False) -> Column:
     """Lower-case runs of Latin letters of some length that are no stop words, in order; the first few only if asked."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z]{{{least},}}"), F.lit(0))
-    stops = F.array(*map(F.lit, STOP_WORDS))
-    kept = F.filter(found, lambda w: ~F.array_contains(stops, w))
+    kept = F.filter(found, lambda w: ~w.isin(*STOP_WORDS))  # looked up in a set
     kept = F.array_distinct(kept) if distinct else kept
     return kept if most is None else F.slice(kept, 1, most)
 
@@ -118,8 +117,7 @@ def keywords(text: Column, least: int = 3, most: int | None = 10, distinct: bool
 def capitalised_runs(text: Column) -> Column:
     """Runs of capitalised words as lower-case names, distinct and sorted; the first word of a sentence counts too."""
     found = F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]+(?:\x20[A-Z][a-z]+)*"), F.lit(0))
-    stops = F.array(*map(F.lit, STOP_WORDS))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, F.lower), lambda w: ~F.array_contains(stops, w))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, F.lower), lambda w: ~w.isin(*STOP_WORDS))))
 
 
 def occurrences(text: Column, term: Column) -> Column:

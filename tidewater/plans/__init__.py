@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("series", "relational", "texts", "links", "flows", "content", "search")
+MODULES = ("series", "relational", "texts", "links", "flows", "content", "search", "alike")
 
 
 def load() -> None:
