@@ -360,3 +360,34 @@ def test_best_clusters(spark):
         assert (k, found.count(), found.where("cluster <> 0").count()) == (1, len(few), 0)
     k, found = retrieval.best_clusters(vectors([(i, [1.0, 1.0]) for i in range(8)]), "v")
     assert (k, found.count()) == (2, 8)
+
+
+def test_bill_mentions(spark):
+    from tidewater.functions import content
+
+    text = "H.J. R. 5, (S.J.R. 6); H.Con.R. 7 [S. Con. R. 8 and HR Res 9, S. Res. 10, H.R. 0011, H.R. 11, H.R. 0, H.R. 1000001, H.R. 99999999999999999999, S. 12 XS. 13 in the 101st Congress"
+    got = one(spark, content.bill_mentions(F.lit(text)))
+    assert [(b.congress, b.kind, b.number) for b in got] == [(101, k, n) for k, n in (("hjres", 5), ("sjres", 6), ("hconres", 7), ("sconres", 8), ("hres", 9), ("sres", 10), ("hr", 11), ("s", 12))]
+    assert one(spark, content.bill_mentions(F.lit("  H.R. 11 short    "))) == [] and one(spark, content.bill_mentions(F.lit(None).cast("string"))) == []
+    assert one(spark, content.bill_mentions(F.lit("see H.R. 11 in that record")))[0].congress == 118
+
+
+def test_fact_density_attributions(spark):
+    from tidewater.functions import scores
+
+    assert one(spark, scores.fact_density(F.lit("The mayor said that. The aide told reporters."))) == 0.8
+    assert one(spark, scores.fact_density(F.lit("A said nothing. said so. He said and said again"))) == 0.4
+
+
+def test_upsert_without_order_refuses_repeats(spark):
+    from pyspark.errors import PySparkException
+
+    old, new = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string")
+    with pytest.raises(PySparkException, match="give an order"):
+        upsert.upsert(old, new, ["k"]).collect()
+
+
+@pytest.mark.parametrize("sql", ["select reflect('java.lang.System', 'currentTimeMillis')", "select id, java_method('java.lang.Math', 'abs', -1) from range(2)", "with x as (select try_reflect('java.lang.Math', 'random') as c) select * from x"])
+def test_explorer_refuses_java_calls(spark, sql):
+    with pytest.raises(ValueError, match="not allowed"):
+        explorer.explore(spark, sql)

@@ -89,19 +89,37 @@ def content_quality(title: Column, content: Column, source_quality: Column, clic
     return F.struct(F.round(score, 4).alias("score"), level.cast("int").alias("tier"))
 
 
-def bill_citations(text: Column) -> Column:
-    """Distinct (kind, number) of bills that a text names, kinds in the order of the patterns."""
-    # fixed values: forms of citation
-    forms = (
-        (r"(?i)\bH\.?\s*J\.?\s*Res\.?\s*([0-9]+)\b", "hjres"), (r"(?i)\bS\.?\s*J\.?\s*Res\.?\s*([0-9]+)\b", "sjres"), (r"(?i)\bH\.?\s*Con\.?\s*Res\.?\s*([0-9]+)\b", "hconres"),
-        (r"\bH\.?\s*R\.?\s*([0-9]+)\b", "hr"), (r"(?<![A-Za-z.])S\.\s*([0-9]+)\b", "s"),
-    )
+# fixed values: forms of citation of bills, in the order in which a text's bills are listed
+BILLS = (
+    (r"(?i)\bH\.?\s*J\.?\s*R\.?\s*[ .]*(\d+)\b", "hjres"),
+    (r"(?i)(?:^|[\s\(\[,;])S\.?\s*J\.?\s*R\.?\s*[ .]*(\d+)\b", "sjres"),
+    (r"(?i)\bH\.?\s*Con\.?\s*R\.?\s*[ .]*(\d+)\b", "hconres"),
+    (r"(?i)(?:^|[\s\(\[,;])S\.?\s*Con\.?\s*R\.?\s*[ .]*(\d+)\b", "sconres"),
+    (r"(?i)\bH\.?\s*R\.?\s*Res\.?\s*[ .]*(\d+)\b", "hres"),
+    (r"(?i)(?:^|[\s\(\[,;])S\.?\s*Res\.?\s*[ .]*(\d+)\b", "sres"),
+    (r"(?i)\bH\.?\s*R\.?\s*[ .]*(\d+)\b", "hr"),
+    (r"(?i)(?:^|[\s\(\[,;])S\.\s*(\d+)\b", "s"),
+)
+LEAST_BILL_TEXT, LARGEST_BILL, CONGRESS = 20, 1_000_000, 118
+
+
+def bill_mentions(text: Column, congress: int = CONGRESS) -> Column:
+    """Distinct (congress, kind, number) of bills that a text names, form by form; the congress is the first one named, or the given one.
+
+    Texts of fewer than 20 characters without the blanks around them, and numbers outside 1 to a million, name nothing.
+    """
     whole = F.coalesce(text, F.lit(""))
-    return F.array_distinct(F.concat(*(_named(whole, pattern, kind) for pattern, kind in forms)))
+    named = F.regexp_extract(whole, r"(?i)(\d{1,3})(?:st|nd|rd|th)\s+Congress", 1)
+    # congress 0 counts as none
+    of = F.coalesce(F.when((named != "") & (F.when(named != "", named).cast("int") > 0), F.when(named != "", named).cast("int")), F.lit(congress))
 
+    def found(pattern: str, kind: str) -> Column:
+        fits = F.filter(F.regexp_extract_all(whole, F.lit(pattern), F.lit(1)), lambda n: F.ltrim(n, F.lit("0")).rlike("^[0-9]{1,7}$"))
+        numbers = F.transform(fits, lambda n: n.cast("decimal(38,0)").cast("int"))
+        return F.transform(F.filter(numbers, lambda n: n.between(1, LARGEST_BILL)), lambda n: F.struct(of.alias("congress"), F.lit(kind).alias("kind"), n.alias("number")))
 
-def _named(text: Column, pattern: str, kind: str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: F.concat(F.lit(f"{kind}-"), n))
+    every = F.array_distinct(F.concat(*(found(*form) for form in BILLS)))
+    return F.when(F.length(F.trim(whole)) >= LEAST_BILL_TEXT, every).otherwise(F.filter(every, lambda _: F.lit(False)))
 
 
 def topic_similarity(a: Column, b: Column) -> Column:

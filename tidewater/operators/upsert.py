@@ -12,10 +12,13 @@ from pyspark.sql.window import Window
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """target with the rows of source inserted or put in place of those with equal keys.
 
-    Of several source rows with one key the first by order stays. Keys compare null-safely. Write the result to a new
-    place and swap: it reads its own target.
+    Of several source rows with one key the first by order stays; without an order they fail the query. Keys compare
+    null-safely. Write the result to a new place and swap: it reads its own target.
     """
-    if order:
+    if not order:
+        times = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        source = source.withColumn("_n", F.when(times > 1, F.raise_error(F.lit("several source rows have one key: give an order")).cast("long"))).where("_n is null").drop("_n")
+    else:
         source = source.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
     both = target.withColumn("_new", F.lit(0)).unionByName(source.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_new").desc()))

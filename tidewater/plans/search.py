@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import content, search, text
-from tidewater.operators import retrieval
+from tidewater.operators import ranking, retrieval
 from tidewater.operators.graph import written
+from tidewater.operators.work import shared_dir
 from tidewater.plans.registry import query
 from tidewater.sources.observations import latest_value
 from tidewater.sources.tables import table
@@ -59,13 +62,18 @@ def semantic_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT o_orderkey, ['H.R. 12 and S. 7', 'H.J.Res. 3', 'no bill', 'HR 12, H.R. 12'][o_orderkey % 4 + 1] AS t FROM orders)
-SELECT t AS text, count(*) AS n, CASE t WHEN 'H.R. 12 and S. 7' THEN 'hr-12,s-7' WHEN 'H.J.Res. 3' THEN 'hjres-3' WHEN 'no bill' THEN '' ELSE 'hr-12' END AS bills FROM t GROUP BY 1
+WITH k AS (SELECT o_orderkey, o_orderkey % 9 AS k, o_custkey % 150 AS n FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN '117:hr-' || n || ',117:s-7' WHEN 1 THEN '118:hjres-' || n WHEN 2 THEN '118:sjres-' || n WHEN 3 THEN '118:hconres-' || n WHEN 4 THEN '118:sconres-' || n WHEN 5 THEN '118:sres-' || n
+  WHEN 6 THEN '118:hr-' || n ELSE '' END AS bills FROM k WHERE n > 0
 """)
 def bill_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = F.array(*map(F.lit, ("H.R. 12 and S. 7", "H.J.Res. 3", "no bill", "HR 12, H.R. 12")))
-    rows = table(spark, sf_dir, "orders").select(F.element_at(forms, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("text"))
-    return rows.groupBy("text").agg(F.count(F.lit(1)).alias("n")).select("text", "n", F.array_join(content.bill_citations(F.col("text")), ",").alias("bills"))
+    """Bills named in sentences that are made from orders, in every form of citation; short sentences name none."""
+    n = (F.col("o_custkey") % 150).cast("string")
+    forms = ("The 117th Congress passed H.R. # and also S. 7 then.", "A vote on H.J. R. # was held today.", "A vote on S.J.R. # was held today.", "A vote on H. Con. R. # was held today.", "A vote on S Con R # was held today.")
+    forms += ("A vote on S. Res. # was held today.", "See HR #, H.R. # and h.r.# in the record.", "H.R. #", "No bill is named in this text.")
+    made = F.element_at(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % 9 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").where("o_custkey % 150 > 0").select("o_orderkey", content.bill_mentions(F.replace(made, F.lit("#"), n)).alias("b"))
+    return rows.select("o_orderkey", F.array_join(F.transform("b", lambda b: F.concat(b["congress"].cast("string"), F.lit(":"), b["kind"], F.lit("-"), b["number"].cast("string"))), ",").alias("bills"))
 
 
 @query("""
@@ -125,3 +133,27 @@ def chosen_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     k, found = retrieval.best_clusters(written(rows, "vectors"), "features")
     return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(k))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}') AS t FROM documents), s AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d),
+w AS (SELECT id, n, w, count(*) AS tf FROM (SELECT id, len(t) AS n, unnest(t) AS w FROM d) GROUP BY 1, 2, 3), f AS (SELECT w, count(*) AS df FROM w GROUP BY 1),
+p AS (SELECT id, w, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS x FROM w JOIN f USING (w), s),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(left(text, 60)), '[a-z0-9]{2,}')) AS w FROM benchmark),
+r AS (SELECT item_id, id, round(sum(x), 9) AS x FROM q JOIN p USING (w) GROUP BY 1, 2)
+SELECT item_id, rank::INTEGER AS rank, id AS doc_id, round(x, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY x DESC, id) AS rank FROM r) WHERE rank <= 10
+""")
+def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for the beginning of every benchmark item, from an index with plain words."""
+    index = ranking.build(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", stemmed=False)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("text"))
+    found = ranking.search(index, asked, 10)
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query()
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents for the beginning of every benchmark item by stems of words; tested against plain Python."""
+    index = ranking.build(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("text"))
+    return ranking.search(index, asked, 5)

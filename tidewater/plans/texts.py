@@ -154,7 +154,8 @@ def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 WITH c AS (SELECT doc_id, coalesce(text, '') AS t, {_N} AS n FROM documents),
-s AS (SELECT *, len(regexp_extract_all(t, '(?i)according to [A-Za-z][^.,]+')) + len(regexp_extract_all(t, '(?i)per\s+[A-Za-z]')) + len(regexp_extract_all(t, '(?i)citing\s+[A-Za-z]')) + len(regexp_extract_all(t, '[0-9]{{1,4}}[-/][0-9]{{1,2}}[-/][0-9]{{2,4}}'))
+s AS (SELECT *, len(list_filter(string_split(t, '.'), lambda x: regexp_matches(x, '(?is)^[^a-z]*[a-z].+\sSaid\s'))) + len(list_filter(string_split(t, '.'), lambda x: regexp_matches(x, '(?is)^[^a-z]*[a-z].+\sTold\s')))
+  + len(regexp_extract_all(t, '(?i)according to [A-Za-z][^.,]+')) + len(regexp_extract_all(t, '(?i)per\s+[A-Za-z]')) + len(regexp_extract_all(t, '(?i)citing\s+[A-Za-z]')) + len(regexp_extract_all(t, '[0-9]{{1,4}}[-/][0-9]{{1,2}}[-/][0-9]{{2,4}}'))
   + len(regexp_extract_all(t, '\b[0-9]+(?:\.[0-9]+)?%')) + len(regexp_extract_all(t, '\b[0-9]{{2,}}\b')) + (length(t) - length(replace(t, '"', ''))) // 2 + (length(t) - length(replace(t, '''', ''))) // 2 AS k FROM c)
 SELECT doc_id, CASE WHEN n > 0 THEN round(least(1.0, k / greatest(n / 80.0, 1.0) * 0.4), 4) ELSE 0.0 END::DOUBLE AS density FROM s
 """)

@@ -13,6 +13,9 @@ ALLOWED = ("select", "with", "explain", "table")
 _PARTS = re.compile(r"('(?:[^'\\\\]|\\\\.|'')*'|\"(?:[^\"\\\\]|\\\\.)*\"|`(?:[^`]|``)*`)|(--[^\n]*|/\\*.*?\\*/)|(;)", re.S)
 
 
+_CALLS = re.compile(r"\b(?:reflect|java_method|try_reflect|CallMethodViaReflection|ScriptTransformation)\b", re.I)
+
+
 def check(sql: str) -> str:
     """The statement, if it is a single one that may read, without comments; else ValueError."""
     semicolons = []
@@ -45,6 +48,9 @@ def explore(spark: SparkSession, sql: str, most: int = 1000) -> tuple[DataFrame,
         rows = spark.sql(f"{explain[0]} {query}" if explain else query).limit(most + 1)
     except ParseException as e:
         raise ValueError("only queries are allowed") from e
+    # functions that call any method of the JVM or run scripts are named in the analysed plan
+    if _CALLS.search(rows._jdf.queryExecution().analyzed().toString()):
+        raise ValueError("calls of Java methods and scripts are not allowed")
     return rows.limit(most), rows.count() > most
 
 
