@@ -10,6 +10,7 @@ from tidewater.operators import entities
 from tidewater.plans.registry import query
 from tidewater.sources import feeds, logs, observations
 from tidewater.sources.tables import table
+from tidewater.streaming import state
 from tidewater.streaming import windows as streams
 
 
@@ -148,3 +149,29 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and customers that may be one, by the best rule; the operator is tested on a small example."""
     rows = lambda name, key, label: table(spark, sf_dir, name).select(F.concat(F.lit(label), key).alias("id"), F.col(f"{key[0]}_name").alias("name"), F.lit("organization").alias("type"), F.array().cast("array<string>").alias("aliases"))
     return entities.merge_candidates(rows("supplier", "s_suppkey", "s"), 0.9)
+
+
+@query("""
+WITH o AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS was FROM events)
+SELECT CASE WHEN was IS NULL THEN 'insert' WHEN was <> event_type THEN 'update' ELSE 'same' END AS change, count(*) AS n FROM o GROUP BY 1
+""")
+def stream_url_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often entries are new, change the row of their address, or leave it: users as addresses, events as contents."""
+    entries = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("url"), F.unix_micros("ts").alias("at"), F.col("event_type").alias("content"))
+    return streams.replay(state.url_upserts(entries), "append", "upserts").groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+def work_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commands of a queue in 16 shards: views add items, clicks claim, other events end work."""
+    action = F.when(F.col("event_type") == "view", "add").when(F.col("event_type") == "click", "claim").otherwise("done")
+    at = F.unix_seconds("ts")
+    return event_stream(spark, sf_dir).select(
+        (F.col("user_id") % 16).alias("shard"), F.col("event_id").alias("seq"), at.alias("at"), action.alias("action"), (F.col("event_id") % 50).alias("item"),
+        (F.col("event_id") % 3).alias("priority"), (at + F.col("event_id") % 600).alias("due"), (F.col("event_id") % 4).alias("worker"),
+    )
+
+
+@query()
+def stream_work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of claimed work whose leases last six hours, at most three times; tested against plain Python."""
+    return streams.replay(state.work_queue(work_commands(spark, sf_dir), lease=6 * 3600, tries=3), "append", "work")
