@@ -391,3 +391,17 @@ def test_upsert_without_order_refuses_repeats(spark):
 def test_explorer_refuses_java_calls(spark, sql):
     with pytest.raises(ValueError, match="not allowed"):
         explorer.explore(spark, sql)
+
+
+def test_places_without_a_window_over_whole_keys(spark):
+    rows = [(i % 3 if i % 7 else None, (i * 37) % 101, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, t int, i int")
+    got = {r.i: (r.place, r.of) for r in windows.placed(df, "k", ["t", "i"]).collect()}
+    for k in (None, 0, 1, 2):
+        own = sorted((t, i) for kk, t, i in rows if kk == k)
+        assert [got[i] for _, i in own] == [(n + 1, len(own)) for n in range(len(own))]
+    assert windows.placed(df.limit(0), "k", ["t", "i"]).count() == 0
+
+
+def test_components_without_edges(spark):
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.operators.work import written
+
 
 def top_per_group(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group. Spark limits each group before the shuffle as well as after it."""
@@ -73,3 +75,20 @@ def rolling_volatility(df: DataFrame, key: str | None, at: str, value: str, widt
     out = df.withColumn("_n", F.count(value).over(over)).withColumn("_m", F.abs(F.avg(value).over(over)))
     volatility = F.when(F.col("_m") > 0, F.least(F.stddev_pop(value).over(over) / F.col("_m"), F.lit(1.0))).otherwise(0.0)
     return out.withColumn("volatility", volatility).where(F.col("_n") == width).drop("_n", "_m")
+
+
+def placed(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Adds place, from 1, and of, the number of rows, within each key by the columns order, nulls first.
+
+    Rows are dealt out by ranges of key and order, and counted within them after what the ranges before hold, so a key
+    with a third of all rows is no one task's work. order should tell rows apart.
+    """
+    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written(df.repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_part", F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range and key
+    by = Window.partitionBy("_key")
+    before = F.coalesce(F.sum("_n").over(by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = written(sums.select(F.col("_part").alias("_p"), "_key", before.alias("_before"), F.sum("_n").over(by).alias("of")), "range_sums")
+    local = F.row_number().over(Window.partitionBy("_part", key).orderBy(*order))
+    met = ranged.withColumn("_local", local).join(sums, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key")))
+    return met.withColumn("place", F.col("_local") + F.col("_before")).select(*df.columns, "place", "of")

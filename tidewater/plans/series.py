@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.operators.windows import change_percent, gaps, monotone_runs, recent_average, rolling_volatility, top_per_group, with_delta
+from tidewater.operators.windows import change_percent, gaps, monotone_runs, placed, recent_average, rolling_volatility, top_per_group, with_delta
 from tidewater.operators.windows import latest_per_key as newest
 from tidewater.plans.registry import query
 from tidewater.sources.tables import table
@@ -241,8 +241,9 @@ SELECT event_type, round(avg(value), 6) AS average, CASE WHEN avg(value) FILTER
 """)
 def half_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average, the second half against the first, and each type's share of all rows."""
-    half = F.ntile(2).over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    h = table(spark, sf_dir, "events").select("event_type", "value", half.alias("half"))
+    rows = placed(table(spark, sf_dir, "events").select("event_type", "value", "ts", "event_id"), "event_type", ["ts", "event_id"])
+    # of an odd number of rows the first half has one more
+    h = rows.withColumn("half", F.when(F.col("place") * 2 <= F.col("of") + 1, 1).otherwise(2))
     mean = lambda n: F.avg(F.when(F.col("half") == n, F.col("value")))
     per = h.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("average"), F.when(mean(2) > mean(1), "improving").otherwise("declining").alias("direction"), F.count(F.lit(1)).alias("n"))
     all_rows = per.agg(F.sum("n").alias("all"))

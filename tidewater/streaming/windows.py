@@ -6,19 +6,18 @@ instead. Without late rows the results are those of the batch twins.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.operators.work import shared_dir
+
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster names in spark.checkpoint.dir; a local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="tidewater-")
-    return f"{base}/streams/{name}-{uuid.uuid4().hex}"
+    """A new folder under the one that the cluster names in spark.checkpoint.dir."""
+    return f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, at: str, files_per_trigger: int = 16) -> DataFrame:
