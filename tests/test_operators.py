@@ -405,3 +405,20 @@ def test_places_without_a_window_over_whole_keys(spark):
 
 def test_components_without_edges(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_source_quality_and_flags(spark):
+    score = lambda source, body: round(one(spark, content.source_quality(F.lit(source).cast("string"), F.lit(body).cast("string"))), 6)
+    assert score("Reuters", "") == 0.9 and score("The Guardian", None) == 0.75 and score(None, "") == 0.3 and score("Map Blog", "") == 0.9
+    assert score("x", "Officials said the Ministry of Truth") == 0.45 and score("BBC", "according to the Institute") == 1.0
+    flags = lambda *v: one(spark, content.quality_flags(*map(F.lit, v)))
+    assert flags(0.5, 0.3, 0.1, 0.4, 0.1) == ["clickbait_risk", "high_emotion", "low_fact_density", "low_source_quality", "shallow"] and flags(0.4, 0.2, 0.2, 0.5, 0.2) == []
+    assert [one(spark, content.recommendation(F.lit(n))) for n in (1, 2, 3, 4)] == ["intelligence_grade", "standard_reporting", "aggregated_commentary", "low_value_demote"]
+
+
+def test_content_quality_tiers_count_every_document(spark, sf_dir):
+    from tidewater.plans import content as plan
+
+    rows = plan.content_quality_tiers(spark, sf_dir).collect()
+    assert sum(r.n for r in rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and len({r.tier for r in rows}) == len(rows) > 1
+    assert all(r.recommendation == {1: "intelligence_grade", 2: "standard_reporting", 3: "aggregated_commentary", 4: "low_value_demote"}[r.tier] for r in rows)

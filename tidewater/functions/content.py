@@ -81,6 +81,35 @@ def specificity(content: Column) -> Column:
     return F.least(F.lit(1.0), point(amounts, 0.35) + point(whole.rlike("[A-Z][a-z]+ [A-Z][a-z]+"), 0.35) + point(whole.rlike("[\"']"), 0.3))
 
 
+# fixed values: known outlets in two tiers, and words that name a source or an institution
+OUTLETS = (
+    (0.9, ("reuters", "ap news", "associated press", "bbc", "bloomberg", "financial times", "wall street journal", "wsj", "economist", "new york times", "washington post", "npr", "ap", "afp")),
+    (0.75, ("guardian", "cnn", "fox news", "nbc", "abc", "cbs", "pbs", "marketwatch", "cnbc", "forbes", "fortune", "politico", "axios")),
+)
+NAMED_SOURCES, INSTITUTIONS = "according to|said (?:a|the)|spokesperson|official", "department of|ministry of|university of|institute|bureau of"
+
+
+def source_quality(source: Column, content: Column) -> Column:
+    """Reliability from 0 to 1: .3, or that of the first tier with an outlet in the source's name, more for sources and institutions that the text names."""
+    name, low = F.lower(F.coalesce(source, F.lit(""))), F.lower(F.coalesce(content, F.lit("")))
+    held = lambda names: name.rlike("|".join(names))  # noqa: E731  the names hold no signs of a pattern
+    base = F.when(held(OUTLETS[0][1]), OUTLETS[0][0]).when(held(OUTLETS[1][1]), OUTLETS[1][0]).otherwise(0.3)
+    named = F.least(F.lit(1.0), base + F.when(low.rlike(NAMED_SOURCES), 0.1).otherwise(0.0))
+    return F.least(F.lit(1.0), named + F.when(low.rlike(INSTITUTIONS), 0.05).otherwise(0.0))
+
+
+def quality_flags(clickbait: Column, felt: Column, density: Column, source: Column, deep: Column) -> Column:
+    """What is doubtful about an article, by its scores."""
+    flag = lambda cond, name: F.when(cond, F.lit(name))
+    flags = (flag(clickbait >= 0.5, "clickbait_risk"), flag(felt >= 0.3, "high_emotion"), flag(density < 0.2, "low_fact_density"), flag(source < 0.5, "low_source_quality"), flag(deep < 0.2, "shallow"))
+    return F.array_compact(F.array(*flags))
+
+
+def recommendation(level: Column) -> Column:
+    """What an article of a tier is good for."""
+    return F.when(level == 1, "intelligence_grade").when(level == 2, "standard_reporting").when(level == 3, "aggregated_commentary").otherwise("low_value_demote")
+
+
 def content_quality(title: Column, content: Column, source_quality: Column, clickbait: Column) -> Column:
     """(score, tier) of an article; a clickbait score of .8 puts it into the last tier."""
     parts = [(0.30, fact_density(content)), (0.25, source_quality), (0.20, depth(content)), (0.15, specificity(content)), (0.05, 1.0 - clickbait), (0.05, 1.0 - emotion(title, content))]

@@ -123,12 +123,32 @@ def depth_and_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(content.depth(F.col("text")), 6).alias("depth"), F.round(content.specificity(F.col("text")), 6).alias("specificity"))
 
 
+_DESKS = ("Reuters World", "The Guardian", "daily wsj digest", "Local Herald", "CNN", None)
+
+
+def desks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under six invented names of sources."""
+    names = F.array(*(F.lit(d).cast("string") for d in _DESKS))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.element_at(names, (F.col("doc_id") % 6 + 1).cast("int")).alias("desk"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, CASE WHEN doc_id % 6 IN (0, 2) THEN 0.9 WHEN doc_id % 6 IN (1, 4) THEN 0.75 ELSE 0.3 END AS base FROM documents)
+SELECT doc_id, round(least(1.0, least(1.0, base + CASE WHEN regexp_matches(t, 'according to|said a|said the|spokesperson|official') THEN 0.1 ELSE 0 END) + CASE WHEN regexp_matches(t, 'department of|ministry of|university of|institute|bureau of') THEN 0.05 ELSE 0 END), 6)::DOUBLE AS quality FROM d
+""")
+def source_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return desks(spark, sf_dir).select("doc_id", F.round(content.source_quality(F.col("desk"), F.col("text")), 6).alias("quality"))
+
+
 @query()
 def content_quality_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by tier of their content quality; its parts are compared with SQL on their own."""
-    title = F.substring_index("text", ".", 1)
-    q = content.content_quality(title, F.col("text"), F.lit(0.5), content.clickbait_score(title, F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).groupBy("q.tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("q.score"), 4).alias("score"))
+    """Documents by tier of their content quality, with what each tier is good for; its parts are compared with SQL on their own."""
+    title, text = F.substring_index("text", ".", 1), F.col("text")
+    source, bait = content.source_quality(F.col("desk"), text), content.clickbait_score(title, text)
+    flags = content.quality_flags(bait, content.emotion(title, text), scores.fact_density(text), source, content.depth(text))
+    rows = desks(spark, sf_dir).select("doc_id", content.content_quality(title, text, source, bait).alias("q"), F.size(flags).alias("flags"))
+    per = rows.groupBy("q.tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("q.score"), 4).alias("score"), F.sum("flags").alias("flags"))
+    return per.withColumn("recommendation", content.recommendation(F.col("tier")))
 
 
 @query()
