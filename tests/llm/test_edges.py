@@ -155,6 +155,20 @@ def test_rows_that_share_an_id(spark):
     assert sorted(map(repr, left)) == sorted(map(repr, [(3, BASE), (5, other), (7, LONG), (7, "lone words of its own here"), (None, BASE)]))
 
 
+def test_very_long_hosts_and_paths(spark):
+    import time
+
+    hosts = [".".join(["a"] * 50_000) + ".example.com", "b" * 100_000 + ".org", ".".join(["com"] * 30_000)]
+    rows = [(i, f"http://{h}/en/7{'/x' * 20_000}") for i, h in enumerate(hosts)]
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("c.b.a.org", "/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    url_filter.filter_urls(pages.limit(1), rules).collect()
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {0: ("example.com/en/7", "allow"), 1: (None, "allow"), 2: ("com/en/", "block")} and time.time() - began < 10
+    assert url_filter.filter_urls(pages, rules.limit(0)).where("rule is null").count() == 3
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.COM/en/725?x", 1), (2, "https://example.net/de/8", 1), (3, "nothing", 1), (4, None, 1), (None, "ftp://org/es/", 1), (6, "x://notexample.com/en/7", 1),

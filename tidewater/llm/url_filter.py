@@ -57,8 +57,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     same = pages.groupBy("page_id", "url", F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
     host, path = url_parts(F.col("url"))
     same = same.withColumns({"host": host, "path": path})
+    # a host meets rules only with as many of its last labels as some rule has
+    most = rules.agg(F.max(F.size(F.split("rule_host", "\\.")))).first()[0] or 0
     labels = F.split("host", "\\.")
-    suffixes = F.when(F.col("host") != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), ".")))
+    number = F.least(F.size(labels), F.lit(most))
+    same = same.withColumn("labels", F.slice(labels, -F.greatest(number, F.lit(1)), F.greatest(number, F.lit(1)))).withColumn("number", number)
+    suffixes = F.when((F.col("host") != "") & (F.col("number") > 0), F.transform(F.sequence(F.lit(1), F.greatest("number", F.lit(1))), lambda n: F.array_join(F.slice("labels", -n, n), ".")))
     open_ = _keyed(same.withColumn("suffix", F.explode_outer(suffixes)), "host", F.col("suffix")).join(hosts, "host_key", "left")
     fits = F.when(F.col("host_digest") == F.col("of_host"), F.filter("lengths", lambda n: n <= F.length("path")))
     open_ = open_.withColumn("length", F.explode_outer(fits)).withColumn("prefix", F.expr("substring(path, 1, length)"))
