@@ -238,17 +238,17 @@ def title_prededupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT p_brand, p_type, min(p_partkey) AS id, count(*) AS n, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]{2,}')) AS w FROM part GROUP BY ALL), p AS (SELECT x.id AS a, y.id AS b, x.n AS n_a, y.n AS n_b, x.w AS wa, y.w AS wb FROM t x JOIN t y ON x.p_brand = y.p_brand AND x.id < y.id),
+WITH t AS (SELECT p_brand, p_name, min(p_partkey) AS id, count(*) AS n, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]{2,}')) AS w FROM part GROUP BY ALL), p AS (SELECT x.id AS a, y.id AS b, x.n AS n_a, y.n AS n_b, x.w AS wa, y.w AS wb FROM t x JOIN t y ON x.p_brand = y.p_brand AND x.id < y.id),
 q AS (SELECT *, len(list_intersect(wa, wb)) AS s, len(list_distinct(list_concat(wa, wb))) AS u, len(list_intersect(list_transform(range(1, len(wa)), lambda i: wa[i] || ' ' || wa[i + 1]), list_transform(range(1, len(wb)), lambda i: wb[i] || ' ' || wb[i + 1]))) AS c FROM p)
 SELECT a, b, n_a, n_b, round(least(1.0, s / u * (1 + greatest(CASE WHEN c > 0 THEN 0.4 ELSE 0.0 END, CASE WHEN s / least(len(wa), len(wb)) >= 0.5 THEN 0.3 ELSE 0.0 END)) + least(1.0, c * 0.5)), 6)::DOUBLE AS similarity FROM q WHERE s > 0
 """)
 def topic_merge_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar names within a brand, each name once by its smallest key and with its number; candidates share a word, so nothing is paired with all."""
-    names = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("n"))
-    posted = names.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("p_type"), F.lit("[a-z0-9]{2,}"), F.lit(0)))).alias("word"))
-    other = posted.select(F.col("id").alias("b"), "p_brand", F.col("p_type").alias("other"), "word", F.col("n").alias("n_b"))
-    pairs = posted.join(other, ["p_brand", "word"]).where("id < b").select(F.col("id").alias("a"), "b", F.col("n").alias("n_a"), "n_b", "p_type", "other").distinct()
-    return pairs.select("a", "b", "n_a", "n_b", F.round(content.topic_similarity(F.col("p_type"), F.col("other")), 6).alias("similarity"))
+    names = table(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("n"))
+    posted = names.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z0-9]{2,}"), F.lit(0)))).alias("word"))
+    other = posted.select(F.col("id").alias("b"), "p_brand", F.col("p_name").alias("other"), "word", F.col("n").alias("n_b"))
+    pairs = posted.join(other, ["p_brand", "word"]).where("id < b").select(F.col("id").alias("a"), "b", F.col("n").alias("n_a"), "n_b", "p_name", "other").distinct()
+    return pairs.select("a", "b", "n_a", "n_b", F.round(content.topic_similarity(F.col("p_name"), F.col("other")), 6).alias("similarity"))
 
 
 @query("""

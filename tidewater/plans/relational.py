@@ -65,10 +65,10 @@ def flag_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(not_flagged(F.col("props"), "$.k", "7")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE (lower(p_type) LIKE '%steel%' OR lower(p_type) LIKE '%brass%') AND NOT lower(p_type) LIKE '%small%'")
+@query("SELECT p_partkey, p_name FROM part WHERE (lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%bolt%') AND NOT lower(p_name) LIKE '%small%'")
 def keyword_filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitelist, then blacklist, as plain substring tests."""
-    rows = table(spark, sf_dir, "part").where(contains_any(F.col("p_type"), ["steel", "brass"]) & ~contains_any(F.col("p_type"), ["small"]))
+    rows = table(spark, sf_dir, "part").where(contains_any(F.col("p_name"), ["ring", "bolt"]) & ~contains_any(F.col("p_name"), ["small"]))
     return rows.select("p_partkey", "p_name")
 
 
@@ -245,12 +245,12 @@ def filtered_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT lower(regexp_extract(p_name, '([^ ]+)$', 1)) AS last_word, count(*) AS n, count(DISTINCT p_brand) AS brands, min(p_name) AS sample FROM part GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200
+SELECT lower(regexp_extract(p_name, '([^ ]+)$', 1) || '-' || p_brand) AS last_word, count(*) AS n, count(DISTINCT p_type) AS types, min(p_name) AS sample FROM part GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200
 """)
 def surname_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names grouped by their last word, groups of bounded size only as the feature asks."""
-    word = F.lower(F.element_at(F.split(F.trim("p_name"), " "), -1))
-    per = table(spark, sf_dir, "part").groupBy(word.alias("last_word")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_brand").alias("brands"), F.min("p_name").alias("sample"))
+    word = F.lower(F.element_at(F.split(F.trim(F.concat_ws("-", "p_name", "p_brand")), " "), -1))
+    per = table(spark, sf_dir, "part").groupBy(word.alias("last_word")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_type").alias("types"), F.min("p_name").alias("sample"))
     return per.where("n between 2 and 200")
 
 
