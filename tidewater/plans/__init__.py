@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("series", "relational", "texts", "links", "flows", "content", "search", "alike", "loads")
+MODULES = ("series", "relational", "texts", "links", "flows", "content", "search", "alike", "loads", "measures")
 
 
 def load() -> None:
