@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidewater.functions import adverts, content, dates, models, priorities, scores, text
-from tidewater.operators import dedup, entities, filters, graph, joins, retrieval, upsert, windows
+from tidewater.operators import dedup, entities, filters, graph, joins, retrieval, upsert, vectors, windows
 from tidewater.sources import explorer, feeds, logs, observations
 from tidewater.sources import registry as sources
 from tidewater.streaming import windows as streams
@@ -148,7 +148,7 @@ def test_entities(spark):
 
 def test_retrieval(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "id int, v array<double>")
-    ranked = retrieval.nearest(v.where("id = 1"), v, 2)
+    ranked = vectors.nearest(v.where("id = 1"), v, 2)
     assert [r.vec_id for r in ranked.orderBy("rank").collect()] == [2, 3]
     assert retrieval.with_margin(ranked, 0.85, 0.95, 0.1).first().accepted
     keyword = spark.createDataFrame([(1, 1), (2, 2)], "id int, rank int")
@@ -422,3 +422,13 @@ def test_content_quality_tiers_count_every_document(spark, sf_dir):
     rows = plan.content_quality_tiers(spark, sf_dir).collect()
     assert sum(r.n for r in rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and len({r.tier for r in rows}) == len(rows) > 1
     assert all(r.recommendation == {1: "intelligence_grade", 2: "standard_reporting", 3: "aggregated_commentary", 4: "low_value_demote"}[r.tier] for r in rows)
+
+
+def test_as_of_join_over_ranges_of_one_key(spark):
+    asked = [(k, t, i) for i, (k, t) in enumerate((i % 2 * 5, i * 3) for i in range(120))] + [(9, 4, 120), (None, 4, 121), (0, None, 122)]
+    known = [(0, t * 7, f"v{t}") for t in range(60)] + [(5, 100, "x"), (5, 100, "y"), (5, 50, None)]
+    left, right = spark.createDataFrame(asked, "k int, t int, i int"), spark.createDataFrame(known, "k int, at int, v string")
+    got = {r.i: r.v for r in joins.as_of_join(left, right, "k", "t", "at", ["v"]).collect()}
+    for k, t, i in asked:
+        hits = [(at, v is not None, v or "") for kk, at, v in known if k is not None and t is not None and kk == k and at <= t]
+        assert got[i] == ((max(hits)[2] or None) if hits else None), (k, t)

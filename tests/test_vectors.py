@@ -38,3 +38,25 @@ def test_hybrid_pairs(spark):
     with pytest.raises(ValueError):
         vectors.hybrid_pairs(df, 0.5)
     assert vectors.hybrid_pairs(df.limit(0), 0.8).count() == 0
+
+
+@pytest.mark.parametrize("tile", [3, 1000])
+def test_nearest_against_all(spark, tile):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(-2, 3, size=3).astype(float).tolist(), "ab"[i % 2] if i % 9 else None) for i in range(40)] + [(40, None, "a"), (41, [0.0] * 3, "a"), (42, [1.0], "b")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label string")
+    for same in ([], ["label"]):
+        wanted = {}
+        for i, v, g in rows:
+            if i % 4 == 0 and v is not None and (not same or g is not None):
+                near = [(-round(float(np.dot(unit([*v, 0.0, 0.0][:3]), unit([*w, 0.0, 0.0][:3]))), 12), j) for j, w, h in rows if j != i and w is not None and (not same or g == h)]
+                wanted[i] = [j for _, j in sorted(near)[:5]]
+        got = {}
+        for r in sorted(vectors.nearest(df.where("id % 4 = 0"), df, 5, same, tile).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.similarity))
+        assert set(got) == set(wanted)
+        for q, found in got.items():  # rounding may order equal ones anew
+            score = {j: float(np.dot(unit([*rows[q][1], 0.0, 0.0][:3]), unit([*rows[j][1], 0.0, 0.0][:3]))) for j, _ in found}
+            assert all(abs(score[j] - s) < 1e-9 for j, s in found)
+            assert np.allclose([s for _, s in found], [float(np.dot(unit([*rows[q][1], 0.0, 0.0][:3]), unit([*rows[j][1], 0.0, 0.0][:3]))) for j in wanted[q]])
+    assert vectors.nearest(df.limit(0), df, 3).count() == 0

@@ -6,14 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidewater.operators.windows import carried
 
 
 def co_occurrence(df: DataFrame, context: str, member: str, least: int = 1) -> DataFrame:
     """(a, b, contexts): pairs of different members that share at least so many contexts.
 
-    Members that occur in fewer than least contexts can't reach it and post nothing. Each context's pairs come from one
-    sorted list of its distinct members, so a pair is counted once for each context.
+    Members that occur in fewer than least contexts can't reach it and post nothing. Each context's distinct members meet
+    in a self-join, so a pair is counted once for each context.
     """
     rows = df.where(F.col(context).isNotNull() & F.col(member).isNotNull()).select(context, member).distinct()
     if least > 1:
@@ -54,15 +55,15 @@ def overlap_pairs(df: DataFrame, owner: str, member: str, least: int) -> DataFra
 def as_of_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, columns: Sequence[str]) -> DataFrame:
     """Each left row with the columns of the last right row of its key at or before it; nulls where there is none.
 
-    Both sides go through one window ordered by key and time; no row of one side is paired with all of the other.
+    Both sides go through one ordered pass over ranges of key and time; no row of one side is paired with all of the
+    other, and no key's rows all meet in one task. Of right rows of one key and time the greatest in the columns counts.
     """
     l = left.select(key, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).alias("_r"))  # noqa: E741
     kind = right.select(F.struct(*columns).alias("_r")).schema["_r"].dataType
     l = l.withColumn("_r", F.col("_r").cast(kind))  # noqa: E741
     r = right.select(key, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), F.struct(*columns).alias("_r"))
-    over = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r).withColumn("_last", F.last("_r", ignorenulls=True).over(over))
-    return both.where("_side = 1").select("_l.*", *(F.col(f"_last.{c}").alias(c) for c in columns))
+    both = carried(l.unionByName(r), key, ["_at", "_side", "_r"], "_r").where("_side = 1")
+    return both.select("_l.*", *(F.col(f"last.{c}").alias(c) for c in columns))
 
 
 def anti_chain(df: DataFrame, key: Column, others: Sequence[tuple[DataFrame, Column]]) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.functions.text import dot, ratio
 
 
 def keyword_search(df: DataFrame, column: str, terms: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
@@ -20,21 +19,6 @@ def keyword_search(df: DataFrame, column: str, terms: Sequence[str], order: Sequ
     return df.withColumn("hits", hits).where("hits > 0").orderBy(F.col("hits").desc(), *order).limit(limit)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, same: Sequence[str] = ()) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k most similar vectors of each query within equal values of same.
-
-    queries(id, v) are a stated set against all vectors(id, v); a query's own id is left out. The queries are sent to
-    the vectors, so give them in blocks of bounded size. Lengths are taken once for each vector, not for each pair.
-    """
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("qn"), *same)
-    v = vectors.select("id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("n"), *same)
-    met = v.join(q, list(same), "inner") if same else v.join(q, F.lit(True), "inner")
-    similarity = ratio(dot(F.col("qv"), F.col("v")), F.col("qn") * F.col("n"))
-    scored = met.where("id <> query_id").select("query_id", F.col("id").alias("vec_id"), similarity.alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def with_margin(ranked: DataFrame, high: float, sure: float, margin: float) -> DataFrame:
     """First hits with the lead over the second, and whether they are accepted: similar enough, and ahead or nearly equal to one."""
     following = F.lead("similarity").over(Window.partitionBy("query_id").orderBy("rank"))

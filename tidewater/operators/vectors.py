@@ -8,12 +8,13 @@ are dealt into parts of bounded size, and each pair of parts is one matrix produ
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewater.functions.text import jaccard
 from tidewater.operators.similarity import classes
@@ -106,6 +107,52 @@ def cosine_links(vectors: DataFrame, least: float, tile_rows: int = TILE_ROWS) -
     return members, tiles.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
 
 
+def _best(k: int):
+    def tile(queries: pa.Table, shard: pa.Table) -> pa.Table:
+        """The k most similar rows of a shard for each query of a group, more where the last of them tie."""
+        asked, ids = queries.column("query_id").combine_chunks(), shard.column("id").combine_chunks()
+        if not len(asked) or not len(ids):
+            return pa.table({"query_id": asked[:0], "vec_id": ids[:0], "similarity": pa.array([], pa.float64())})
+        width = max(1, *(int(np.diff(t.column(c).combine_chunks().offsets.to_numpy()).max()) for t, c in ((queries, "qv"), (shard, "v"))))
+        x, y = _matrix(queries.column("qv"), width), _matrix(shard.column("v"), width)
+        mine, others = asked.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
+        rows, cols, found = [], [], []
+        for at in range(0, len(x), 512):
+            scores = x[at : at + 512] @ y.T
+            scores[mine[at : at + 512, None] == others[None, :]] = -np.inf
+            least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(scores), -2.0)
+            r, c = np.nonzero((scores >= least[:, None] - SLACK) & (scores > -np.inf))
+            rows.append(r + at)
+            cols.append(c)
+            found.append(scores[r, c])
+        return pa.table({"query_id": asked.take(pa.array(np.concatenate(rows))), "vec_id": ids.take(pa.array(np.concatenate(cols))), "similarity": pa.array(np.concatenate(found))})
+
+    return tile
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, same: Sequence[str] = (), tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k most similar rows(id, v) of each of queries(id, v) by cosine, within equal values of same.
+
+    A query's own id is left out, ties go to the smaller id. Queries and rows are dealt into groups and shards of about
+    tile_rows, each pair of which is one matrix product; only the best of a tile leave it. Null vectors take no part, a
+    vector without length has cosine 0 with all; nulls in same are equal to nothing.
+    """
+    fine = lambda df: df.where(F.col("v").isNotNull()).withColumn("v", F.col("v").cast("array<double>"))
+    queries, rows = fine(queries), fine(rows)
+    groups, shards = (max(1, -(-df.count() // tile_rows)) for df in (queries, rows))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(*(F.col(c).alias(f"_{c}") for c in same), F.col("id").alias("query_id"), F.col("v").alias("qv"), deal("id", groups).alias("i"), every(shards).alias("j"))
+    right = rows.select(*(F.col(c).alias(f"_{c}") for c in same), "id", "v", every(groups).alias("i"), deal("id", shards).alias("j"))
+    by = [*(f"_{c}" for c in same), "i", "j"]
+    for c in by[:-2]:
+        left, right = left.where(F.col(c).isNotNull()), right.where(F.col(c).isNotNull())
+    kinds = queries.schema["id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    best = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_best(k), f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 # fixed values: hours apart and what they count
 PROXIMITY = ((1, 1.0), (6, 0.95), (24, 0.85), (72, 0.65), (168, 0.45), (336, 0.25), (720, 0.10))
 SEMANTIC, ENTITIES, TIME = 0.85, 0.10, 0.05

@@ -92,3 +92,19 @@ def placed(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     local = F.row_number().over(Window.partitionBy("_part", key).orderBy(*order))
     met = ranged.withColumn("_local", local).join(sums, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key")))
     return met.withColumn("place", F.col("_local") + F.col("_before")).select(*df.columns, "place", "of")
+
+
+def carried(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
+    """Adds last, the last value that isn't null up to and with each row, within each key by the columns order, nulls first.
+
+    Each range of key and order takes what the ranges before end with, so a key's rows are dealt out over many tasks.
+    """
+    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written(df.repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ends = ranged.where(F.col(value).isNotNull()).groupBy("_part", F.col(key).alias("_key")).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    all_ranges = ranged.select("_part", F.col(key).alias("_key")).distinct().join(ends.withColumnsRenamed({"_part": "_p", "_key": "_k"}), (F.col("_part") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = written(all_ranges.select(F.col("_part").alias("_p"), "_key", before.alias("_start")), "range_starts")  # a row for each range and key
+    local = F.last(value, ignorenulls=True).over(Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    met = ranged.withColumn("_local", local).join(starts, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key")))
+    return met.withColumn("last", F.coalesce("_local", "_start")).select(*df.columns, "last")
