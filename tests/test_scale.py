@@ -1,6 +1,9 @@
 """Joins whose work and results have to grow with the rows, not with the squares of groups, against plain Python."""
 
-from tidewater.operators import dedup
+import numpy as np
+import pytest
+
+from tidewater.operators import dedup, graph, vectors
 
 
 def test_copies_are_paired_with_one_of_them(spark):
@@ -11,3 +14,29 @@ def test_copies_are_paired_with_one_of_them(spark):
     assert got == wanted | {(0, 3000): 8 / 9}
     got = {(r.a, r.b): r.similarity for r in dedup.jaccard_classes(df, 0.8).collect()}
     assert got == wanted | {(0, 3000): 0.8}
+
+
+@pytest.mark.parametrize(("groups", "seed"), [(1000, 1), (25, 2), (7, 3)])
+def test_links_by_row_are_those_of_all_pairs(spark, groups, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(f"k{i}", rng.normal(size=4).tolist(), [["a", "b", "c", None][k] for k in rng.integers(0, 4, 2)] if i % 9 else None, int(rng.integers(0, 400_000)) if i % 8 else None) for i in range(90)]
+    rows += [("x", rows[3][1], [], 5), ("y", rows[3][1], ["a"], 5), ("z", None, ["a"], 5), ("zero", [0.0] * 4, ["a"], 5), ("short", rows[5][1][:2], ["a"], 5)]
+    df = spark.createDataFrame(rows, "id string, v array<double>, entities array<string>, at long")
+    pairs = vectors.hybrid_pairs(df, 0.8).collect()
+    wanted = {}
+    for r in pairs:
+        for x in (r.a, r.b):
+            wanted.setdefault(x, []).append(r.similarity)
+    per, edges = vectors.hybrid_degrees(df, 0.8, groups)
+    got = per.collect()
+    assert len(wanted) > 30 and {r.id: r.links for r in got} == {x: len(s) for x, s in wanted.items()}
+    assert all(abs(r.most - max(wanted[r.id])) < 1e-9 for r in got) and abs(sum(r.total for r in got) - sum(r.similarity for r in pairs)) < 1e-6
+    joined = lambda e: {(r.node, r.component) for r in graph.components(e).collect()}
+    assert joined(edges) == joined(spark.createDataFrame(pairs).select("a", "b")) and edges.count() < len(pairs)
+    assert vectors.hybrid_degrees(df.limit(0), 0.8)[0].count() == 0
+
+
+def test_copies_of_a_vector_give_rows_not_pairs(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0], ["a"], 0) for i in range(1500)], "id long, v array<double>, entities array<string>, at long")
+    per, edges = vectors.hybrid_degrees(df, 0.8)
+    assert {(r.links, r.most) for r in per.collect()} == {(1499, 1.0)} and edges.count() <= 3000
