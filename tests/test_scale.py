@@ -40,3 +40,25 @@ def test_copies_of_a_vector_give_rows_not_pairs(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0], ["a"], 0) for i in range(1500)], "id long, v array<double>, entities array<string>, at long")
     per, edges = vectors.hybrid_degrees(df, 0.8)
     assert {(r.links, r.most) for r in per.collect()} == {(1499, 1.0)} and edges.count() <= 3000
+
+
+@pytest.mark.parametrize(("group_rows", "seed"), [(1000, 4), (9, 5), (3, 6)])
+def test_degrees_and_links_are_those_of_all_pairs(spark, group_rows, seed):
+    rng = np.random.default_rng(seed)
+    bases = [rng.choice(40, 12, replace=False).tolist() for _ in range(6)]
+    rows = []
+    for i in range(120):
+        words = list(bases[i % 6])
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(0, 12))] = int(rng.integers(0, 60))
+        rows.append((i, [str(w) for w in words]))
+    rows += [(120, rows[0][1]), (121, rows[0][1]), (122, []), (123, None)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    sets = {i: set(w) for i, w in rows if w}
+    for t in (0.5, 0.8):
+        pairs = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
+        wanted = {i: (min(j for j in sets if sets[j] == s), sum(i in p for p in pairs)) for i, s in sets.items()}
+        assert {r.id: (r.class_id, r.links) for r in dedup.jaccard_degrees(df, t, group_rows).collect()} == wanted
+        joined = lambda e: {(r.node, r.component) for r in graph.components(e).collect()}
+        links = dedup.jaccard_links(df, t)
+        assert joined(links) == joined(spark.createDataFrame(sorted(pairs), "a long, b long")) and links.count() < len(pairs)
