@@ -1,9 +1,11 @@
 """Joins whose work and results have to grow with the rows, not with the squares of groups, against plain Python."""
 
+import datetime
+
 import numpy as np
 import pytest
 
-from tidewater.operators import dedup, graph, vectors
+from tidewater.operators import dedup, events, graph, vectors
 
 
 def test_copies_are_paired_with_one_of_them(spark):
@@ -62,3 +64,26 @@ def test_degrees_and_links_are_those_of_all_pairs(spark, group_rows, seed):
         joined = lambda e: {(r.node, r.component) for r in graph.components(e).collect()}
         links = dedup.jaccard_links(df, t)
         assert joined(links) == joined(spark.createDataFrame(sorted(pairs), "a long, b long")) and links.count() < len(pairs)
+
+
+@pytest.mark.parametrize(("hot", "tile", "days", "seed"), [(5, 16, 7, 1), (1000, 16, 7, 2), (0, 7, 3, 3), (2, 8192, 0, 4)])
+def test_shared_entities_are_those_of_all_pairs(spark, hot, tile, days, seed):
+    rng = np.random.default_rng(seed)
+    start = datetime.date(2024, 1, 1)
+    rows = [(int(i), start + datetime.timedelta(int(i * 7 % 40)), [f"s{rng.integers(3)}", f"p{rng.integers(4)}", f"c{rng.integers(60)}", None]) for i in rng.integers(0, 90, 150)]
+    rows += [(3, start + datetime.timedelta(25), ["s1", "p1"]), (3, start + datetime.timedelta(27), ["s1"]), (200, None, ["s1"]), (201, start, []), (202, start, None)]
+    met = {}
+    for i, day, held in rows:
+        for j, other_day, other in rows:
+            if day and other_day and held and other and (other_day, j) < (day, i) and (day - other_day).days <= days:
+                n = len((set(held) & set(other)) - {None})
+                if n:
+                    was = met.get((i, j), (0, other_day))
+                    met[i, j] = (was[0] + n, min(was[1], other_day))
+    wanted = {}
+    for (i, j), (n, day) in met.items():
+        if n >= 2:
+            wanted[i] = min(wanted.get(i, (0,)), (-n, day, j))
+    df = spark.createDataFrame(rows, "id int, at date, entities array<string>")
+    got = {r.id: r.canonical for r in events.same_entities(df, 2, days, hot, tile).collect()}
+    assert len(wanted) > 10 and got == {i: w[2] for i, w in wanted.items()}
