@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
-from tidewater.operators import dedup, events, graph, vectors
+from tidewater.operators import dedup, events, graph, similarity, vectors
 
 
 def test_copies_are_paired_with_one_of_them(spark):
@@ -87,3 +87,20 @@ def test_shared_entities_are_those_of_all_pairs(spark, hot, tile, days, seed):
     df = spark.createDataFrame(rows, "id int, at date, entities array<string>")
     got = {r.id: r.canonical for r in events.same_entities(df, 2, days, hot, tile).collect()}
     assert len(wanted) > 10 and got == {i: w[2] for i, w in wanted.items()}
+
+
+@pytest.mark.parametrize(("group_rows", "seed"), [(1000, 1), (20, 2), (7, 3)])
+def test_cosine_degrees_and_groups_are_those_of_all_pairs(spark, group_rows, seed):
+    rng = np.random.default_rng(seed)
+    heads = rng.choice(30, (5, 6))
+    rows = [(i, [f"w{k}" for k in heads[i % 5]] * 2 + [f"w{k}" for k in rng.integers(0, 40, 3)]) for i in range(100)] + [(100, ["w1", "w2"]), (101, ["w1", "w2"]), (102, [])]
+    rows += [(103 + i, rows[7][1]) for i in range(30)]
+    found = similarity.tfidf(spark.createDataFrame(rows, "id long, tokens array<string>"))
+    vectors_of = {r.id: {x.term: x.w for x in r.v} for r in found.collect()}
+    dot = lambda a, b: sum(w * vectors_of[b].get(t, 0.0) for t, w in vectors_of[a].items())
+    pairs = {(a, b) for a in vectors_of for b in vectors_of if a < b and dot(a, b) >= 0.7}
+    got = {r.id: (r.class_id, r.links) for r in similarity.cosine_degrees(found, 0.7, group_rows).collect()}
+    assert len(pairs) > 100 and {i: n for i, (_, n) in got.items()} == {i: sum(i in p for p in pairs) for i in vectors_of}
+    assert {i for i, (c, _) in got.items() if c == 7} == {7, *range(103, 133)}
+    joined = {(r.node, r.component) for r in graph.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert {(r.id, r.component) for r in similarity.cosine_groups(found, 0.7, group_rows).collect()} == joined
