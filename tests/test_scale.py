@@ -1,11 +1,13 @@
 """Joins whose work and results have to grow with the rows, not with the squares of groups, against plain Python."""
 
 import datetime
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from tidewater.operators import dedup, events, graph, similarity, vectors
+from tidewater.operators import dedup, entities, events, graph, joins, similarity, vectors
 
 
 def test_copies_are_paired_with_one_of_them(spark):
@@ -104,3 +106,23 @@ def test_cosine_degrees_and_groups_are_those_of_all_pairs(spark, group_rows, see
     assert {i for i, (c, _) in got.items() if c == 7} == {7, *range(103, 133)}
     joined = {(r.node, r.component) for r in graph.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
     assert {(r.id, r.component) for r in similarity.cosine_groups(found, 0.7, group_rows).collect()} == joined
+
+
+def test_co_occurring_pairs_are_counted_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PART_PAIRS", 50)
+    rows = [(c, (c * 7 + k * k) % 23) for c in range(60) for k in range(6)] + [(1, None), (None, 2), (3, 4), (3, 4)]
+    held = {}
+    for c, m in rows:
+        if c is not None and m is not None:
+            held.setdefault(c, set()).add(m)
+    wanted = Counter((a, b) for ms in held.values() for a in ms for b in ms if a < b)
+    found = joins.co_occurrence(spark.createDataFrame(rows, "c int, m int"), "c", "m", 2)
+    parts = math.ceil(sum(len(ms) * (len(ms) - 1) // 2 for ms in held.values()) / 50)
+    assert f", {parts})" in found._jdf.queryExecution().toString() and parts > 10
+    assert {(r.a, r.b): r.contexts for r in found.collect()} == {p: n for p, n in wanted.items() if n >= 2}
+
+
+def test_equal_entities_are_merged_into_the_first_alone(spark):
+    rows = [(i, "Jo Day", "person", None) for i in range(500)] + [(500, "Gov. Jo Day", "person", None), (501, "Gov. Jo Day", "person", None), (502, "Jo Day", None, None), (503, None, "person", ["x"])]
+    got = {(r.a, r.b): (r.confidence, r.reason) for r in entities.merge_candidates(spark.createDataFrame(rows, "id int, name string, type string, aliases array<string>")).collect()}
+    assert got == {(0, i): (0.95, "alias") for i in range(1, 500)} | {(0, 500): (0.9, "bare name"), (500, 501): (0.95, "alias")}

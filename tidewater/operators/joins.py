@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators.windows import carried
+from tidewater.operators.work import written
+
+PART_PAIRS = 2_000_000
 
 
 def co_occurrence(df: DataFrame, context: str, member: str, least: int = 1) -> DataFrame:
     """(a, b, contexts): pairs of different members that share at least so many contexts.
 
     Members that occur in fewer than least contexts can't reach it and post nothing. Each context's distinct members meet
-    in a self-join, so a pair is counted once for each context.
+    in a self-join, so a pair is counted once for each context. Pairs are dealt into parts of about PART_PAIRS, so what a task
+    counts doesn't grow with the rows.
     """
     rows = df.where(F.col(context).isNotNull() & F.col(member).isNotNull()).select(context, member).distinct()
     if least > 1:
         often = rows.groupBy(member).count().where(F.col("count") >= least).select(member)
         rows = rows.join(often, member, "left_semi")
+    rows = written(rows, "members")
+    met = F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2)
+    parts = max(1, math.ceil((rows.groupBy(context).count().agg(met).first()[0] or 0) / PART_PAIRS))
     pairs = rows.select(context, F.col(member).alias("a")).join(rows.select(context, F.col(member).alias("b")), context).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= least)
+    return pairs.select("a", "b").repartition(parts, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= least)
 
 
 def band_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, days: int, keys: Sequence[str] = ()) -> DataFrame:
