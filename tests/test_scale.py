@@ -6,7 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidewater.functions import models
 from tidewater.operators import dedup, entities, events, graph, joins, similarity, vectors
 
 
@@ -126,3 +128,12 @@ def test_equal_entities_are_merged_into_the_first_alone(spark):
     rows = [(i, "Jo Day", "person", None) for i in range(500)] + [(500, "Gov. Jo Day", "person", None), (501, "Gov. Jo Day", "person", None), (502, "Jo Day", None, None), (503, None, "person", ["x"])]
     got = {(r.a, r.b): (r.confidence, r.reason) for r in entities.merge_candidates(spark.createDataFrame(rows, "id int, name string, type string, aliases array<string>")).collect()}
     assert got == {(0, i): (0.95, "alias") for i in range(1, 500)} | {(0, 500): (0.9, "bare name"), (500, 501): (0.95, "alias")}
+
+
+def test_a_model_is_called_on_slices_of_a_batch(spark):
+    size = models.text_model(lambda batch: batch.map(lambda _: len(batch)), "int")
+    found = [r[0] for r in spark.range(3000).coalesce(1).select(size(F.col("id").cast("string"))).collect()]
+    assert len(found) == 3000 and max(found) <= 256
+    one = spark.createDataFrame([(1, "A b " * 300), (2, None)], "id int, text string").select("id", models.hash_embedding(16, 3)(F.col("text")).alias("v"))
+    same = spark.createDataFrame([(1, "a b a"), (2, "")], "id int, text string").select("id", models.hash_embedding(16, 3)(F.col("text")).alias("v"))
+    assert sorted(one.collect()) == sorted(same.collect())

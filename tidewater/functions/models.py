@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.text import keywords, words
 
+SLICE_ROWS = 256
 Backend = Callable[[pd.Series], pd.Series]
 
 
@@ -21,7 +22,9 @@ def text_model(backend: Backend, returns: str = "string") -> Callable[[Column],
     @F.pandas_udf(returns)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield backend(batch)
+            # results may be far larger than texts, so no more than SLICE_ROWS of them are held at once
+            for at in range(0, len(batch), SLICE_ROWS):
+                yield backend(batch.iloc[at : at + SLICE_ROWS])
 
     return call
 
@@ -84,14 +87,14 @@ def hash_embedding(size: int = 768, most_words: int = 200) -> Callable[[Column],
     The first most_words words are the model's own window, as for any encoder.
     """
 
-    def vector(text: str | None) -> list[float]:
+    def vector(text: str | None) -> np.ndarray:
         out = np.zeros(size)
-        tokens = (text or "").lower().split()[:most_words]
+        tokens = (text or "").lower().split(None, most_words)[:most_words]
         for kind, items in ((1.0, tokens), (0.5, [f"{a}_{b}" for a, b in zip(tokens, tokens[1:], strict=False)])):
             for i, token in enumerate(items):
                 out[int.from_bytes(hashlib.sha256(token.encode()).digest()[:8], "big") % size] += kind * np.exp(-0.01 * i)
         length = np.linalg.norm(out)
-        return (out / length if length else out).tolist()
+        return out / length if length else out
 
     return text_model(lambda batch: batch.map(vector), "array<double>")
 
