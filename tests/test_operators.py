@@ -432,3 +432,13 @@ def test_as_of_join_over_ranges_of_one_key(spark):
     for k, t, i in asked:
         hits = [(at, v is not None, v or "") for kk, at, v in known if k is not None and t is not None and kk == k and at <= t]
         assert got[i] == ((max(hits)[2] or None) if hits else None), (k, t)
+
+
+def test_chunks_of_one_long_text_are_cut_in_time_that_grows_with_it(spark):
+    from tidewater.functions.chunking import chunks_at_breaks
+
+    whole = "".join(f"w{i} " for i in range(400_000))  # 2.7 million characters
+    df = spark.createDataFrame([(whole,), (None,), (" \n",), ("a\n\nb" * 3,)], "text string")
+    long, *rest = (r.c for r in df.select(chunks_at_breaks(F.col("text"), 400, 50).alias("c")).collect())
+    assert len(long) > 7000 and all(len(c) <= 401 for c in long) and long[-1].endswith("w399999") and " ".join(long).count("w200000") >= 1
+    assert rest == [[], [], ["a\n\nba\n\nba\n\nb"]]

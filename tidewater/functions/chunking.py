@@ -1,51 +1,45 @@
-"""Overlapping chunks of a text that end at paragraphs, lines, sentences or words, as one fold of built-in functions."""
+"""Overlapping chunks of a text that end at paragraphs, lines, sentences or words."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from tidewater.functions.models import text_model
 
 # fixed values: where a chunk may end, best first
 BREAKS = ("\n\n", "\n", ". ", " ")
-STRIDE = 128  # chunks that are cut before it is asked again whether the text is over
-_ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+_BLANKS = " \t\n\v\f\r"
 
 
-def _end(text: Column, start: Column, size: int) -> Column:
+def _end(text: str, start: int, size: int) -> int:
     """The end of the chunk that begins at start: after the last of the best breaks within size characters, else after size."""
-    window = F.substring(text, start + 1, F.lit(size + 1))
-    end = F.least(start + size, F.length(text))
-    found = F.when(start + size >= F.length(text), F.length(text))
+    if start + size >= len(text):
+        return len(text)
     for mark in BREAKS:
-        before = F.length(F.regexp_extract(window, f"(?s)^(.+){mark.replace('.', '[.]')}", 1))
-        found = found.when(before > 0, start + before + len(mark))
-    return found.otherwise(end)
+        # a break may stand behind the window by one character, but not at its start
+        at = text.rfind(mark, start + 1, start + size + 1)
+        if at > 0:
+            return at + len(mark)
+    return start + size
+
+
+def _chunks(text: str | None, size: int, overlap: int) -> list[str]:
+    text = (text or "").strip(_BLANKS)
+    found, start, end = [], 0, 0
+    while end < len(text):
+        end = _end(text, start, size)
+        piece = text[start:end].strip(_BLANKS)
+        if piece:
+            found.append(piece)
+        start = end - overlap if end - overlap > start else end
+    return found
 
 
 def chunks_at_breaks(text: Column, size: int = 2048, overlap: int = 200) -> Column:
     """Chunks of a text's characters, each beginning overlap characters before the end of the last one.
 
     Where that would not get on, the next chunk begins at the end. The last chunk ends with the text. Chunks are trimmed,
-    and blank ones left out; a null or blank text has none.
+    and blank ones left out; a null or blank text has none. Cut in Arrow batches, as built-in substrings of a long text are
+    counted from its start for each chunk.
     """
-    none = F.array().cast("array<string>")
-    begin = F.struct(F.lit(0).alias("start"), F.lit(False).alias("over"), none.alias("found"))
-
-    def chunked(whole: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            start = state["start"]
-            end = _end(whole, start, size)
-            piece = F.regexp_replace(F.substring(whole, start + 1, end - start), _ENDS, "")
-            back = end - overlap
-            then = F.struct(F.when(back > start, back).otherwise(end).alias("start"), (end >= F.length(whole)).alias("over"), F.concat(state["found"], F.when(piece != "", F.array(piece)).otherwise(none)).alias("found"))
-            return F.when(state["over"], state).otherwise(then)
-
-        def stride(state: Column, _: Column) -> Column:
-            return F.when(state["over"], state).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STRIDE)), state, step))
-
-        # a chunk gets on by a character at least, and mostly by far more, so most strides have nothing left to do
-        strides = F.sequence(F.lit(0), (F.length(whole) / STRIDE).cast("int"))
-        return F.when(F.length(whole) > 0, F.aggregate(strides, begin, stride)["found"]).otherwise(none)
-
-    # as an element of an array, the trimmed text is worked out once and not in every step
-    return F.element_at(F.transform(F.array(F.regexp_replace(F.coalesce(text, F.lit("")), _ENDS, "")), chunked), 1)
+    return text_model(lambda batch: batch.map(lambda t: _chunks(t, size, overlap)), "array<string>")(text)
