@@ -215,6 +215,25 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
 
 
+def test_sets_below_the_threshold_are_not_paired(spark):
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(40):
+        edited = list(base)
+        for k in (3 + i, 53 + i, 103 + i):
+            edited[k] = f"own{i}x{k}"
+        texts.append(" ".join(edited))
+    # two that differ in one word only
+    texts += [" ".join([*base[:140], f"end{i}", *base[141:]] + ["more"]) for i in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = docs.select(F.col("doc_id").alias("node"), "doc_id", F.xxhash64("text").alias("text_key"))
+    posted = near_dedup._shingle_prefixes(sets.select("node"), near_dedup._full_sets(sets, docs))
+    got = {(r.a, r.b) for r in near_dedup._across(posted.withColumn("label", F.col("node"))).collect()}
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = {(a, b) for a in range(42) for b in range(a + 1, 42) if 100 * len(shingles[a] & shingles[b]) >= 75 * len(shingles[a] | shingles[b])}
+    assert (40, 41) in near and near <= got and len(got) <= len(near) + 40
+
+
 def test_mixing_targets_and_sizes(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), None if i % 50 == 0 else f"s{i % 7}") for i in range(3000)] + [(9000, "w " * 10, "tiny")]

@@ -37,6 +37,7 @@ from tidewater.llm.shingles import coordinates, shingle_sets, signature
 
 COORDS, MIN_HITS, SCREEN, SCREEN_HITS, WIDTH, PERCENT = 128, 76, 32, 12, 5, 75
 CENTRES = (1, 16)  # of a posting list, in the turns of step 3
+SKETCH = 1024  # bits of parity by which sets are told apart before they are paired
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,13 +54,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_shingles", "h1", "h2", "sig"])
 
 
+def _sketch(found: np.ndarray) -> np.ndarray:
+    odd = np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) % 2
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shingles): the whole set of every text."""
+    """(node, shingles, sketch): the whole set of every text, and its sketch."""
     for batch in batches:
         sets = list(shingle_sets(batch.column("text"), WIDTH))
         ends = np.cumsum([0, *(len(x) for x in sets)])
         flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["node", "shingles"])
+        sketches = pa.array([_sketch(x) for x in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), sketches], ["node", "shingles", "sketch"])
 
 
 def _postings(sets: DataFrame, n: int) -> DataFrame:
@@ -80,11 +87,11 @@ def _screened(sets: DataFrame) -> DataFrame:
 
 
 def _full_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles) of the sets, from the text of one row of each: texts are dealt out this once."""
+    """(node, shingles, sketch) of the sets, from the text of one row of each: texts are dealt out this once."""
     chosen = sets.select("node", F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
     met = docs.withColumn("text_key", F.xxhash64("text")).join(chosen, (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("k")))
     texts = met.groupBy("d", "k").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
-    return materialize(map_batches(texts, _shingles, "node long, shingles array<long>"), "shingle_sets")
+    return materialize(map_batches(texts, _shingles, "node long, shingles array<long>, sketch array<long>"), "shingle_sets")
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
@@ -118,7 +125,7 @@ def _overlap(sizes: Column) -> Column:
 
 
 def _shingle_prefixes(nodes: DataFrame, full: DataFrame) -> DataFrame:
-    """(node, key, size, rest, small): the shingles that a partner among nodes must share one of, rarest first.
+    """(node, key, size, rest, small, sketch): the shingles that a partner among nodes must share one of, rarest first.
 
     This is the exact prefix filter. rest counts the shared shingles from this one on. small marks the shorter prefix
     that is enough where the partner is at least as large, since the two must then share more of this set.
@@ -130,22 +137,26 @@ def _shingle_prefixes(nodes: DataFrame, full: DataFrame) -> DataFrame:
     ranked = shared.select("node", "size", "key", F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("node")).alias("m"))
     ranked = ranked.withColumn("rest", F.col("m") - F.col("r") + 1)
     ranked = ranked.where(F.col("rest") >= F.ceil(PERCENT * F.col("size") / 100))
-    return ranked.select("node", "key", "size", "rest", (F.col("rest") >= _overlap(2 * F.col("size"))).alias("small"))
+    ranked = ranked.select("node", "key", "size", "rest", (F.col("rest") >= _overlap(2 * F.col("size"))).alias("small"))
+    return ranked.join(sets.select("node", "sketch"), "node")
 
 
 def _fits(one: str, two: str) -> Column:
     """Whether two postings of a list, with columns named by these endings, can belong to sets that are near."""
     c = lambda name, end: F.col(f"{name}{end}")
+    both = c("size", one) + c("size", two)
+    differ = sum((F.bit_count(c("sketch", one)[i].bitwiseXOR(c("sketch", two)[i])) for i in range(SKETCH // 64)), F.lit(0))
     return (
         (c("label", one) != c("label", two))
         & (100 * F.least(c("size", one), c("size", two)) >= PERCENT * F.greatest(c("size", one), c("size", two)))
-        & (F.least(c("rest", one), c("rest", two)) >= _overlap(c("size", one) + c("size", two)))
+        & (F.least(c("rest", one), c("rest", two)) >= _overlap(both))
+        & (differ <= both - 2 * _overlap(both))
     )
 
 
 def _across(left: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a posting and whose sizes and places in it allow the overlap."""
-    cols = ("node", "label", "size", "rest")
+    cols = ("node", "label", "size", "rest", "sketch")
     one = left.where("small").select("key", *(F.col(x).alias(f"{x}_1") for x in cols))
     two = left.select("key", *(F.col(x).alias(f"{x}_2") for x in cols))
     fits = _fits("_1", "_2") & (F.struct("size_1", "node_1") < F.struct("size_2", "node_2"))
@@ -162,7 +173,7 @@ def _crossing(posted: DataFrame, labels: DataFrame) -> DataFrame:
 def _to_centres(lists: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of each posting and the CENTRES[turn] centres of its list that lie in other components."""
     n = CENTRES[turn]
-    cols = [x for x in ("node", "label", "size", "rest") if x in lists.columns]
+    cols = [x for x in ("node", "label", "size", "rest", "sketch") if x in lists.columns]
     part = F.pmod(F.xxhash64(F.lit(-turn - 1), F.col("node")), F.lit(n))
     centres = lists.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64(F.col("node"), F.lit(turn)), *cols)).alias("centre"))
     centres = materialize(centres.select("key", *(F.col(f"centre.{x}").alias(f"{x}_c") for x in cols)), "centres")
