@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidewater.llm import boosting, classify, decontaminate, mixing, near_dedup, pii, secrets
 from tidewater.llm import queries as llm
+from tidewater.llm.common import split_by_keys
 from tidewater.llm.components import connected_components
 from tidewater.llm.features import COMMON, lexicon, toxicity_features
 
@@ -234,6 +235,16 @@ def test_sets_below_the_threshold_are_not_paired(spark):
     assert (40, 41) in near and near <= got and len(got) <= len(near) + 40
 
 
+def test_rows_that_no_key_fits_are_told_apart(spark):
+    rows = spark.range(5000).select(F.col("id").cast("int").alias("n"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("t"), "id")).alias("t"))
+    keys = rows.where("n % 10 = 0").select(F.col("n").alias("a"), F.xxhash64("t").alias("b"))
+    some, others = split_by_keys(rows, keys, a=F.col("n"), b=F.xxhash64("t"))
+    held, rest = [r.n for r in some.collect()], [r.n for r in others.collect()]
+    assert sorted(held + rest) == list(range(5000)) and set(range(0, 5000, 10)) <= set(held) and len(held) < 520
+    some, others = split_by_keys(rows, keys.limit(0), a=F.col("n"), b=F.xxhash64("t"))
+    assert some.isEmpty() and others.count() == 5000
+
+
 def test_mixing_targets_and_sizes(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), None if i % 50 == 0 else f"s{i % 7}") for i in range(3000)] + [(9000, "w " * 10, "tiny")]

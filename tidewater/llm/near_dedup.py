@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import map_batches, materialize, mix64, read_table
+from tidewater.llm.common import map_batches, materialize, mix64, read_table, split_by_keys
 from tidewater.llm.components import connected_components, extended
 from tidewater.llm.shingles import coordinates, shingle_sets, signature
 
@@ -87,8 +87,9 @@ def _screened(sets: DataFrame) -> DataFrame:
 
 
 def _full_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles, sketch) of the sets, from the text of one row of each: texts are dealt out this once."""
+    """(node, shingles, sketch) of the sets, from the text of one row of each: these texts are dealt out this once."""
     chosen = sets.select("node", F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    docs, _ = split_by_keys(docs, chosen, d=F.col("doc_id"), k=F.xxhash64("text"))
     met = docs.withColumn("text_key", F.xxhash64("text")).join(chosen, (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("k")))
     texts = met.groupBy("d", "k").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
     return materialize(map_batches(texts, _shingles, "node long, shingles array<long>, sketch array<long>"), "shingle_sets")
@@ -256,7 +257,8 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = counted.where("not stays").select(F.col("doc_id").alias("_near_dedup_id"), F.col("text_key").alias("_near_dedup_key"))
     again = counted.where("stays").select(F.col("doc_id").alias("_near_dedup_id"), F.col("text_key").alias("_near_dedup_key"))
     at = (F.col("doc_id") == F.col("_near_dedup_id")) & (F.xxhash64("text") == F.col("_near_dedup_key"))
-    left = docs.join(gone, at, "left_anti")
+    some, others = split_by_keys(docs, gone, _near_dedup_id=F.col("doc_id"), _near_dedup_key=F.xxhash64("text"))
+    left = others.union(some.join(gone, at, "left_anti"))
     if again.isEmpty():
         return left
     return left.join(again, at, "left_anti").union(left.join(again, at, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import materialize, read_table
+from tidewater.llm.common import materialize, read_table, split_by_keys
 
 NAME = r"(?i:password|passwd|secret|token|api_?key)"
 ASSIGN = NAME + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -202,7 +202,10 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     live = live.groupBy("key", "n").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     live = live.withColumn("last", F.lag("b", 1, 0).over(Window.partitionBy("key").orderBy("n")))
     live = live.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("a", "b", "last"))).alias(SPANS))
-    met = docs.withColumn(KEY, row_key(F.col("text"))).join(materialize(live, "live").withColumnRenamed("key", KEY), KEY, "left").drop(KEY)
+    live = materialize(live.withColumnRenamed("key", KEY), "live")
+    # texts without a live value aren't shuffled
+    some, others = split_by_keys(docs.withColumn(KEY, row_key(F.col("text"))), live, **{KEY: F.col(KEY)})
+    met = some.join(live, KEY, "left").unionByName(others, allowMissingColumns=True).drop(KEY)
     text = F.col("text")
 
     def marked(chars: Column) -> Column:
