@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import numpy as np
 import pytest
@@ -442,3 +443,19 @@ def test_chunks_of_one_long_text_are_cut_in_time_that_grows_with_it(spark):
     long, *rest = (r.c for r in df.select(chunks_at_breaks(F.col("text"), 400, 50).alias("c")).collect())
     assert len(long) > 7000 and all(len(c) <= 401 for c in long) and long[-1].endswith("w399999") and " ".join(long).count("w200000") >= 1
     assert rest == [[], [], ["a\n\nba\n\nba\n\nb"]]
+
+
+def test_sentences_and_words_of_scores_are_taken_once(spark):
+    rows = [("",), (None,), ("One two. " * 30,), ("A short one! \n\n" + "word " * 40 + "? It has " + "many more " * 9,), ("xx   \n   yy. " * 3,), ("tiny. abcdefghijk. abcdefghij. \x0b abcde fghijk \t.",)]
+    df = spark.createDataFrame(rows, "t string").select("t", scores.structure_score(F.col("t")).alias("s"), scores.uniqueness_score(F.col("t")).alias("u"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("array_distinct(") == 1
+    for t, s, u in df.collect():
+        t = t or ""
+        sizes = [len(x.split()) for x in re.split("[.!?]+", t) if len(x.strip(" \t\n\x0b\x0c\r")) > 10]
+        mean = sum(sizes) / max(len(sizes), 1)
+        spread = sum(x * x for x in sizes) / max(len(sizes), 1) - mean * mean
+        assert s == pytest.approx(0.3 * ("\n\n" in t) + 0.3 * (len(sizes) >= 3) + 0.2 * (len(sizes) > 1 and spread > 10) + 0.2 * bool(re.search("[A-Z]", t)))
+        kept = [w for w in t.lower().split() if len(w) > 2 and w not in scores.COMMON_WORDS]
+        share = len(set(kept)) / max(len(kept), 1)
+        assert u == (0.0 if not kept else 0.2 if share < 0.3 else 0.5 if share < 0.5 else 0.8 if share < 0.7 else 1.0)

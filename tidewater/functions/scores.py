@@ -130,17 +130,27 @@ def grades_of(counts: DataFrame) -> dict[str, Column]:
     return grades | {"mean_grade": ratio(total, above)}
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with a costly value that is evaluated once here, however often it stands in the result."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def structure_score(text: Column) -> Column:
     """Paragraphs .3, three real sentences .3, varied sentence lengths .2, a capital letter .2."""
-    valid = F.filter(sentences(text), lambda s: F.length(F.regexp_replace(s, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")) > 10)
-    sizes = F.transform(valid, lambda s: F.size(words(s)).cast("double"))
-    n = F.size(valid)
-    total = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x)
-    squares = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x * x)
-    variance = F.when(n > 1, squares / n - (total / n) * (total / n)).otherwise(0.0)
+    # more than ten characters without the blanks around them
+    valid = F.filter(sentences(text), lambda s: s.rlike(r"(?s)[^\x20\x09-\x0D].{9,}[^\x20\x09-\x0D]"))
     point = lambda cond, v: F.when(cond, v).otherwise(0.0)
+
+    def varied(sizes: Column) -> Column:
+        n = F.size(sizes)
+        total = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x)
+        squares = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x * x)
+        variance = F.when(n > 1, squares / n - (total / n) * (total / n)).otherwise(0.0)
+        return F.struct(point(n >= 3, 0.3).alias("enough"), point(variance > 10, 0.2).alias("varied"))
+
+    found = lambda s: point(F.contains(whole, F.lit("\n\n")), 0.3) + s["enough"] + s["varied"] + point(whole.rlike("[A-Z]"), 0.2)
     whole = F.coalesce(text, F.lit(""))
-    return point(F.contains(whole, F.lit("\n\n")), 0.3) + point(n >= 3, 0.3) + point(variance > 10, 0.2) + point(whole.rlike("[A-Z]"), 0.2)
+    return _once(_once(F.transform(valid, lambda s: word_count(s).cast("double")), varied), found)
 
 
 # fixed values: words too common to tell texts apart
@@ -153,10 +163,9 @@ COMMON_WORDS = (
 
 def uniqueness_score(text: Column) -> Column:
     """Distinct over all words that are longer than two characters and not common, in steps; 0 without such words."""
-    common = F.array(*map(F.lit, COMMON_WORDS))
-    kept = F.filter(words(F.lower(text)), lambda w: (F.length(w) > 2) & ~F.array_contains(common, w))
-    share = ratio(F.size(F.array_distinct(kept)).cast("double"), F.size(kept))
-    return F.when(F.size(kept) == 0, 0.0).when(share < 0.3, 0.2).when(share < 0.5, 0.5).when(share < 0.7, 0.8).otherwise(1.0)
+    kept = F.filter(words(F.lower(text)), lambda w: (F.length(w) > 2) & ~w.isin(*COMMON_WORDS))  # looked up in a set
+    share = _once(kept, lambda k: F.when(F.size(k) > 0, F.size(F.array_distinct(k)).cast("double") / F.size(k)))
+    return _once(share, lambda s: F.when(s.isNull(), 0.0).when(s < 0.3, 0.2).when(s < 0.5, 0.5).when(s < 0.7, 0.8).otherwise(1.0))
 
 
 def completeness_score(text: Column, title: Column) -> Column:
