@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +18,13 @@ def clip(score: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 def length_score(text: Column) -> Column:
     """Rises to 200 words steeply and to 2,000 slowly, falls to 5,000, then stays."""
-    n = word_count(text)
+    return length_of(word_count(text), F.coalesce(text, F.lit("")) == "")
+
+
+def length_of(n: Column, empty: Column) -> Column:
+    """The same of a text of n words."""
     return (
-        F.when(n == 0, 0.0 if text is None else F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(0.1)).when(n < 50, 0.1)
+        F.when(n == 0, F.when(empty, 0.0).otherwise(0.1)).when(n < 50, 0.1)
         .when(n < 200, 0.3 + (n - 50) / 150 * 0.4).when(n <= 2000, 0.7 + (n - 200) / 1800 * 0.3)
         .when(n <= 5000, 1.0 - (n - 2000) / 3000 * 0.2).otherwise(0.8)
     )
@@ -31,10 +37,13 @@ def scorer_length(text: Column) -> Column:
 
 
 def syllables(text: Column) -> Column:
-    """Vowel groups of each word less one for a final e, at least one a word, summed."""
-    one = lambda w: F.regexp_count(F.lower(w), F.lit("[aeiouy]+"))
-    count = lambda w: F.greatest(F.lit(1), one(w) - F.when(F.lower(w).endswith("e") & (one(w) > 1), 1).otherwise(0))
-    return F.aggregate(F.transform(words(text), count), F.lit(0), lambda s, n: s + n)
+    """Vowel groups of each word less one for a final e, at least one a word, summed.
+
+    Counted by patterns over the whole text: groups, words without any, and words of several groups that end in e.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    count = lambda p: F.regexp_count(low, F.lit(rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0Daeiouy]{p}"))
+    return F.regexp_count(low, F.lit("[aeiouy]+")) + count(r"++(?![^\x20\x09-\x0D])") - count(r"*+[aeiouy]++[^\x20\x09-\x0Daeiouy][^\x20\x09-\x0D]*+(?<=e)")
 
 
 def plain_syllables(text: Column) -> Column:
@@ -55,13 +64,18 @@ def sentences(text: Column) -> Column:
 
 
 def sentence_count(text: Column) -> Column:
-    return F.size(F.filter(sentences(text), lambda s: F.trim(F.regexp_replace(s, r"[\x09-\x0D]", " ")) != ""))
+    """How many of these pieces hold more than white space, counted from their first other character on."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^.!?\x20\x09-\x0D][^.!?]*+"))
 
 
 def flesch(text: Column, count: Callable[[Column], Column] = syllables) -> Column:
     """Flesch reading ease with a rule that counts syllables; null without words or sentences."""
-    n, s = word_count(text), sentence_count(text)
-    return F.when((n > 0) & (s > 0), 206.835 - 1.015 * (n / s) - 84.6 * (count(text) / n))
+    return ease(word_count(text), sentence_count(text), count(text))
+
+
+def ease(n: Column, s: Column, y: Column) -> Column:
+    """Flesch reading ease of n words in s sentences with y syllables."""
+    return F.when((n > 0) & (s > 0), 206.835 - 1.015 * (n / s) - 84.6 * (y / n))
 
 
 def tier(score: Column, steps: Sequence[tuple[float, float]], rest: float) -> Column:
@@ -77,19 +91,25 @@ READABILITY_TIERS = ((80, 1.0), (60, 0.9), (40, 0.8), (20, 0.6))
 SCORER_READABILITY_TIERS = ((80, 1.0), (60, 0.8), (40, 0.6), (20, 0.4))
 
 
-def _tier_of(ease: Column, steps: Sequence[tuple[float, float]], rest: float) -> Column:
-    """The tier of a costly score, which is evaluated once here; 0 where it is null."""
-    return F.get(F.transform(F.array(ease), lambda x: F.when(x.isNull(), 0.0).otherwise(tier(x, steps, rest))), F.lit(0))
+def readability_of(found: Column, steps: Sequence[tuple[float, float]], rest: float) -> Column:
+    """The tier of a Flesch score; 0 where it is null."""
+    return F.when(found.isNull(), 0.0).otherwise(tier(found, steps, rest))
+
+
+def _tier_of(text: Column, count: Callable[[Column], Column], steps: Sequence[tuple[float, float]], rest: float) -> Column:
+    """The tier of a text, whose words, sentences and syllables are counted once here."""
+    counts = F.struct(word_count(text).alias("n"), sentence_count(text).alias("s"), count(text).alias("y"))
+    return _once(_once(counts, lambda c: ease(c["n"], c["s"], c["y"])), lambda x: readability_of(x, steps, rest))
 
 
 def readability_score(text: Column) -> Column:
     """Readability at the early gate, with its plainer rule of syllables."""
-    return _tier_of(flesch(text, plain_syllables), READABILITY_TIERS, 0.3)
+    return _tier_of(text, plain_syllables, READABILITY_TIERS, 0.3)
 
 
 def scorer_readability(text: Column) -> Column:
     """Readability as one of the dimensions of content_score."""
-    return _tier_of(flesch(text), SCORER_READABILITY_TIERS, 0.2)
+    return _tier_of(text, syllables, SCORER_READABILITY_TIERS, 0.2)
 
 
 def readability_counts(df: DataFrame, text: str) -> DataFrame:
@@ -111,8 +131,7 @@ def readability_counts(df: DataFrame, text: str) -> DataFrame:
 
 def flesch_of(counts: DataFrame) -> Column:
     """Flesch reading ease over readability_counts; null without words or sentences."""
-    n, s, y = (counts[c] for c in ("n", "s", "y"))
-    return F.when((n > 0) & (s > 0), 206.835 - 1.015 * (n / s) - 84.6 * (y / n))
+    return ease(*(counts[c] for c in ("n", "s", "y")))
 
 
 def grades_of(counts: DataFrame) -> dict[str, Column]:
@@ -181,24 +200,28 @@ def completeness_score(text: Column, title: Column) -> Column:
 
 def top_term(text: Column, least: int) -> Column:
     """The most often that a lower-case word longer than least characters is repeated."""
-    kept = F.array_sort(F.filter(words(F.lower(text)), lambda w: F.length(w) > least))
-    # in a sorted array equal words are neighbours: fold the length of the current run and the best one
-    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(s: Column, w: Column) -> Column:
-        run = F.when(s["w"] == w, s["run"] + 1).otherwise(F.lit(1))
-        return F.struct(w.alias("w"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
-
-    return F.aggregate(kept, start, step, lambda s: s["best"])
+    low, word = F.lower(F.coalesce(text, F.lit(""))), rf"[^\x20\x09-\x0D]{{{least + 1},}}"
+    # in a sorted text equal words are neighbours, and a run's length tells how many it holds
+    kept = F.array_join(F.sort_array(F.regexp_extract_all(low, F.lit(word), F.lit(0))), " ")
+    runs = F.regexp_extract_all(kept, F.lit(r"(?<![^\x20])([^\x20]++)(?:\x20\1(?![^\x20]))++"), F.lit(0))
+    held = F.transform(runs, lambda r: ((F.length(r) + 1) / (F.length(F.substring_index(r, " ", 1)) + 1)).cast("int"))
+    return F.coalesce(F.array_max(held), low.rlike(word).cast("int"))
 
 
 def language_score(text: Column) -> Column:
     """Share of Latin words and of capitalised ones, less the share of the commonest word."""
-    n = word_count(text)
-    whole = F.coalesce(text, F.lit(""))
-    latin = F.regexp_count(whole, F.lit(r"\b[a-zA-Z]+\b"))
-    proper = F.regexp_count(whole, F.lit(r"\b[A-Z][a-z]+\b"))
-    penalty = F.least(top_term(text, 3) / n, F.lit(0.5))
+    return language_of(word_count(text), *latin_words(text), top_term(text, 3))
+
+
+def latin_words(text: Column) -> tuple[Column, Column]:
+    """How many words of Latin letters, and how many capitalised ones."""
+    count = lambda p: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p))
+    return count(r"\b[a-zA-Z]+\b"), count(r"\b[A-Z][a-z]+\b")
+
+
+def language_of(n: Column, latin: Column, proper: Column, top: Column) -> Column:
+    """The same of a text of n words, of which the commonest stands top times."""
+    penalty = F.least(top / n, F.lit(0.5))
     return F.when(n > 0, clip(0.6 * (latin / n) + 0.4 * (proper / F.greatest(latin, F.lit(1))) - penalty)).otherwise(0.0)
 
 
@@ -226,15 +249,18 @@ SPAM_TEXT = ("make money", "work from home", "get rich", "lose weight", "viagra"
 SPAM_HOSTS = (".tk", ".ml", ".ga", ".cf", "bit.ly", "tinyurl")
 
 
-def spam_score(title: Column, text: Column, url: Column) -> Column:
-    """1 less indicators over checks; below 0 when a check gives several. An empty part isn't checked."""
+def spam_score(title: Column, text: Column, url: Column, n: Column | None = None, top: Column | None = None) -> Column:
+    """1 less indicators over checks; below 0 when a check gives several. An empty part isn't checked.
+
+    n and top are the text's word_count and top_term where they are known already.
+    """
     has = lambda c: F.coalesce(c, F.lit("")) != ""
     one = lambda cond: F.coalesce(cond, F.lit(False)).cast("int")
-    any_of = lambda c, terms: F.lower(c).rlike("|".join(f"\\Q{t}\\E" for t in terms))
-    n = word_count(text)
+    any_of = lambda c, terms: _once(F.lower(c), lambda low: reduce(or_, (F.contains(low, F.lit(t)) for t in terms)))
+    n, top = word_count(text) if n is None else n, top_term(text, 3) if top is None else top
     hits = one((F.length(title) > 10) & (F.regexp_count(title, F.lit("[A-Z]")) / F.length(title) > 0.7)) + one(any_of(title, SPAM_TITLE))
     hits = hits + one((F.regexp_count(title, F.lit("!")) > 2) | (F.regexp_count(title, F.lit("\\?")) > 2))
-    hits = hits + one((n > 100) & (top_term(text, 3) > n * 0.1)) + one(any_of(text, SPAM_TEXT))
+    hits = hits + one((n > 100) & (top > n * 0.1)) + one(any_of(text, SPAM_TEXT))
     hits = hits + one(any_of(url, SPAM_HOSTS)) + one(F.length(F.get(F.split(url, "\\?", -1), 1)) > 100 if url is not None else F.lit(False))
     checks = has(title).cast("int") + has(text).cast("int") + has(url).cast("int")
     return F.when(checks > 0, 1.0 - hits / checks).otherwise(0.0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import adverts, content, priorities, scores, text
-from tidewater.operators import dedup, events
+from tidewater.operators import counts, dedup, events
 from tidewater.operators.windows import top_per_group
 from tidewater.plans.registry import query
 from tidewater.sources.tables import table
@@ -154,9 +154,16 @@ def content_quality_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def early_quality_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blended early quality of every document and the bounds it fails; its parts are compared with SQL on their own."""
-    t = F.col("text")
-    parts = {"length": scores.length_score(t), "source": F.lit(0.5), "readability": scores.readability_score(t), "freshness": F.lit(0.5), "language": scores.language_score(t), "spam": scores.spam_score(F.lit(None).cast("string"), t, F.lit(None).cast("string"))}
-    rows = table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in parts.items()))
+    t, none = F.col("text"), F.lit(None).cast("string")
+    latin, proper = scores.latin_words(t)
+    # counts and conditions are columns of their own, so each is worked out once however often a score asks for it
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", (F.coalesce(t, F.lit("")) == "").alias("empty"), latin.alias("latin"), proper.alias("proper"))
+    rows = counts.counted(rows, "text", "words", "sentences", "plain_syllables", "top")
+    n, top = F.col("words"), F.col("top")
+    rows = rows.withColumn("ease", scores.ease(n, F.col("sentences"), F.col("plain_syllables")))
+    readable = scores.readability_of(F.col("ease"), scores.READABILITY_TIERS, 0.3)
+    parts = {"length": scores.length_of(n, F.col("empty")), "source": F.lit(0.5), "readability": readable, "freshness": F.lit(0.5), "language": scores.language_of(n, F.col("latin"), F.col("proper"), top), "spam": scores.spam_score(none, t, none, n, top)}
+    rows = rows.select("doc_id", *(c.alias(k) for k, c in parts.items()))
     cols = [F.col(k) for k in parts]
     rows = rows.withColumn("overall", scores.early_quality(*cols))
     return rows.select("doc_id", F.round("overall", 6).alias("overall"), scores.rejection_reasons(F.col("overall"), *cols).alias("reasons"), scores.grade(F.col("overall")).alias("grade"))
