@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidewater.functions import scores, text
+from tidewater.functions import content, scores, text
 from tidewater.operators import counts
 from tidewater.plans import content as plan
 
@@ -45,3 +45,16 @@ def test_early_quality_takes_each_count_once(spark, sf_dir):
     parts = [scores.length_score(t), F.lit(0.5), scores.readability_score(t), F.lit(0.5), scores.language_score(t), scores.spam_score(none, t, none)]
     wanted = {r[0]: r[1] for r in rows.select("doc_id", F.round(scores.early_quality(*parts), 6)).collect()}
     assert {r.doc_id: r.overall for r in plan.early_quality_decisions(spark, sf_dir).collect()} == wanted
+
+
+def test_content_quality_takes_each_measure_once(spark, sf_dir):
+    logical = plan.content_quality_tiers(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("citing") == 2 and logical.count("obliterates") == 2 and "split(" not in logical
+    df = spark.createDataFrame(list(enumerate(odd_texts())), "i int, t string").select("i", "t", scores.fact_density(F.col("t")).alias("d"), content.paragraphs(F.col("t")).alias("p"))
+    for r in df.collect():
+        t, n = r.t or "", len([w for w in re.split(f"[{BLANK}]+", r.t or "") if w])
+        clauses = sum(bool(re.search(rf"(?is)^[^a-z]*[a-z].+\s{verb}\s", s, re.ASCII)) for s in t.split(".") for verb in ("said", "told"))
+        found = (r"(?i)according to [A-Za-z][^.,]+", r"(?i)per\s+[A-Za-z]", r"(?i)citing\s+[A-Za-z]", "[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{2,4}", r"\b[0-9]+(?:\.[0-9]+)?%", r"\b[0-9]{2,}\b")
+        signals = clauses + sum(len(re.findall(p, t)) for p in found) + t.count('"') // 2 + t.count("'") // 2
+        assert abs(r.d - (round(min(1.0, signals / max(n / 80, 1.0) * 0.4), 4) if n else 0.0)) < 1e-9, t
+        assert r.p == sum(bool(line.strip(BLANK)) for line in t.split("\n")), t

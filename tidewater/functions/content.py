@@ -50,27 +50,53 @@ VAGUE_TITLES = (
 
 def clickbait_score(title: Column, content: Column, short: int = 200) -> Column:
     """0 to 1: a title of bait .4, each headline mark .15, each vague one .12, emotion by length up to .25, under short words .2."""
+    return bait_of(title, word_count(content), emotional(F.lower(F.coalesce(content, F.lit("")))), short)
+
+
+def bait_of(title: Column, n: Column, felt: Column, short: int = 200) -> Column:
+    """The same of a title and a text of n words that holds felt words of emotion."""
     head = F.coalesce(title, F.lit(""))
     marks = lambda patterns: sum((head.rlike(f"(?i){p}").cast("int") for p in patterns), F.lit(0))
-    n = word_count(content)
-    felt = F.least(F.lit(0.25), _present(F.lower(F.coalesce(content, F.lit(""))), EMOTIONAL) / F.greatest(n / 100.0, F.lit(1.0)) * 0.5)
+    felt = F.least(F.lit(0.25), felt / F.greatest(n / 100.0, F.lit(1.0)) * 0.5)
     titled = F.when(is_clickbait(title), 0.4).otherwise(0.0) + 0.15 * marks(HEADLINE_TRIGGERS) + 0.12 * marks(VAGUE_TITLES)
     return F.least(F.lit(1.0), titled + F.when(n > 0, felt).otherwise(0.0) + F.when(n < short, 0.2).otherwise(0.0))
 
 
+def emotional(low: Column) -> Column:
+    """How many words of emotion stand in a lower-case text."""
+    return _present(low, EMOTIONAL)
+
+
 def emotion(title: Column, content: Column) -> Column:
     whole = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit("")))
-    n = word_count(whole)
-    return F.when(n > 0, F.least(F.lit(1.0), _present(F.lower(whole), EMOTIONAL) / F.greatest(n / 150.0, F.lit(1.0)) * 0.5)).otherwise(0.0)
+    return emotion_of(word_count(whole), emotional(F.lower(whole)))
+
+
+def emotion_of(n: Column, felt: Column) -> Column:
+    """The same of n words of title and text that hold felt words of emotion."""
+    return F.when(n > 0, F.least(F.lit(1.0), felt / F.greatest(n / 150.0, F.lit(1.0)) * 0.5)).otherwise(0.0)
 
 
 def depth(content: Column) -> Column:
     """Length up to 600 words, paragraphs, and a question word."""
     whole = F.coalesce(content, F.lit(""))
-    paragraphs = F.size(F.filter(F.split(whole, "\n", -1), lambda p: F.trim(F.regexp_replace(p, r"[\x09-\x0D]", " ")) != ""))
-    asks = F.when(F.lower(whole).rlike(r"\b(who|what|when|where|why|how)\b"), 0.2).otherwise(0.0)
-    score = F.least(F.lit(1.0), word_count(content) / 600.0) * 0.5 + F.least(F.lit(0.3), paragraphs * 0.02) + asks
-    return F.when(whole == "", 0.0).otherwise(F.least(F.lit(1.0), score))
+    return depth_of(word_count(content), paragraphs(content), asks(F.lower(whole)), whole == "")
+
+
+def paragraphs(content: Column) -> Column:
+    """Lines that hold more than white space, counted from their first other character on."""
+    return F.regexp_count(F.coalesce(content, F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*+"))
+
+
+def asks(low: Column) -> Column:
+    """Whether a lower-case text holds a question word."""
+    return low.rlike(r"\b(who|what|when|where|why|how)\b")
+
+
+def depth_of(n: Column, lines: Column, asking: Column, empty: Column) -> Column:
+    """The same of a text of n words and so many paragraphs."""
+    score = F.least(F.lit(1.0), n / 600.0) * 0.5 + F.least(F.lit(0.3), lines * 0.02) + F.when(asking, 0.2).otherwise(0.0)
+    return F.when(empty, 0.0).otherwise(F.least(F.lit(1.0), score))
 
 
 def specificity(content: Column) -> Column:
@@ -86,16 +112,22 @@ OUTLETS = (
     (0.9, ("reuters", "ap news", "associated press", "bbc", "bloomberg", "financial times", "wall street journal", "wsj", "economist", "new york times", "washington post", "npr", "ap", "afp")),
     (0.75, ("guardian", "cnn", "fox news", "nbc", "abc", "cbs", "pbs", "marketwatch", "cnbc", "forbes", "fortune", "politico", "axios")),
 )
-NAMED_SOURCES, INSTITUTIONS = "according to|said (?:a|the)|spokesperson|official", "department of|ministry of|university of|institute|bureau of"
+NAMED_SOURCES = ("according to", "said a", "said the", "spokesperson", "official")
+INSTITUTIONS = ("department of", "ministry of", "university of", "institute", "bureau of")
 
 
 def source_quality(source: Column, content: Column) -> Column:
     """Reliability from 0 to 1: .3, or that of the first tier with an outlet in the source's name, more for sources and institutions that the text names."""
-    name, low = F.lower(F.coalesce(source, F.lit(""))), F.lower(F.coalesce(content, F.lit("")))
+    return source_quality_of(source, F.lower(F.coalesce(content, F.lit(""))))
+
+
+def source_quality_of(source: Column, low: Column) -> Column:
+    """The same of a text in lower case."""
+    name = F.lower(F.coalesce(source, F.lit("")))
     held = lambda names: name.rlike("|".join(names))  # noqa: E731  the names hold no signs of a pattern
     base = F.when(held(OUTLETS[0][1]), OUTLETS[0][0]).when(held(OUTLETS[1][1]), OUTLETS[1][0]).otherwise(0.3)
-    named = F.least(F.lit(1.0), base + F.when(low.rlike(NAMED_SOURCES), 0.1).otherwise(0.0))
-    return F.least(F.lit(1.0), named + F.when(low.rlike(INSTITUTIONS), 0.05).otherwise(0.0))
+    named = F.least(F.lit(1.0), base + F.when(_present(low, NAMED_SOURCES) > 0, 0.1).otherwise(0.0))
+    return F.least(F.lit(1.0), named + F.when(_present(low, INSTITUTIONS) > 0, 0.05).otherwise(0.0))
 
 
 def quality_flags(clickbait: Column, felt: Column, density: Column, source: Column, deep: Column) -> Column:
@@ -112,7 +144,12 @@ def recommendation(level: Column) -> Column:
 
 def content_quality(title: Column, content: Column, source_quality: Column, clickbait: Column) -> Column:
     """(score, tier) of an article; a clickbait score of .8 puts it into the last tier."""
-    parts = [(0.30, fact_density(content)), (0.25, source_quality), (0.20, depth(content)), (0.15, specificity(content)), (0.05, 1.0 - clickbait), (0.05, 1.0 - emotion(title, content))]
+    return content_quality_of(fact_density(content), source_quality, depth(content), specificity(content), clickbait, emotion(title, content))
+
+
+def content_quality_of(density: Column, source_quality: Column, deep: Column, specific: Column, clickbait: Column, felt: Column) -> Column:
+    """The same by its parts."""
+    parts = [(0.30, density), (0.25, source_quality), (0.20, deep), (0.15, specific), (0.05, 1.0 - clickbait), (0.05, 1.0 - felt)]
     score = clip(weighted(parts))
     level = F.when(clickbait >= 0.8, 4).otherwise(tier(score, ((0.8, 1), (0.6, 2), (0.4, 3)), 4))
     return F.struct(F.round(score, 4).alias("score"), level.cast("int").alias("tier"))

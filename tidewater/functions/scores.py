@@ -272,13 +272,23 @@ def fact_density(text: Column) -> Column:
     "X said" and "X told" count once between two full stops, however often they stand there, since their pattern reaches
     from the first letter to the last such word.
     """
+    return density_of(word_count(text), fact_signals(text, F.lower(text)))
+
+
+def fact_signals(text: Column, low: Column) -> Column:
+    """How many of these signs stand in a text; low is the text in lower case, in which the patterns' fixed words are sought first."""
     whole = F.coalesce(text, F.lit(""))
     count = lambda p: F.regexp_count(whole, F.lit(p))
-    pairs = lambda c: F.floor(F.regexp_count(whole, F.lit(c)) / 2)
-    clauses = lambda verb: F.size(F.filter(F.split(whole, "\\.", -1), lambda s: s.rlike(rf"(?is)^[^a-z]*+[a-z].+\s{verb}\s")))
-    signals = clauses("said") + clauses("told") + count(r"(?i)according to [A-Za-z][^.,]+") + count(r"(?i)per\s+[A-Za-z]") + count(r"(?i)citing\s+[A-Za-z]")
-    signals = signals + count(r"[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{2,4}") + count(r"\b[0-9]+(?:\.[0-9]+)?%") + count(r"\b[0-9]{2,}\b") + pairs('"') + pairs("'")
-    return F.when(word_count(text) > 0, F.round(F.least(F.lit(1.0), signals / F.greatest(word_count(text) / 80.0, F.lit(1.0)) * 0.4), 4)).otherwise(0.0)
+    having = lambda word, p: F.when(F.contains(low, F.lit(word)), count(p)).otherwise(0)
+    pairs = lambda c: F.floor((F.length(whole) - F.length(F.replace(whole, F.lit(c), F.lit("")))) / 2)
+    clauses = lambda verb: having(verb, rf"(?is)(?<![^.])[^a-z.]*+[a-z][^.]+\s{verb}\s")
+    signals = clauses("said") + clauses("told") + having("according to ", r"(?i)according to [A-Za-z][^.,]+") + having("per", r"(?i)per\s+[A-Za-z]") + having("citing", r"(?i)citing\s+[A-Za-z]")
+    return signals + count(r"[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{2,4}") + having("%", r"\b[0-9]+(?:\.[0-9]+)?%") + count(r"\b[0-9]{2,}\b") + pairs('"') + pairs("'")
+
+
+def density_of(n: Column, signals: Column) -> Column:
+    """The same of a text of n words."""
+    return F.when(n > 0, F.round(F.least(F.lit(1.0), signals / F.greatest(n / 80.0, F.lit(1.0)) * 0.4), 4)).otherwise(0.0)
 
 
 def lexicon_sentiment(text: Column, good: Sequence[str], bad: Sequence[str]) -> Column:

@@ -143,10 +143,22 @@ def source_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def content_quality_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by tier of their content quality, with what each tier is good for; its parts are compared with SQL on their own."""
-    title, text = F.substring_index("text", ".", 1), F.col("text")
-    source, bait = content.source_quality(F.col("desk"), text), content.clickbait_score(title, text)
-    flags = content.quality_flags(bait, content.emotion(title, text), scores.fact_density(text), source, content.depth(text))
-    rows = desks(spark, sf_dir).select("doc_id", content.content_quality(title, text, source, bait).alias("q"), F.size(flags).alias("flags"))
+    t, title, low, n = F.col("text"), F.col("title"), F.col("low"), F.col("words")
+    rows = desks(spark, sf_dir).select("doc_id", "desk", "text", F.substring_index("text", ".", 1).alias("title"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    # each measure is a column of its own, so it is worked out once however often a score asks for it
+    measures = {
+        "signals": scores.fact_signals(t, low), "source": content.source_quality_of(F.col("desk"), low), "lines": content.paragraphs(t), "asking": content.asks(low), "empty": low == "", "specific": content.specificity(t),
+        "felt": content.emotional(low), "felt_all": content.emotional(F.concat_ws(" ", F.lower("title"), "low")), "n_title": text.word_count(title),
+    }
+    rows = counts.counted(rows.select("desk", "title", "text", *(c.alias(k) for k, c in measures.items())), "text", "words").drop("text")
+    parts = {
+        "bait": content.bait_of(title, n, F.col("felt")), "emotion": content.emotion_of(n + F.col("n_title"), F.col("felt_all")), "density": scores.density_of(n, F.col("signals")),
+        "deep": content.depth_of(n, F.col("lines"), F.col("asking"), F.col("empty")),
+    }
+    bait, felt, density, deep, source, specific = map(F.col, (*parts, "source", "specific"))
+    rows = rows.withColumns(parts)
+    flags = content.quality_flags(bait, felt, density, source, deep)
+    rows = rows.select(content.content_quality_of(density, source, deep, specific, bait, felt).alias("q"), F.size(flags).alias("flags"))
     per = rows.groupBy("q.tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("q.score"), 4).alias("score"), F.sum("flags").alias("flags"))
     return per.withColumn("recommendation", content.recommendation(F.col("tier")))
 
