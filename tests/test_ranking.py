@@ -60,3 +60,14 @@ def test_empty_index(spark, tmp_path):
     none = spark.createDataFrame([], "id long, text string")
     index = ranking.build(none, f"file://{tmp_path}/none", block_rows=5)
     assert ranking.search(index, spark.createDataFrame([(1, "a word")], "query_id long, text string"), 3).count() == 0
+
+
+def test_an_index_is_built_without_work_tables(spark, tmp_path, monkeypatch):
+    def refused(df, name):
+        raise AssertionError(f"{name} is written beside the index")
+
+    monkeypatch.setattr(ranking, "written", refused)
+    docs = [(1, "sky sky motor"), (1, "sky sky hop"), (2, None), (3, "hop")]  # rows of one id and length are one document
+    index = ranking.build(spark.createDataFrame(docs, "id int, text string"), f"file://{tmp_path}/one", buckets=2, block_rows=2)
+    found = {(r.term, r.id, r.n, r.tf) for r in index.read(spark, "postings").collect()}
+    assert found == {("sky", 1, 3, 4), ("motor", 1, 3, 1), ("hop", 1, 3, 1), ("hop", 3, 1, 1)} and (index.docs, index.mean) == (4, 1.75)
