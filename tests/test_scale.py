@@ -137,3 +137,20 @@ def test_a_model_is_called_on_slices_of_a_batch(spark):
     one = spark.createDataFrame([(1, "A b " * 300), (2, None)], "id int, text string").select("id", models.hash_embedding(16, 3)(F.col("text")).alias("v"))
     same = spark.createDataFrame([(1, "a b a"), (2, "")], "id int, text string").select("id", models.hash_embedding(16, 3)(F.col("text")).alias("v"))
     assert sorted(one.collect()) == sorted(same.collect())
+
+
+def test_edges_of_components_are_contracted(spark, monkeypatch):
+    tables = []
+
+    def kept(df, name):
+        out = written(df, name)
+        tables.append((name, out.count()))
+        return out
+
+    written = graph.written
+    monkeypatch.setattr(graph, "written", kept)
+    pairs = [(i, i + 1) for i in range(300)] + [(1000 + i % 40, 2000 + i * 7 % 90) for i in range(900)] + [(5000, 5000), (None, 9999)]
+    found = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert all(found[i] == 0 for i in range(301)) and found[5000] == 5000 and 9999 not in found
+    left = [n for name, n in tables if name == "edges"]
+    assert left[-1] == 0 and len(left) <= 3 and sum(left) < len(pairs) / 4 and len(tables) < 25
