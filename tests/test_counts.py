@@ -58,3 +58,10 @@ def test_content_quality_takes_each_measure_once(spark, sf_dir):
         signals = clauses + sum(len(re.findall(p, t)) for p in found) + t.count('"') // 2 + t.count("'") // 2
         assert abs(r.d - (round(min(1.0, signals / max(n / 80, 1.0) * 0.4), 4) if n else 0.0)) < 1e-9, t
         assert r.p == sum(bool(line.strip(BLANK)) for line in t.split("\n")), t
+
+
+def test_content_grades_take_words_from_counts(spark, sf_dir):
+    from tidewater.plans import texts
+
+    logical = texts.content_grades(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(" not in logical and "[aeiouy]+" not in logical and "distinct_telling" in logical

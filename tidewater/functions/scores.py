@@ -32,7 +32,10 @@ def length_of(n: Column, empty: Column) -> Column:
 
 def scorer_length(text: Column) -> Column:
     """1 between 200 and 1,000 words, steps below, a slope above."""
-    n = word_count(text)
+    return scorer_length_of(word_count(text))
+
+
+def scorer_length_of(n: Column) -> Column:
     return F.when(n > 1000, F.greatest(F.lit(0.3), 1.0 - (n - 1000) / 5000)).when(n >= 200, 1.0).when(n >= 100, 0.7).when(n >= 50, 0.4).otherwise(0.1)
 
 
@@ -184,17 +187,22 @@ def uniqueness_score(text: Column) -> Column:
     """Distinct over all words that are longer than two characters and not common, in steps; 0 without such words."""
     kept = F.filter(words(F.lower(text)), lambda w: (F.length(w) > 2) & ~w.isin(*COMMON_WORDS))  # looked up in a set
     share = _once(kept, lambda k: F.when(F.size(k) > 0, F.size(F.array_distinct(k)).cast("double") / F.size(k)))
-    return _once(share, lambda s: F.when(s.isNull(), 0.0).when(s < 0.3, 0.2).when(s < 0.5, 0.5).when(s < 0.7, 0.8).otherwise(1.0))
+    return _once(share, uniqueness_of)
+
+
+def uniqueness_of(s: Column) -> Column:
+    """The same of the share of distinct words, null without words."""
+    return F.when(s.isNull(), 0.0).when(s < 0.3, 0.2).when(s < 0.5, 0.5).when(s < 0.7, 0.8).otherwise(1.0)
 
 
-def completeness_score(text: Column, title: Column) -> Column:
+def completeness_score(text: Column, title: Column, n: Column | None = None) -> Column:
     """A fifth each for a title, a first and a last paragraph of some length, 100 words, five sentences."""
     whole = F.coalesce(text, F.lit(""))
     paragraphs = F.split(whole, "\n\n", -1)
     point = lambda cond: F.when(cond, 0.2).otherwise(0.0)
     return (
         point(F.length(F.trim(F.coalesce(title, F.lit("")))) > 5) + point(F.length(F.element_at(paragraphs, 1)) > 50)
-        + point(F.length(F.element_at(paragraphs, -1)) > 30) + point(word_count(text) > 100) + point(F.size(sentences(text)) >= 5)
+        + point(F.length(F.element_at(paragraphs, -1)) > 30) + point((word_count(text) if n is None else n) > 100) + point(F.size(sentences(text)) >= 5)
     )
 
 
@@ -225,18 +233,18 @@ def language_of(n: Column, latin: Column, proper: Column, top: Column) -> Column
     return F.when(n > 0, clip(0.6 * (latin / n) + 0.4 * (proper / F.greatest(latin, F.lit(1))) - penalty)).otherwise(0.0)
 
 
-def language_quality(text: Column) -> Column:
+def language_quality(text: Column, n: Column | None = None, distinct: Column | None = None) -> Column:
     """A fifth each for a sentence mark, a capital, no word with a letter three times in a row, three sentences, 20 long words.
 
     Up to a hundredth of words with such a letter give a tenth.
     """
     whole = F.coalesce(text, F.lit(""))
-    n, odd = word_count(text), F.regexp_count(whole, F.lit(r"([^\x20\x09-\x0D])\1{2}[^\x20\x09-\x0D]*"))
+    n, odd = word_count(text) if n is None else n, F.regexp_count(whole, F.lit(r"([^\x20\x09-\x0D])\1{2}[^\x20\x09-\x0D]*"))
     real = F.filter(sentences(text), lambda s: F.length(F.regexp_replace(s, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")) > 5)
-    distinct = F.array_distinct(F.filter(words(F.lower(text)), lambda w: F.length(w) > 3))
+    distinct = F.size(F.array_distinct(F.filter(words(F.lower(text)), lambda w: F.length(w) > 3))) if distinct is None else distinct
     point = lambda cond, v=0.2: F.when(cond, v).otherwise(0.0)
     typed = F.when(n == 0, 0.0).when(odd == 0, 0.2).when(odd <= n * 0.01, 0.1).otherwise(0.0)
-    return point(whole.rlike("[.!?]")) + point(whole.rlike("[A-Z]")) + typed + point(F.size(real) >= 3) + point(F.size(distinct) > 20)
+    return point(whole.rlike("[.!?]")) + point(whole.rlike("[A-Z]")) + typed + point(F.size(real) >= 3) + point(distinct > 20)
 
 
 def content_score(length: Column, readability: Column, structure: Column, uniqueness: Column, completeness: Column, language: Column) -> Column:
