@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import models
 from tidewater.operators import dedup, entities, events, graph, joins, similarity, vectors
+from tidewater.plans import flows
 
 
 def test_copies_are_paired_with_one_of_them(spark):
@@ -154,3 +155,15 @@ def test_edges_of_components_are_contracted(spark, monkeypatch):
     assert all(found[i] == 0 for i in range(301)) and found[5000] == 5000 and 9999 not in found
     left = [n for name, n in tables if name == "edges"]
     assert left[-1] == 0 and len(left) <= 3 and sum(left) < len(pairs) / 4 and len(tables) < 25
+
+
+def test_suppliers_and_customers_are_merge_candidates(spark, sf_dir):
+    names = {}
+    for table, key, label in (("supplier", "s_suppkey", "s"), ("customer", "c_custkey", "c")):
+        names |= {f"{label}{r[0]}": r[1].lower() for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, f"{label}_name").collect()}
+    held = {i: {n[k : k + 2] for k in range(len(n) - 1)} for i, n in names.items()}
+    dice = lambda a, b: 2 * len(held[a] & held[b]) / (len(held[a]) + len(held[b]))
+    wanted = {(a, b): dice(a, b) * 0.8 for a in names for b in names if a < b and dice(a, b) > 0.9}
+    got = {(r.a, r.b): r.confidence for r in flows.merge_candidates(spark, sf_dir).collect()}
+    assert {a[0] for p in got for a in p} == {"s", "c"} and got.keys() == wanted.keys()
+    assert all(abs(s - wanted[p]) < 1e-9 for p, s in got.items())
