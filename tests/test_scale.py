@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import models
-from tidewater.operators import dedup, entities, events, graph, joins, similarity, vectors
+from tidewater.operators import dedup, entities, events, graph, joins, sets, similarity, vectors
 from tidewater.plans import flows
 
 
@@ -167,3 +167,23 @@ def test_suppliers_and_customers_are_merge_candidates(spark, sf_dir):
     got = {(r.a, r.b): r.confidence for r in flows.merge_candidates(spark, sf_dir).collect()}
     assert {a[0] for p in got for a in p} == {"s", "c"} and got.keys() == wanted.keys()
     assert all(abs(s - wanted[p]) < 1e-9 for p, s in got.items())
+
+
+def test_sets_are_compact_and_compared_by_parities_first(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [f"w{k}" for k in rng.zipf(1.3, 30) % 500], ["x"] if i % 5 else []) for i in range(40)] + [(40, ["w1", "w2"], []), (41, ["w2", "w1", "w1"], []), (42, ["w1", "w2"], ["x"]), (43, [], []), (44, None, [])]
+    members, found = sets.token_sets(spark.createDataFrame(rows, "id long, tokens array<string>, more array<string>"), "more", frequent=5)
+    held = {i: set(w) for i, w, _ in rows if w}
+    per = {r.rep: r for r in found.collect()}
+    assert {r.id: r.rep for r in members.collect()} == {i: i for i in held} | {41: 40} and dict(found.dtypes)["known"] == "array<smallint>"
+    assert all(r.size == len(r.known) + len(r.other) == len(held[i]) for i, r in per.items())
+    df = Counter(w for r in per.values() for w in held[r.rep])
+    assert len({k for r in per.values() for k in r.known}) == 5 and all(list(r.known) == sorted(r.known) for r in per.values())
+    assert sum(len(r.known) for r in per.values()) >= sum(n for _, n in df.most_common(4))
+    pairs = found.select(F.col("rep").alias("a")).join(found.select(F.col("rep").alias("b")))
+    bits = sets.with_sets(pairs, found, "a", "b")
+    for x in ("a", "b"):
+        bits = bits.join(found.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in sets.BITS)), x)
+    got = bits.select("a", "b", sets.common("a", "b").alias("c"), sets.apart("a", "b").alias("d")).collect()
+    assert len(got) == len(per) ** 2 and all(r.c == len(held[r.a] & held[r.b]) and r.d <= len(held[r.a] ^ held[r.b]) for r in got)
+    assert sum(r.d > 0 for r in got) > len(got) / 2
